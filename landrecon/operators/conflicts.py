@@ -170,8 +170,8 @@ def duplicate_id_conflicts(features: DataFrame, datasets: DataFrame, cfg: Settin
     first = keyed.groupBy("dataset_id", "key").agg(
         F.min(F.struct("ordinal", "feature_id")).alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     many, few = skew.salted(keyed, first, ["dataset_id", "key"], F.col("ordinal"), cfg.hot_rows)
-    rows = (many.join(few, ["dataset_id", "key", "_salt"]).where(F.col("ordinal") > F.col("first.ordinal"))
-            .join(datasets.select("dataset_id", "name"), "dataset_id"))
+    rows = many.join(few, ["dataset_id", "key", "_salt"]).where(F.col("ordinal") > F.col("first.ordinal"))
+    rows = skew.lookup_join(rows, datasets.select("dataset_id", "name"), ["dataset_id"], F.col("ordinal"))
     return _finding(
         rows, "duplicate_id", F.lit("MODERATE"), F.col("feature_id"), F.col("dataset_id"), F.col("dataset_id"),
         F.concat(F.lit("Duplicate identifier '"), "key", F.lit("' found in dataset "), "name", F.lit(" (features "),

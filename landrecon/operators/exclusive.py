@@ -25,7 +25,7 @@ CHOICE = ["pos", "b_shape_id", "b_copies", "b_feature_id", "b_anchor_rank", *mat
 
 def with_rank(features: DataFrame, datasets: DataFrame) -> DataFrame:
     """Adds ``rank``: position by dataset upload time, dataset and place in the dataset."""
-    dated = features.join(datasets.select("dataset_id", "uploaded_at"), "dataset_id")
+    dated = skew.lookup_join(features, datasets.select("dataset_id", "uploaded_at"), ["dataset_id"], F.col("ordinal"))
     return match.group_numbering(dated, ["uploaded_at", "dataset_id", "ordinal"]).withColumnRenamed(
         "group_number", "rank").drop("matched_group_id", "uploaded_at")
 

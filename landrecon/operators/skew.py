@@ -57,3 +57,15 @@ def running_sum(df: DataFrame, group: list[str], order: str, value: Column, out:
 def running_position(df: DataFrame, group: list[str], order: str, out: str) -> DataFrame:
     """1-based position of each row in its group (see ``running_sum``)."""
     return running_sum(df, group, order, F.lit(1), out)
+
+
+def lookup_join(many: DataFrame, few: DataFrame, keys: list[str], spread: Column, how: str = "inner",
+                hot_rows: int = 50_000, max_rows: int = 200_000) -> DataFrame:
+    """Join a large table to a small one whose keys may be hot on the large side.
+
+    The small side is counted: up to ``max_rows`` it is broadcast, beyond that hot keys are salted.
+    """
+    if few.limit(max_rows + 1).count() <= max_rows:
+        return many.join(F.broadcast(few), keys, how)
+    left, right = salted(many, few, keys, spread, hot_rows)
+    return left.join(right, keys + ["_salt"], how).drop("_salt")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landrecon.functions import geo, scalar
+from landrecon.operators import skew
 from landrecon.settings import DEFAULTS, Settings
 
 PARCEL_COLUMNS = [
@@ -66,7 +67,8 @@ def build_unified_parcels(members: DataFrame, datasets: DataFrame, groups: DataF
 
     Lineage keeps the last member of each source type; ``members`` lists all of them.
     """
-    named = members.join(datasets.select("dataset_id", F.col("name").alias("dataset_name"), "provenance"), "dataset_id")
+    named = skew.lookup_join(members, datasets.select("dataset_id", F.col("name").alias("dataset_name"), "provenance"),
+                             ["dataset_id"], F.col("feature_id"))
     c, source, r = F.col("canonical"), F.col("source_type"), F.col("member_rank")
     survey = F.coalesce(F.nullif(c["survey_number"], F.lit("")), F.nullif(c["parcel_id"], F.lit("")))
     entry = F.struct(
