@@ -20,7 +20,7 @@ SELECT feature_id AS matched_group_id, CASE WHEN n > 0 THEN m ELSE agree END AS
   round(area, 3) AS area
 FROM (SELECT l.*, coalesce(b.n, 0) AS n, b.m, 1 + coalesce(b.n, 0) AS src, round(least(100, (1 + coalesce(b.n, 0)) / 5e0 * 100), 1) AS agree,
     b.utilities, b.gnss
-  FROM lens l JOIN (SELECT a_id, count(*) AS n, round(avg(overall_confidence), 1) AS m, count(*) FILTER (b_dataset = 'DS-utility') AS utilities,
+  FROM lens l JOIN (SELECT a_id, count(*) AS n, round(sum(round(overall_confidence * 10)::BIGINT) / count(*) / 10, 1) AS m, count(*) FILTER (b_dataset = 'DS-utility') AS utilities,
     count(*) FILTER (b_dataset = 'DS-gnss') AS gnss FROM best GROUP BY 1) b ON a_id = l.feature_id)""", PAIRS))
 def build_unified_parcels(spark, sf_dir):
     """Unified records of the groups formed by each anchor's best matches."""
@@ -48,4 +48,4 @@ def flagship(spark, sf_dir):
     f = lens.features(spark, sf_dir)
     best = match.best_match_per_dataset(f.where(F.col("source_type") == "cadastral"), f, LENS)
     return best.groupBy("anchor_id").agg(F.count(F.lit(1)).alias("sources"),
-                                         F.round(F.avg("overall_confidence"), 1).alias("confidence"))
+                                         unify.mean_score(F.col("overall_confidence")).alias("confidence"))

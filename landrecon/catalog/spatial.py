@@ -10,7 +10,7 @@ from landrecon.catalog.oracle import PAIRS, RAD, SAME_LAYER, box_gap, box_iou, h
 from landrecon.catalog.registry import query
 from landrecon.functions import geo, kernel, scalar
 from landrecon.lens import LENS
-from landrecon.operators import conflicts, exclusive, match, topology
+from landrecon.operators import conflicts, exclusive, match, topology, unify
 from landrecon.operators.rounds import Rounds
 from landrecon.settings import Settings
 
@@ -56,12 +56,12 @@ def best_match_per_dataset(spark, sf_dir):
 
 
 @query("matched_parcel_confidence", lens_sql("""
-SELECT a_id AS anchor_id, count(*) AS sources, round(avg(overall_confidence), 1) AS confidence
+SELECT a_id AS anchor_id, count(*) AS sources, round(sum(round(overall_confidence * 10)::BIGINT) / count(*) / 10, 1) AS confidence
 FROM best GROUP BY 1""", PAIRS))
 def matched_parcel_confidence(spark, sf_dir):
     best = match.best_match_per_dataset(*_split(spark, sf_dir), LENS)
     return best.groupBy("anchor_id").agg(F.count(F.lit(1)).alias("sources"),
-                                         F.round(F.avg("overall_confidence"), 1).alias("confidence"))
+                                         unify.mean_score(F.col("overall_confidence")).alias("confidence"))
 
 
 @query("exclusive_matching")
@@ -71,8 +71,6 @@ def exclusive_matching(spark, sf_dir):
     return matches
 
 
-# Revenue and cadastral features with the same key see only each other: the graph has no
-# competition, so the best choice of each anchor is the exclusive one.
 @query("geometry_overlap", lens_sql(f"""
 SELECT a.feature_id AS a_id, b.feature_id AS b_id,
   round(CASE WHEN b.kind = 'Polygon' THEN {box_iou('a', 'b')} ELSE exp(-{box_gap('a', 'b', 'a.lat')} / 50e0) END, 6) AS overlap

@@ -97,7 +97,7 @@ def mask_personal_fields(spark, sf_dir):
 
 @query("map_layer_features", table_sql("""
 SELECT id, parcel_id, CASE WHEN area IS NOT NULL AND area <> 0 THEN printf('%.1f', area) || ' m²' ELSE 'N/A' END AS area,
-  printf('%.0f', confidence_score) || '%' AS confidence FROM parcels WHERE shaped"""))
+  CAST(floor(confidence_score + 0.5) AS INT) || '%' AS confidence FROM parcels WHERE shaped"""))
 def map_layer_features(spark, sf_dir):
     return search.map_layer_features(t.parcels(spark, sf_dir)).select("id", "parcel_id", "area", "confidence")
 
@@ -668,8 +668,8 @@ def _order_members(spark, sf_dir):
 SELECT g AS matched_group_id, CASE WHEN n > 0 THEN m ELSE agree END AS confidence_score, spatial_confidence, attribute_confidence,
   geometry_confidence, agree AS source_agreement, source_count,
   CASE WHEN CASE WHEN n > 0 THEN m ELSE agree END >= 70 THEN 'PASSED' ELSE 'FAILED' END AS validation_status
-FROM (SELECT g, count(c) AS n, coalesce(round(avg(c), 1), 0) AS m, coalesce(round(avg(s), 1), 0) AS spatial_confidence,
-  coalesce(round(avg(a), 1), 0) AS attribute_confidence, coalesce(round(avg(g2), 1), 0) AS geometry_confidence,
+FROM (SELECT g, count(c) AS n, coalesce(round(sum(round(c * 10)::BIGINT) / count(c) / 10, 1), 0) AS m, coalesce(round(sum(round(s * 10)::BIGINT) / count(s) / 10, 1), 0) AS spatial_confidence,
+  coalesce(round(sum(round(a * 10)::BIGINT) / count(a) / 10, 1), 0) AS attribute_confidence, coalesce(round(sum(round(g2 * 10)::BIGINT) / count(g2) / 10, 1), 0) AS geometry_confidence,
   count(DISTINCT source_type) AS source_count, round(least(100, count(DISTINCT source_type) / 5e0 * 100), 1) AS agree
   FROM member GROUP BY 1)""", _ORDER_MEMBERS))
 def parcel_confidence(spark, sf_dir):

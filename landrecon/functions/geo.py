@@ -12,6 +12,8 @@ from math import pi
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from landrecon.functions.columns import let
+
 POINT = "struct<x:double,y:double>"
 PARTS = f"array<array<array<{POINT}>>>"
 GEOMETRY = f"struct<kind:string,parts:{PARTS}>"
@@ -75,8 +77,13 @@ def _xy(x: Column, y: Column) -> Column:
 
 def parse_geojson(text: Column) -> Column:
     """GeoJSON text to a typed geometry; null, empty and malformed text become null."""
-    kind = F.get_json_object(text, "$.type")
-    coords = F.get_json_object(text, "$.coordinates")
+    return let(text, lambda t: let(F.struct(
+        F.get_json_object(t, "$.type").alias("kind"), F.get_json_object(t, "$.coordinates").alias("coords"),
+        F.get_json_object(t, "$.geometries").alias("members")), _typed))
+
+
+def _typed(doc: Column) -> Column:
+    kind, coords = doc["kind"], doc["coords"]
 
     def load(depth: int) -> Column:
         return F.from_json(coords, "array<" * depth + "double" + ">" * depth)
@@ -93,7 +100,7 @@ def parse_geojson(text: Column) -> Column:
             F.concat(ps, F.array(first)))
 
     def ring(ps: Column) -> Column:
-        return F.transform(F.array(line(ps)), close)[0]
+        return let(line(ps), close)
 
     parts = (
         F.when(kind == "Point", F.array(F.array(F.array(pair(load(1))))))
@@ -102,17 +109,21 @@ def parse_geojson(text: Column) -> Column:
         .when(kind == "Polygon", F.array(F.transform(load(3), ring)))
         .when(kind == "MultiPolygon",
               F.transform(load(4), lambda poly: F.transform(poly, ring)))
-        .when(kind == "GeometryCollection", _collection_parts(text))
+        .when(kind == "GeometryCollection", _collection_parts(doc["members"]))
     )
-    bad = F.exists(F.flatten(F.flatten(parts)), lambda p: p["x"].isNull() | p["y"].isNull())
-    usable = parts.isNotNull() & (F.size(F.flatten(F.flatten(parts))) > 0) & ~bad
-    return F.when(usable, F.struct(kind.alias("kind"), parts.cast(PARTS).alias("parts")))
+
+    def checked(found: Column) -> Column:
+        flat = F.flatten(F.flatten(found))
+        bad = F.exists(flat, lambda p: p["x"].isNull() | p["y"].isNull())
+        return F.when(found.isNotNull() & (F.size(flat) > 0) & ~bad,
+                      F.struct(kind.alias("kind"), found.cast(PARTS).alias("parts")))
+
+    return let(parts, checked)
 
 
 def _collection_parts(text: Column) -> Column:
     """Members of a collection, one level deep, as one bag of point lists."""
-    members = F.from_json(F.get_json_object(text, "$.geometries"),
-                          "array<struct<type:string,coordinates:string>>")
+    members = F.from_json(text, "array<struct<type:string,coordinates:string>>")
 
     def as_lists(m: Column) -> Column:
         c = m["coordinates"]
@@ -194,35 +205,32 @@ def perimeter(parts: Column) -> Column:
 
 def centroid(geom: Column) -> Column:
     """Planar centroid: area-weighted, else length-weighted, else the mean position."""
-    base = points(geom)[0]
-    rings = F.flatten(F.transform(geom["parts"], lambda poly: F.transform(
-        poly, lambda ring, i: F.struct(_ring_moments(ring, base).alias("m"), (i > 0).alias("hole")))))
-    signed = F.transform(rings, lambda r: F.struct(
-        (F.abs(r["m"]["a"]) * _hole(r)).alias("w"),
-        (r["m"]["mx"] * F.signum(r["m"]["a"]) * _hole(r)).alias("x"),
-        (r["m"]["my"] * F.signum(r["m"]["a"]) * _hole(r)).alias("y")))
-    by_area = _weighted(signed)
-
-    def segment(p: Column, q: Column) -> Column:
-        length = F.sqrt(F.pow(q["x"] - p["x"], F.lit(2)) + F.pow(q["y"] - p["y"], F.lit(2)))
-        return F.struct(length.alias("w"), (((p["x"] + q["x"]) / 2 - base["x"]) * length).alias("x"),
-                        (((p["y"] + q["y"]) / 2 - base["y"]) * length).alias("y"))
-
-    by_length = _weighted(F.flatten(F.transform(F.flatten(geom["parts"]), lambda r: _edges(r, segment))))
-    by_count = _weighted(F.transform(points(geom), lambda p: F.struct(
-        F.lit(1.0).alias("w"), (p["x"] - base["x"]).alias("x"), (p["y"] - base["y"]).alias("y"))))
-    linear = is_polygonal(geom) | geom["kind"].isin("LineString", "MultiLineString")
-    best = (
-        F.when(is_polygonal(geom) & (by_area["w"] > 0),
-               F.struct((base["x"] + by_area["x"] / (3 * by_area["w"])).alias("x"),
-                        (base["y"] + by_area["y"] / (3 * by_area["w"])).alias("y")))
-        .when(linear & (by_length["w"] > 0),
-              F.struct((base["x"] + by_length["x"] / by_length["w"]).alias("x"),
-                       (base["y"] + by_length["y"] / by_length["w"]).alias("y")))
-        .when(by_count["w"] > 0,
-              F.struct((base["x"] + by_count["x"] / by_count["w"]).alias("x"),
-                       (base["y"] + by_count["y"] / by_count["w"]).alias("y"))))
-    return best
+    def at(base: Column) -> Column:
+        rings = F.flatten(F.transform(geom["parts"], lambda poly: F.transform(
+            poly, lambda ring, i: F.struct(_ring_moments(ring, base).alias("m"), (i > 0).alias("hole")))))
+        signed = F.transform(rings, lambda r: F.struct(
+            (F.abs(r["m"]["a"]) * _hole(r)).alias("w"),
+            (r["m"]["mx"] * F.signum(r["m"]["a"]) * _hole(r)).alias("x"),
+            (r["m"]["my"] * F.signum(r["m"]["a"]) * _hole(r)).alias("y")))
+
+        def segment(p: Column, q: Column) -> Column:
+            length = F.sqrt(F.pow(q["x"] - p["x"], F.lit(2)) + F.pow(q["y"] - p["y"], F.lit(2)))
+            return F.struct(length.alias("w"), (((p["x"] + q["x"]) / 2 - base["x"]) * length).alias("x"),
+                            (((p["y"] + q["y"]) / 2 - base["y"]) * length).alias("y"))
+
+        def moved(m: Column, scale: float) -> Column:
+            return _xy(base["x"] + m["x"] / (scale * m["w"]), base["y"] + m["y"] / (scale * m["w"]))
+
+        lines = F.flatten(F.transform(F.flatten(geom["parts"]), lambda r: _edges(r, segment)))
+        dots = F.transform(points(geom), lambda p: F.struct(
+            F.lit(1.0).alias("w"), (p["x"] - base["x"]).alias("x"), (p["y"] - base["y"]).alias("y")))
+        linear = is_polygonal(geom) | geom["kind"].isin("LineString", "MultiLineString")
+        mean = let(_weighted(dots), lambda m: moved(m, 1.0))
+        along = F.when(linear, let(_weighted(lines), lambda m: F.when(m["w"] > 0, moved(m, 1.0))))
+        inside = F.when(is_polygonal(geom), let(_weighted(signed), lambda m: F.when(m["w"] > 0, moved(m, 3.0))))
+        return F.coalesce(inside, along, mean)
+
+    return let(F.get(points(geom), F.lit(0)), at)
 
 
 def _hole(r: Column) -> Column:
@@ -237,8 +245,9 @@ def _weighted(items: Column) -> Column:
 
 def compactness(geom: Column) -> Column:
     """Squared perimeter over area on the stored coordinates; null without area."""
-    area = planar_area(geom["parts"])
-    return F.when(is_polygonal(geom) & (area > 0), F.pow(perimeter(geom["parts"]), F.lit(2)) / area)
+    ratio = let(planar_area(geom["parts"]), lambda area: F.when(
+        area > 0, F.pow(perimeter(geom["parts"]), F.lit(2)) / area))
+    return F.when(is_polygonal(geom), ratio)
 
 
 # --- projection ---------------------------------------------------------------------------
@@ -366,10 +375,11 @@ def detect_crs(declared: Column, x: Column, y: Column) -> Column:
 
 def area_sqm(geom: Column) -> Column:
     """Area in the UTM zone of the centroid; 0 for null and empty geometries."""
-    c = centroid(geom)
-    epsg = utm_epsg(c["x"], c["y"])
-    flat = _map_points(geom["parts"], lambda ring: to_utm(ring, epsg))
-    return F.when(is_polygonal(geom), planar_area(flat)).otherwise(F.lit(0.0))
+    def in_zone(epsg: Column) -> Column:
+        return planar_area(_map_points(geom["parts"], lambda ring: to_utm(ring, epsg)))
+
+    area = let(centroid(geom), lambda c: let(utm_epsg(c["x"], c["y"]), in_zone))
+    return F.when(is_polygonal(geom), area).otherwise(F.lit(0.0))
 
 
 def local_plane_area(geom: Column, lat: Column, metres_per_degree: float = 111320.0) -> Column:

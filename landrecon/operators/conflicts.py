@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landrecon.functions import geo, kernel, scalar, text
+from landrecon.functions.columns import fixed
 from landrecon.operators import grid, skew, topology
 from landrecon.settings import (CONFLICT_STATUSES, DEFAULTS, DUPLICATE_KEY_FIELDS, PERSONAL_KEYS,
                                 TERMINAL_STATUSES, Settings)
@@ -15,7 +16,7 @@ COLUMNS = ["conflict_type", "severity", "feature_ref", "source_a", "source_b", "
 
 
 def _percent(ratio: Column) -> Column:
-    return F.format_string("%.1f%%", ratio * 100)
+    return F.concat(fixed(ratio * 100), F.lit("%"))
 
 
 def _finding(df: DataFrame, kind: str, severity: Column, ref: Column, a: Column, b: Column,
@@ -159,7 +160,7 @@ def area_mismatch_conflicts(members: DataFrame, cfg: Settings = DEFAULTS) -> Dat
         rows, "area_mismatch", F.when(F.col("rel") < cfg.area_mismatch_major, "MODERATE").otherwise("MAJOR"),
         F.col("hi.f"), F.col("hi.d"), F.col("lo.d"),
         F.concat(F.lit("Area mismatch of "), _percent(F.col("rel")), F.lit(" between sources for group "),
-                 "matched_group_id", F.lit(" ("), F.format_string("%.1f m² vs %.1f m²", low, high), F.lit(")")),
+                 "matched_group_id", F.lit(" ("), fixed(low), F.lit(" m² vs "), fixed(high), F.lit(" m²)")),
         F.round((1 - F.col("rel")) * 100, 1), "Reconcile recorded area against ground survey")
 
 

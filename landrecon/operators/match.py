@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from landrecon.functions import geo, kernel, scalar, text
+from landrecon.functions.columns import once
 from landrecon.operators import grid
 from landrecon.settings import COMPARED_FIELDS, DEFAULTS, IDENTIFIER_FIELDS, Settings
 
@@ -33,20 +34,10 @@ def distance_join(pairs: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
     """Only pairs from different datasets whose centroids lie within the search distance."""
     d = geo.haversine_m(F.col("a_centroid_lat"), F.col("a_centroid_lon"),
                         F.col("b_centroid_lat"), F.col("b_centroid_lon"))
-    out = _once(pairs.where(F.col("a_dataset_id") != F.col("b_dataset_id")), distance_m=d)
+    out = once(pairs.where(F.col("a_dataset_id") != F.col("b_dataset_id")), distance_m=d)
     return out.where(F.coalesce(F.col("distance_m") <= cfg.search_m, F.lit(True)))
 
 
-def _once(df: DataFrame, **values: Column) -> DataFrame:
-    """Add columns that later filters read as values instead of evaluating their formulas again.
-
-    A filter on a plain column expression is pushed below it, formula and all; a generated row is
-    where that stops.
-    """
-    row = F.struct(*[v.alias(k) for k, v in values.items()])
-    return df.select("*", F.inline(F.array(row)))
-
-
 def geometry_overlap(a: Column, b: Column, cfg: Settings = DEFAULTS) -> Column:
     """Overlap ratio for two polygons, closeness for a polygon and something else, else 0."""
     a_poly, b_poly = a["kind"].isin(*geo.POLYGONAL), b["kind"].isin(*geo.POLYGONAL)
@@ -101,7 +92,7 @@ def score_pairs(pairs: DataFrame, cfg: Settings = DEFAULTS, encoder=None, keep_a
     overlap and text bounds it from above. ``encoder`` maps a text column to a vector column.
     """
     w = cfg
-    cheap = _once(pairs, _prox=scalar.spatial_proximity(F.col("distance_m"), cfg),
+    cheap = once(pairs, _prox=scalar.spatial_proximity(F.col("distance_m"), cfg),
                   _area=scalar.area_similarity(F.col("a_area_sqm"), F.col("b_area_sqm")))
     if not keep_all:
         best = (w.weight_proximity * F.col("_prox") + w.weight_area * F.col("_area")
@@ -109,11 +100,11 @@ def score_pairs(pairs: DataFrame, cfg: Settings = DEFAULTS, encoder=None, keep_a
         # Half a unit of the rounded decimal below the minimum still rounds up to it.
         cheap = cheap.where(best >= (cfg.min_match_confidence - 0.05) / 100 - 1e-9)
     scored = _with_attributes(cheap, cfg, encoder)
-    scored = _once(scored, _over=geometry_overlap(_side("a_", cfg), _side("b_", cfg), cfg))
+    scored = once(scored, _over=geometry_overlap(_side("a_", cfg), _side("b_", cfg), cfg))
     total = (w.weight_proximity * F.col("_prox") + w.weight_overlap * F.col("_over")
              + w.weight_area * F.col("_area") + w.weight_attribute * F.col("_attr"))
     total = F.greatest(F.lit(0.0), F.least(F.lit(1.0), total))
-    out = _once(scored, spatial_proximity=F.round(F.col("_prox") * 100, 1),
+    out = once(scored, spatial_proximity=F.round(F.col("_prox") * 100, 1),
                 geometry_overlap=F.round(F.col("_over") * 100, 1),
                 area_similarity=F.round(F.col("_area") * 100, 1),
                 attribute_similarity=F.round(F.col("_attr") * 100, 1),

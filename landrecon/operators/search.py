@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landrecon.functions import geo, scalar
+from landrecon.functions.columns import fixed
 from landrecon.operators import match, skew
 
 
@@ -102,9 +103,9 @@ def map_layer_features(parcels: DataFrame) -> DataFrame:
     shown = parcels.where(geo.parse_geojson(F.col("geometry_geojson")).isNotNull())
     return shown.select(
         "id", "parcel_id", "owner_name", "geometry_geojson",
-        F.when(F.col("area") != 0, F.concat(F.format_string("%.1f", F.col("area")), F.lit(" m²")))
+        F.when(F.col("area") != 0, F.concat(fixed(F.col("area")), F.lit(" m²")))
         .otherwise("N/A").alias("area"),
-        "land_use", F.concat(F.format_string("%.0f", F.col("confidence_score")), F.lit("%")).alias("confidence"),
+        "land_use", F.concat(F.floor(F.col("confidence_score") + 0.5), F.lit("%")).alias("confidence"),
         "validation_status", "conflict_status")
 
 

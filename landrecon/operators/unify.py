@@ -36,7 +36,9 @@ def first_value_per_group(members: DataFrame) -> DataFrame:
 
 
 def mean_score(score: Column) -> Column:
-    return F.coalesce(F.round(F.avg(score), 1), F.lit(0.0))
+    """Mean of one-decimal scores, 0 without any; summed in whole tenths, so order cannot matter."""
+    tenths = F.sum(F.round(score * 10).cast("long"))
+    return F.coalesce(F.round(tenths / F.count(score) / 10, 1), F.lit(0.0))
 
 
 def source_agreement(source_types: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landrecon.functions import geo, kernel, scalar
+from landrecon.functions.columns import once
 from landrecon.operators import grid
 from landrecon.settings import CANONICAL_TYPE, DEFAULT_CANONICAL_TYPE, DEFAULTS, Settings
 
@@ -34,10 +35,10 @@ def as_features(raw: DataFrame, dataset_id: str, source_type: str, crs: Column |
     read a single pass.
     """
     declared = F.lit(None).cast("string") if crs is None else (F.lit(crs) if isinstance(crs, str) else crs)
-    parsed = raw.withColumn("_g", geo.parse_geojson(F.col("geometry_geojson"))).where(F.col("_g").isNotNull())
+    parsed = once(raw, _g=geo.parse_geojson(F.col("geometry_geojson"))).where(F.col("_g").isNotNull())
     sample = geo.points(F.col("_g"))[0]
-    source = geo.detect_crs(declared, sample["x"], sample["y"])
-    moved = parsed.withColumn("_m", geo.reproject(F.col("_g"), source, F.lit(f"EPSG:{cfg.target_epsg}")))
+    source = once(parsed, _crs=geo.detect_crs(declared, sample["x"], sample["y"]))
+    moved = once(source, _m=geo.reproject(F.col("_g"), F.col("_crs"), F.lit(f"EPSG:{cfg.target_epsg}")))
     shaped = moved.withColumns({"geom": F.col("_m.geom"), "dataset_id": F.lit(dataset_id),
                                 "source_type": F.lit(source_type),
                                 "canonical_type": canonical_type(F.lit(source_type))})
@@ -47,7 +48,7 @@ def as_features(raw: DataFrame, dataset_id: str, source_type: str, crs: Column |
 def with_measures(df: DataFrame) -> DataFrame:
     """Bounding box, centroid, area and validity of ``geom``."""
     g = F.col("geom")
-    out = df.withColumns({"_box": geo.bbox(g), "_mid": geo.centroid(g)})
+    out = once(df, _box=geo.bbox(g), _mid=geo.centroid(g))
     if "feature_id" not in df.columns:
         out = out.withColumn("feature_id", scalar.natural_id("FT", F.col("dataset_id"), F.col("ordinal")))
     return out.withColumns({
@@ -212,11 +213,11 @@ def _kmz_placemarks(spark: SparkSession, path: str) -> DataFrame:
 def raster_footprint(meta: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
     """Bounds ``(left, bottom, right, top, crs)`` of rasters as polygons in the target CRS."""
     box = geo.box_geom(F.col("left"), F.col("bottom"), F.col("right"), F.col("top"))
-    moved = meta.withColumn("_m", geo.reproject(box, F.col("crs"), F.lit(f"EPSG:{cfg.target_epsg}")))
+    moved = once(meta, _m=geo.reproject(box, F.col("crs"), F.lit(f"EPSG:{cfg.target_epsg}")))
     out = moved.withColumns({"geom": F.col("_m.geom"), "status": F.col("_m.status")})
-    mid = geo.centroid(F.col("geom"))
-    return out.withColumns({"centroid_lon": mid["x"], "centroid_lat": mid["y"],
-                            "area_sqm": geo.area_sqm(F.col("geom"))}).drop("_m")
+    out = once(out, _mid=geo.centroid(F.col("geom")))
+    return out.withColumns({"centroid_lon": F.col("_mid.x"), "centroid_lat": F.col("_mid.y"),
+                            "area_sqm": geo.area_sqm(F.col("geom"))}).drop("_m", "_mid")
 
 
 def raster_band_stats(pixels: DataFrame) -> DataFrame:
