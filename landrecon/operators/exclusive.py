@@ -2,15 +2,20 @@
 
 Anchors choose in order; each takes its best unused candidate of every other dataset. That
 sequential rule is a serial dictatorship, and its result is what deferred acceptance converges to
-when all candidates prefer earlier anchors. So anchors propose in parallel, a candidate keeps the
-earliest proposer, rejected anchors try their next choice, and a few shuffles replace the loop over
-anchors. Exact copies form one candidate with as many places as there are copies.
+when all candidates prefer earlier anchors: anchors propose, a candidate keeps the earliest
+proposer, rejected anchors try their next choice. The outcome does not depend on the order of
+proposals. So each spatial block settles its own candidates in one grouped task, and only proposals
+that leave a block need another round. Blocks too large for a task advance by joins and
+aggregates instead. Exact copies form one candidate with as many places as there are copies.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from dataclasses import dataclass
+from heapq import heappush, heappushpop
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,7 +25,9 @@ from landrecon.operators.rounds import Rounds
 from landrecon.settings import DEFAULTS, Settings
 
 SLOT = ["anchor_id", "anchor_rank", "a_shape_id", "b_dataset_id"]
-CHOICE = ["pos", "b_shape_id", "b_copies", "b_feature_id", "b_anchor_rank", *match.SCORES]
+CHOICE = ["pos", "b_shape_id", "b_copies", "b_anchor_rank", "block"]
+STATE = [*SLOT, *CHOICE]
+BLOCK_CELLS = 8
 
 
 def with_rank(features: DataFrame, datasets: DataFrame) -> DataFrame:
@@ -38,34 +45,151 @@ class Phase:
     matches: DataFrame
 
 
-def preferences(scored: DataFrame) -> DataFrame:
+def preferences(scored: DataFrame, cfg: Settings) -> DataFrame:
     """Position of each candidate shape in the order its anchor shape would choose."""
     order = Window.partitionBy("a_shape_id", "b_dataset_id").orderBy(F.desc("overall_confidence"), "b_ordinal")
-    return scored.withColumn("pos", F.row_number().over(order)).select(
-        "a_shape_id", "b_dataset_id", "pos", "b_shape_id", "b_copies", "b_feature_id", "b_anchor_rank", *match.SCORES)
+    size = cfg.cell_deg * BLOCK_CELLS
+    block = F.concat_ws(":", F.floor(F.col("b_xmin") / size), F.floor(F.col("b_ymin") / size))
+    return scored.withColumns({"pos": F.row_number().over(order), "block": block}).select(
+        "a_shape_id", "b_dataset_id", *CHOICE, "b_feature_id", *match.SCORES)
 
 
-def _settle(slots: DataFrame, edges: DataFrame, rounds: Rounds) -> DataFrame:
-    """Deferred acceptance: final choice of every slot that gets one."""
-    while True:
-        load = slots.groupBy("b_shape_id").agg(F.min("anchor_rank").alias("_lo"), F.count(F.lit(1)).alias("_n"))
-        judged = slots.join(load, "b_shape_id")
-        full = (F.col("b_copies") > 1) & (F.col("_n") > F.col("b_copies"))
-        lost = F.coalesce(F.col("anchor_rank") > F.col("b_anchor_rank"), F.lit(False)) | (
-            (F.col("b_copies") == 1) & (F.col("anchor_rank") > F.col("_lo")))
-        judged = rounds.keep(judged.withColumns({"_full": full, "_lost": lost}))
-        crowded = judged.where(F.col("_full"))
-        if not crowded.isEmpty():
-            # Several slots of one anchor never want the same shape, so ranks are unique here.
-            placed = skew.running_position(crowded, ["b_shape_id"], "anchor_rank", "_place")
-            placed = placed.withColumn("_lost", F.col("_place") > F.col("b_copies")).select(*judged.columns)
-            judged = rounds.keep(judged.where(~F.col("_full")).unionByName(placed))
-        rejected = judged.where(F.col("_lost"))
-        if rejected.isEmpty():
-            return judged.select(*SLOT, *CHOICE)
-        again = rejected.select(*SLOT, (F.col("pos") + 1).alias("pos")).join(
-            edges, ["a_shape_id", "b_dataset_id", "pos"]).select(*SLOT, *CHOICE)
-        slots = rounds.keep(judged.where(~F.col("_lost")).select(*SLOT, *CHOICE).unionByName(again))
+def _settle_block(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Deferred acceptance among the candidates of one block.
+
+    Every row is an anchor's slot with its choices from the current one on. A slot ends up holding a
+    candidate, asking for one of another block, or with nothing left.
+    """
+    block = pdf["block"].iloc[0]
+    ranks, choices = pdf["anchor_rank"].tolist(), pdf["choices"].tolist()
+    at, holders, outcome = [0] * len(pdf), defaultdict(list), ["out"] * len(pdf)
+    todo = list(range(len(pdf)))
+    while todo:
+        i = todo.pop()
+        if at[i] >= len(choices[i]):
+            outcome[i] = "out"
+            continue
+        c = choices[i][at[i]]
+        if c["b_anchor_rank"] is not None and ranks[i] > c["b_anchor_rank"]:
+            at[i] += 1
+            todo.append(i)
+        elif c["block"] != block:
+            outcome[i] = "ask"
+        else:
+            outcome[i] = "held"
+            heap = holders[c["b_shape_id"]]
+            if len(heap) < c["b_copies"]:
+                heappush(heap, (-ranks[i], i))
+            else:
+                loser = heappushpop(heap, (-ranks[i], i))[1]
+                at[loser] += 1
+                todo.append(loser)
+    keep = [i for i in range(len(pdf)) if outcome[i] != "out"]
+    picked = [choices[i][at[i]] for i in keep]
+    out = pdf.iloc[keep][SLOT].reset_index(drop=True)
+    for name in CHOICE:
+        out[name] = pd.Series([c[name] for c in picked], dtype="Int64" if name == "b_anchor_rank" else None)
+    out["outcome"] = [outcome[i] for i in keep]
+    return out[[*STATE, "outcome"]]
+
+
+def _judged(asks: DataFrame) -> DataFrame:
+    """Marks the proposals that lose: all but the earliest anchors, as many as there are copies."""
+    lone, shared = asks.where(F.col("b_copies") == 1), asks.where(F.col("b_copies") > 1)
+    first = lone.groupBy("b_shape_id").agg(F.min("anchor_rank").alias("_lo"))
+    lone = lone.join(first, "b_shape_id").withColumn("_lost", F.col("anchor_rank") > F.col("_lo"))
+    # Several slots of one anchor never want the same shape, so ranks are unique within one.
+    shared = skew.running_position(shared, ["b_shape_id"], "anchor_rank", "_place").withColumn(
+        "_lost", F.col("_place") > F.col("b_copies"))
+    columns = [*STATE, "_lost"]
+    return lone.select(columns).unionByName(shared.select(columns))
+
+
+class _Held:
+    """Who holds which candidate: a large table plus a small one that overrides touched shapes.
+
+    A shape that was ever held stays held, so the holders a round names for a shape are all it has.
+    """
+
+    def __init__(self, rounds: Rounds):
+        self.rounds = rounds
+        self.base: DataFrame | None = None
+        self.added: DataFrame | None = None
+
+    def all(self) -> DataFrame:
+        if self.added is None:
+            return self.base
+        return _over(self.base, self.added)
+
+    def of(self, asked: DataFrame, key: str) -> DataFrame | None:
+        """Holders of the asked shapes or blocks."""
+        if self.base is None:
+            return None
+        wanted = asked.select(key).distinct()
+        out = self.base.join(wanted, key, "left_semi").select(STATE)
+        if self.added is None:
+            return out
+        return _over(out, self.added.join(wanted, key, "left_semi").select(STATE))
+
+    def replace(self, won: DataFrame) -> None:
+        if self.base is None:
+            self.base = won.select(STATE)
+            return
+        self.added = self.rounds.keep(won.select(STATE) if self.added is None else _over(self.added, won))
+        if self.added.count() * 4 > self.base.count():
+            self.base, self.added = self.rounds.keep(self.all()), None
+
+
+def _over(old: DataFrame, new: DataFrame) -> DataFrame:
+    gone = new.select("b_shape_id").distinct()
+    return old.join(gone, "b_shape_id", "left_anti").select(STATE).unionByName(new.select(STATE))
+
+
+def _first_choice(options: DataFrame) -> DataFrame:
+    """Each slot's first choice that is not an earlier anchor acting for itself."""
+    live = options.where(~F.coalesce(F.col("anchor_rank") > F.col("b_anchor_rank"), F.lit(False)))
+    return live.groupBy(*SLOT).agg(F.min(F.struct(*CHOICE)).alias("_next")).select(*SLOT, "_next.*")
+
+
+def _settle(acting: DataFrame, edges: DataFrame, cfg: Settings, rounds: Rounds) -> DataFrame:
+    """Deferred acceptance: final choice of every anchor and dataset that gets one."""
+    prefs = rounds.keep(edges.groupBy("a_shape_id", "b_dataset_id").agg(
+        F.array_sort(F.collect_list(F.struct(*CHOICE))).alias("choices")))
+    asks = rounds.keep(_first_choice(acting.join(edges, "a_shape_id")))
+    held = _Held(rounds)
+    while not asks.isEmpty():
+        holders = held.of(asks, "block")
+        active = rounds.keep(asks if holders is None else asks.unionByName(holders))
+        sizes = active.groupBy("block").agg(F.count(F.lit(1)).alias("_n"))
+        sized = active.join(sizes, "block")
+        small = sized.where(F.col("_n") <= cfg.hot_rows).join(prefs, ["a_shape_id", "b_dataset_id"])
+        left = F.filter("choices", lambda c: c["pos"] >= F.col("pos"))
+        done = rounds.keep(small.select(*SLOT, "block", left.alias("choices")).groupBy("block").applyInPandas(
+            _settle_block, active.schema.add("outcome", "string")))
+        won, asks = done.where("outcome = 'held'").select(STATE), done.where("outcome = 'ask'").select(STATE)
+        large = sized.where(F.col("_n") > cfg.hot_rows).select(STATE)
+        if not large.isEmpty():
+            judged = rounds.keep(_judged(large))
+            held.replace(won.unionByName(judged.where(~F.col("_lost")).select(STATE)))
+            asks = rounds.keep(asks.unionByName(_next_asks(judged.where(F.col("_lost")), edges, held)))
+        else:
+            held.replace(won)
+    return held.all() if held.base is not None else asks
+
+
+def _next_asks(rejected: DataFrame, edges: DataFrame, held: _Held) -> DataFrame:
+    """The next choice of rejected slots that is not yet full of earlier anchors.
+
+    Places only ever go to earlier anchors, so full choices can be passed over at once.
+    """
+    options = rejected.select(*SLOT, F.col("pos").alias("_pos")).join(
+        edges.select("a_shape_id", "b_dataset_id", *CHOICE), ["a_shape_id", "b_dataset_id"]).where(
+        F.col("pos") > F.col("_pos"))
+    limit = held.of(options, "b_shape_id").groupBy("b_shape_id").agg(
+        F.max("anchor_rank").alias("_worst"), F.count(F.lit(1)).alias("_n"), F.max("b_copies").alias("_c"))
+    limit = limit.where(F.col("_n") >= F.col("_c")).select("b_shape_id", "_worst")
+    return _first_choice(options.join(limit, "b_shape_id", "left").where(
+        F.col("_worst").isNull() | (F.col("anchor_rank") < F.col("_worst"))))
 
 
 def _phase(anchors: DataFrame, pool: DataFrame, many_sources: bool, cfg: Settings, encoder,
@@ -81,7 +205,7 @@ def _phase(anchors: DataFrame, pool: DataFrame, many_sources: bool, cfg: Setting
     takers = anchors.withColumn("ordinal", F.col("rank"))
     a_shapes = grid.distinct_shapes(takers.where(F.col("kind").isNotNull()), columns, [])
     pairs = match.distance_join(match.spatial_candidates(a_shapes, candidates, cfg), cfg)
-    edges = rounds.keep(preferences(match.score_pairs(pairs, cfg, encoder)))
+    edges = rounds.keep(preferences(match.score_pairs(pairs, cfg, encoder), cfg))
     members = rounds.keep(takers.select(F.col("feature_id").alias("anchor_id"), F.col("rank").alias("anchor_rank"),
                                         grid.shape_id(columns).alias("a_shape_id")))
     taken = None
@@ -92,8 +216,8 @@ def _phase(anchors: DataFrame, pool: DataFrame, many_sources: bool, cfg: Setting
             gone = taken.withColumnRenamed("anchor_id", "b_feature_id").withColumn("_gone", F.lit(True))
             live = edges.join(gone, "b_feature_id", "left").withColumn(
                 "b_anchor_rank", F.when(F.col("_gone").isNull(), F.col("b_anchor_rank"))).drop("_gone")
-        slots = rounds.keep(acting.join(live.where(F.col("pos") == 1), "a_shape_id").select(*SLOT, *CHOICE))
-        final = _settle(slots, live, rounds)
+        chosen = _settle(acting, live, cfg, rounds)
+        final = rounds.keep(chosen.select(*SLOT, "pos").join(edges, ["a_shape_id", "b_dataset_id", "pos"]))
         if not many_sources:
             break
         now = rounds.keep(final.join(members.select(F.col("anchor_id").alias("b_feature_id")), "b_feature_id",

@@ -1,21 +1,24 @@
-"""Iterative work whose lineage is cut with reliable checkpoints."""
+"""Intermediate tables that later steps read several times, and loops that end."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 class Rounds:
-    """Keeps intermediate tables of a loop in the session's checkpoint folder.
+    """Writes intermediate tables to the session's checkpoint folder and reads them back.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``; only where none is set,
-    as in local runs, a temporary one is used. Checkpoints live in shared storage, so a lost
-    executor costs a re-read, not the loop.
+    as in local runs, a temporary one is used. Written tables cut the lineage of loops, live in
+    shared storage, so a lost executor costs a re-read and not the loop, and have a known size, so
+    small ones are broadcast and large ones are not.
     """
 
     def __init__(self, spark: SparkSession):
+        self.spark = spark
         context = spark.sparkContext
         if context.getCheckpointDir() is None:
             folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -24,6 +27,11 @@ class Rounds:
                     raise ValueError("set spark.checkpoint.dir to a folder all executors share")
                 folder = tempfile.mkdtemp(prefix="rounds-")
             context.setCheckpointDir(folder)
+        self.folder = f"{context.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
+        self.tables = 0
 
     def keep(self, df: DataFrame) -> DataFrame:
-        return df.checkpoint(eager=True)
+        self.tables += 1
+        path = f"{self.folder}/{self.tables:05d}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
