@@ -184,7 +184,8 @@ def ratcliff_ratio(spark, sf_dir):
 _n = 1 / 298.257223563 / (2 - 1 / 298.257223563)
 _A = 6378137 / (1 + _n) * (1 + _n**2 / 4 + _n**4 / 64)
 _C = 2 * _n**0.5 / (1 + _n)
-_AL = (_n / 2 - 2 * _n**2 / 3 + 5 * _n**3 / 16, 13 * _n**2 / 48 - 3 * _n**3 / 5, 61 * _n**3 / 240)
+_AL = (_n / 2 - 2 * _n**2 / 3 + 5 * _n**3 / 16 + 41 * _n**4 / 180, 13 * _n**2 / 48 - 3 * _n**3 / 5 + 557 * _n**4 / 1440,
+       61 * _n**3 / 240 - 103 * _n**4 / 140, 49561 * _n**4 / 161280)
 
 
 def _utm_ctes(source: str) -> str:
