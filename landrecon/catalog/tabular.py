@@ -146,12 +146,9 @@ SELECT feature_id AS name, source_type, canonical_type, kind, n_fields, round(lo
 def read_geojson(spark, sf_dir):
     """GeoJSON features, written from the layers, read back through the reader's own steps."""
     f = lens.features(spark, sf_dir, mapped=False)
-    raw = f.select("ordinal", "source_type", geo.to_geojson(F.col("geom")).alias("geometry_geojson"),
+    raw = f.select("ordinal", "dataset_id", "source_type", geo.to_geojson(F.col("geom")).alias("geometry_geojson"),
                    F.map_concat("properties", F.create_map(F.lit("_name"), F.col("feature_id"))).alias("properties"))
-    out = None
-    for source in lens.LAYERS:
-        one = readers.as_features(raw.where(F.col("source_type") == source), "DS-" + source, source)
-        out = one if out is None else out.unionByName(one)
+    out = readers.as_features(raw, F.col("dataset_id"), F.col("source_type"))
     return out.select(F.col("properties")["_name"].alias("name"), "source_type", "canonical_type", "kind",
                       (F.size("properties") - 1).alias("n_fields"), F.round("centroid_lon", 8).alias("lon"),
                       F.round("centroid_lat", 8).alias("lat"), "is_valid")

@@ -175,6 +175,7 @@ def baseline_follow_up_changes(previous: DataFrame, current: DataFrame, follow_u
     other = _keyed(follow_up.where(F.col("geometry_geojson").isNotNull())
                    .join(linked, F.col("properties")["linked_parcel"] == F.col("_l"), "left_semi"), [])
     one = F.lit(1).alias("_one")
+    shared = F.broadcast(shared)  # one row or none
     chosen = (c.select("*", one).join(shared, "_one", "left_semi").drop("_one")
               .unionByName(other.select("*", one).join(shared, "_one", "left_anti").drop("_one")))
     both = p.withColumnRenamed("v", "p").join(chosen.withColumnRenamed("v", "c"), "key", "full_outer")

@@ -18,6 +18,7 @@ from heapq import heappush, heappushpop
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from landrecon.operators import grid, match, skew
@@ -45,13 +46,24 @@ class Phase:
     matches: DataFrame
 
 
-def preferences(scored: DataFrame, cfg: Settings) -> DataFrame:
-    """Position of each candidate shape in the order its anchor shape would choose."""
-    order = Window.partitionBy("a_shape_id", "b_dataset_id").orderBy(F.desc("overall_confidence"), "b_ordinal")
+def preferences(scored: DataFrame, hot: DataFrame | None, cfg: Settings) -> DataFrame:
+    """Position of each candidate shape in the order its anchor shape would choose.
+
+    Anchors with very many candidates of one dataset (``hot``) are ranked block by block.
+    """
     size = cfg.cell_deg * BLOCK_CELLS
     block = F.concat_ws(":", F.floor(F.col("b_xmin") / size), F.floor(F.col("b_ymin") / size))
-    return scored.withColumns({"pos": F.row_number().over(order), "block": block}).select(
-        "a_shape_id", "b_dataset_id", *CHOICE, "b_feature_id", *match.SCORES)
+    scored = scored.withColumn("block", block)
+    out = ["a_shape_id", "b_dataset_id", *CHOICE, "b_feature_id", *match.SCORES]
+    order = Window.partitionBy("a_shape_id", "b_dataset_id").orderBy(F.desc("overall_confidence"), "b_ordinal")
+    if hot is None:
+        return scored.withColumn("pos", F.row_number().over(order).cast("long")).select(out)
+    keys = ["a_shape_id", "b_dataset_id"]
+    few = scored.join(F.broadcast(hot), keys, "left_anti").withColumn("pos", F.row_number().over(order).cast("long"))
+    # Confidence in falling tenths, then the candidate's rank, as one integer.
+    place = F.shiftleft(1000 - F.round(F.col("overall_confidence") * 10).cast("long"), 48) + F.col("b_ordinal")
+    many = scored.join(F.broadcast(hot), keys, "left_semi").withColumn("_place", place)
+    return few.select(out).unionByName(skew.running_position(many, keys, "_place", "pos").select(out))
 
 
 def _settle_block(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -151,21 +163,28 @@ def _first_choice(options: DataFrame) -> DataFrame:
     return live.groupBy(*SLOT).agg(F.min(F.struct(*CHOICE)).alias("_next")).select(*SLOT, "_next.*")
 
 
-def _settle(acting: DataFrame, edges: DataFrame, cfg: Settings, rounds: Rounds) -> DataFrame:
+def _settle(acting: DataFrame, edges: DataFrame, hot: DataFrame | None, cfg: Settings, rounds: Rounds) -> DataFrame:
     """Deferred acceptance: final choice of every anchor and dataset that gets one."""
-    prefs = rounds.keep(edges.groupBy("a_shape_id", "b_dataset_id").agg(
-        F.array_sort(F.collect_list(F.struct(*CHOICE))).alias("choices")))
+    keys = ["a_shape_id", "b_dataset_id"]
+    listed = edges if hot is None else edges.join(F.broadcast(hot), keys, "left_anti")
+    prefs = rounds.keep(listed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*CHOICE))).alias("choices")))
     asks = rounds.keep(_first_choice(acting.join(edges, "a_shape_id")))
     held = _Held(rounds)
     while not asks.isEmpty():
         holders = held.of(asks, "block")
         active = rounds.keep(asks if holders is None else asks.unionByName(holders))
-        sizes = active.groupBy("block").agg(F.count(F.lit(1)).alias("_n"))
+        # A block is settled in one task only if its slots, and the choices of each, are few.
+        if hot is None:
+            marked = active.withColumn("_hot", F.lit(0))
+        else:
+            marked = active.join(F.broadcast(hot.withColumn("_hot", F.lit(1))), keys, "left")
+        sizes = marked.groupBy("block").agg(
+            (F.coalesce(F.max("_hot"), F.lit(0)) * cfg.hot_rows + F.count(F.lit(1))).alias("_n"))
         sized = active.join(sizes, "block")
-        small = sized.where(F.col("_n") <= cfg.hot_rows).join(prefs, ["a_shape_id", "b_dataset_id"])
+        small = sized.where(F.col("_n") <= cfg.hot_rows).join(prefs, keys)
         left = F.filter("choices", lambda c: c["pos"] >= F.col("pos"))
         done = rounds.keep(small.select(*SLOT, "block", left.alias("choices")).groupBy("block").applyInPandas(
-            _settle_block, active.schema.add("outcome", "string")))
+            _settle_block, T.StructType([*active.schema.fields, T.StructField("outcome", T.StringType())])))
         won, asks = done.where("outcome = 'held'").select(STATE), done.where("outcome = 'ask'").select(STATE)
         large = sized.where(F.col("_n") > cfg.hot_rows).select(STATE)
         if not large.isEmpty():
@@ -204,8 +223,14 @@ def _phase(anchors: DataFrame, pool: DataFrame, many_sources: bool, cfg: Setting
     candidates = grid.distinct_shapes(near, columns + ["solo"], ["anchor_rank"])
     takers = anchors.withColumn("ordinal", F.col("rank"))
     a_shapes = grid.distinct_shapes(takers.where(F.col("kind").isNotNull()), columns, [])
-    pairs = match.distance_join(match.spatial_candidates(a_shapes, candidates, cfg), cfg)
-    edges = rounds.keep(preferences(match.score_pairs(pairs, cfg, encoder), cfg))
+    wide = grid.has_oversize(near, cfg) or grid.has_oversize(takers, cfg)
+    pairs = match.distance_join(match.spatial_candidates(a_shapes, candidates, cfg, wide), cfg)
+    scored = rounds.keep(match.score_pairs(pairs, cfg, encoder).select(
+        "a_shape_id", "b_dataset_id", "b_shape_id", "b_copies", "b_anchor_rank", "b_ordinal", "b_feature_id",
+        "b_xmin", "b_ymin", *match.SCORES))
+    hot = rounds.keep(skew.hot_keys(scored, ["a_shape_id", "b_dataset_id"], cfg.hot_rows).drop("_pieces"))
+    hot = None if hot.isEmpty() else hot
+    edges = rounds.keep(preferences(scored, hot, cfg))
     members = rounds.keep(takers.select(F.col("feature_id").alias("anchor_id"), F.col("rank").alias("anchor_rank"),
                                         grid.shape_id(columns).alias("a_shape_id")))
     taken = None
@@ -216,7 +241,7 @@ def _phase(anchors: DataFrame, pool: DataFrame, many_sources: bool, cfg: Setting
             gone = taken.withColumnRenamed("anchor_id", "b_feature_id").withColumn("_gone", F.lit(True))
             live = edges.join(gone, "b_feature_id", "left").withColumn(
                 "b_anchor_rank", F.when(F.col("_gone").isNull(), F.col("b_anchor_rank"))).drop("_gone")
-        chosen = _settle(acting, live, cfg, rounds)
+        chosen = _settle(acting, live, hot, cfg, rounds)
         final = rounds.keep(chosen.select(*SLOT, "pos").join(edges, ["a_shape_id", "b_dataset_id", "pos"]))
         if not many_sources:
             break

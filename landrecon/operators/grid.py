@@ -74,7 +74,7 @@ def box_pairs(left: DataFrame, right: DataFrame, cell: float, *, pad_x: Column |
     if max_cells is None:
         return pairs
     coarse = cell * 64
-    deeper = max_cells if coarse < 360 else None
+    deeper = max_cells if coarse < 4 else None
     again = [box_pairs(big_a, right, coarse, pad_x=pad_x, pad_y=pad_y, on=on, hot_rows=hot_rows,
                        max_cells=deeper),
              box_pairs(_small(left, "a_", cell, pad_x, pad_y, max_cells), big_b, coarse, pad_x=pad_x,
@@ -90,6 +90,12 @@ def _small(df: DataFrame, p: str, cell: float, pad_x, pad_y, max_cells: int) ->
             .select(df.columns))
 
 
+def has_oversize(features: DataFrame, cfg: Settings = DEFAULTS) -> bool:
+    """Whether any box spans more grid cells than are worth listing one by one."""
+    cells = ((F.col("xmax") - F.col("xmin")) / cfg.cell_deg + 2) * ((F.col("ymax") - F.col("ymin")) / cfg.cell_deg + 2)
+    return not features.where(cells > cfg.oversize_cells).isEmpty()
+
+
 def distinct_shapes(features: DataFrame, same: list[str], keep: list[str]) -> DataFrame:
     """One row per group of exact copies: first and last member and how many there are.
 

@@ -23,11 +23,16 @@ def canonical_columns(features: DataFrame, values: dict[str, Column]) -> DataFra
         "cmp_" + f: F.nullif(F.lower(F.trim(values[f].cast("string"))), F.lit("")) for f in COMPARED_FIELDS})
 
 
-def spatial_candidates(anchors: DataFrame, pool: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
-    """Pairs whose boxes meet after widening the anchor's by the search distance."""
+def spatial_candidates(anchors: DataFrame, pool: DataFrame, cfg: Settings = DEFAULTS,
+                       oversize: bool = False) -> DataFrame:
+    """Pairs whose boxes meet after widening the anchor's by the search distance.
+
+    ``oversize`` says that some features span very many cells (see ``grid.has_oversize``).
+    """
     a, b = grid.prefixed(anchors, "a_"), grid.prefixed(pool, "b_")
     pad_x, pad_y = grid.search_pad(F.col("a_centroid_lat"), cfg.search_m, cfg)
-    return grid.box_pairs(a, b, cfg.cell_deg, pad_x=pad_x, pad_y=pad_y, hot_rows=cfg.hot_rows)
+    return grid.box_pairs(a, b, cfg.cell_deg, pad_x=pad_x, pad_y=pad_y, hot_rows=cfg.hot_rows,
+                          max_cells=cfg.oversize_cells if oversize else None)
 
 
 def distance_join(pairs: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from landrecon.functions import geo, kernel, scalar
 from landrecon.functions.columns import once
-from landrecon.operators import grid
+from landrecon.operators import grid, skew
 from landrecon.settings import CANONICAL_TYPE, DEFAULT_CANONICAL_TYPE, DEFAULTS, Settings
 
 RAW = ["ordinal", "properties", "geometry_geojson"]
@@ -26,22 +26,25 @@ def canonical_type(source_type: Column) -> Column:
     return out
 
 
-def as_features(raw: DataFrame, dataset_id: str, source_type: str, crs: Column | str | None = None,
-                cfg: Settings = DEFAULTS) -> DataFrame:
-    """Typed, reprojected and measured features of one dataset.
+def as_features(raw: DataFrame, dataset_id: Column | str, source_type: Column | str,
+                crs: Column | str | None = None, cfg: Settings = DEFAULTS) -> DataFrame:
+    """Typed, reprojected and measured features of one or several datasets.
 
     ``raw`` has ``ordinal``, ``properties`` and ``geometry_geojson``. Rows whose geometry cannot be
-    read are dropped. Without a declared CRS each row is judged by its own position, which keeps the
-    read a single pass.
+    read are dropped. A dataset without a usable declared CRS is judged by its first feature.
     """
-    declared = F.lit(None).cast("string") if crs is None else (F.lit(crs) if isinstance(crs, str) else crs)
-    parsed = once(raw, _g=geo.parse_geojson(F.col("geometry_geojson"))).where(F.col("_g").isNotNull())
-    sample = geo.points(F.col("_g"))[0]
-    source = once(parsed, _crs=geo.detect_crs(declared, sample["x"], sample["y"]))
-    moved = once(source, _m=geo.reproject(F.col("_g"), F.col("_crs"), F.lit(f"EPSG:{cfg.target_epsg}")))
-    shaped = moved.withColumns({"geom": F.col("_m.geom"), "dataset_id": F.lit(dataset_id),
-                                "source_type": F.lit(source_type),
-                                "canonical_type": canonical_type(F.lit(source_type))})
+    def column(v: Column | str | None) -> Column:
+        return v if isinstance(v, Column) else F.lit(v).cast("string")
+
+    tagged = raw.withColumns({"dataset_id": column(dataset_id), "source_type": column(source_type), "_declared": column(crs)})
+    parsed = once(tagged, _g=geo.parse_geojson(F.col("geometry_geojson")))
+    first = parsed.groupBy("dataset_id").agg(
+        F.min_by(F.struct("_declared", "_g"), F.col("ordinal")).alias("f")).select(
+        "dataset_id", "f._declared", geo.centroid(F.col("f._g")).alias("c"))
+    source = first.select("dataset_id", geo.detect_crs(F.col("_declared"), F.col("c.x"), F.col("c.y")).alias("_crs"))
+    joined = skew.lookup_join(parsed.where(F.col("_g").isNotNull()), source, ["dataset_id"], F.col("ordinal"))
+    moved = once(joined, _m=geo.reproject(F.col("_g"), F.col("_crs"), F.lit(f"EPSG:{cfg.target_epsg}")))
+    shaped = moved.withColumns({"geom": F.col("_m.geom"), "canonical_type": canonical_type(F.col("source_type"))})
     return with_measures(shaped).select(*FEATURE)
 
 
@@ -76,7 +79,8 @@ def read_geojson(spark: SparkSession, path: str, dataset_id: str, source_type: s
             F.from_json("value", f"type string, crs_hint string, features array<{feature}>").alias("d"))
         checked = doc.select(F.when(F.col("d.type") == "FeatureCollection", F.col("d")).otherwise(
             F.raise_error(F.lit("file must be a GeoJSON FeatureCollection"))).alias("d"))
-        items = checked.select(F.posexplode("d.features").alias("ordinal", "f"), F.col("d.crs_hint").alias("hint"))
+        items = checked.select(F.explode("d.features").alias("f"), F.col("d.crs_hint").alias("hint")).withColumn(
+            "ordinal", F.monotonically_increasing_id())
     raw = items.select(F.col("ordinal").cast("long").alias("ordinal"), "hint", F.col("f.geometry").alias("geometry_geojson"),
                        F.coalesce(F.from_json("f.properties", "map<string,string>"),
                                   F.create_map().cast("map<string,string>")).alias("properties"))
@@ -247,8 +251,6 @@ def percentile_stretch(pixels: DataFrame) -> DataFrame:
     The exact percentile aggregates distinct values with their counts before the shuffle. The band
     limits are one row per raster and band, looked up by the pixels.
     """
-    from landrecon.operators import skew
-
     finite = F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf"))
     limits = pixels.where(finite).groupBy("raster_id", "band").agg(
         F.percentile("value", [0.02, 0.98]).alias("_q"))

@@ -33,14 +33,5 @@ def incremental_ingest(spark: SparkSession, folder: str, features_path: str, che
 
 def ingest_batch(raw: DataFrame) -> DataFrame:
     """Features of uploads of any source; their dataset and source come with the rows."""
-    from landrecon.sources.readers import canonical_type
-
-    typed = as_features(raw.withColumn("properties", F.map_concat(
-        F.coalesce("properties", F.create_map().cast("map<string,string>")),
-        F.create_map(F.lit("_dataset"), F.col("dataset_id"), F.lit("_source"), F.col("source_type")))
-    ).select("ordinal", "properties", "geometry_geojson"), "", "")
-    out = typed.withColumns({"dataset_id": F.col("properties")["_dataset"], "source_type": F.col("properties")["_source"]})
-    return out.withColumns({
-        "canonical_type": canonical_type(F.col("source_type")),
-        "feature_id": F.concat(F.lit("FT-"), F.substring(F.sha2(F.concat_ws("|", "dataset_id", "ordinal"), 256), 1, 12)),
-        "properties": F.map_filter("properties", lambda k, v: ~k.isin("_dataset", "_source"))})
+    bag = F.coalesce("properties", F.create_map().cast("map<string,string>"))
+    return as_features(raw.withColumn("properties", bag), F.col("dataset_id"), F.col("source_type"))
