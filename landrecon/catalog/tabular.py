@@ -10,6 +10,7 @@ from landrecon.catalog.oracle import lens_sql, table_sql
 from landrecon.catalog.registry import query
 from landrecon.functions import geo, scalar
 from landrecon.operators import (changes, conflicts, contracts, mapping, match, search, skew, stats, topology, unify)
+from landrecon.operators.rounds import Rounds
 from landrecon.settings import Settings
 from landrecon.sources import readers, sinks
 
@@ -148,6 +149,7 @@ def read_geojson(spark, sf_dir):
     f = lens.features(spark, sf_dir, mapped=False)
     raw = f.select("ordinal", "dataset_id", "source_type", geo.to_geojson(F.col("geom")).alias("geometry_geojson"),
                    F.map_concat("properties", F.create_map(F.lit("_name"), F.col("feature_id"))).alias("properties"))
+    raw = Rounds(spark).keep(raw)
     out = readers.as_features(raw, F.col("dataset_id"), F.col("source_type"))
     return out.select(F.col("properties")["_name"].alias("name"), "source_type", "canonical_type", "kind",
                       (F.size("properties") - 1).alias("n_fields"), F.round("centroid_lon", 8).alias("lon"),
@@ -274,8 +276,6 @@ def save_snapshot(spark, sf_dir):
     """Saved to the checkpoint folder and loaded again."""
     import uuid
 
-    from landrecon.operators.rounds import Rounds
-
     Rounds(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/snapshots-{uuid.uuid4().hex}"
     sinks.save_snapshot(t.parcels(spark, sf_dir), folder, "run-1")
@@ -357,7 +357,6 @@ def incremental_ingest(spark, sf_dir):
     """All layers as uploaded raw files that a file stream picks up and turns into features."""
     import uuid
 
-    from landrecon.operators.rounds import Rounds
     from landrecon.streaming.ingest import incremental_ingest as watch
 
     Rounds(spark)
