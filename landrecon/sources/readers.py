@@ -8,6 +8,7 @@ import zipfile
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from landrecon.functions import geo, kernel, scalar
 from landrecon.functions.columns import once
@@ -245,17 +246,48 @@ def raster_tile_grid(rasters: DataFrame, tile_size: int = 768, overlap: int = 96
                         F.least(F.lit(tile), F.col("height") - F.col("top")).alias("tile_height"))
 
 
+def exact_quantiles(values: DataFrame, keys: list[str], value: str, probs: tuple[float, ...],
+                    buckets: int = 4096) -> DataFrame:
+    """Linearly interpolated quantiles per key as an array ``q``, without one task per key.
+
+    Values are counted first. Equal-width buckets locate the wanted ranks, and only the distinct
+    values of the buckets that hold one are put in order.
+    """
+    counts = values.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    span = counts.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_all"))
+    place = F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets)
+    bucket = F.when(F.col("_hi") > F.col("_lo"), F.least(place, F.lit(buckets - 1))).otherwise(F.lit(0)).cast("int")
+    placed = counts.join(span, keys).select(*keys, "_v", "_n", bucket.alias("_b"))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy(*keys, "_b").agg(F.sum("_n").alias("_m")).withColumn(
+        "_start", F.coalesce(F.sum("_m").over(before), F.lit(0)))
+    ranks = F.array(*[F.struct(F.lit(i).alias("i"), f(p * (F.col("_all") - 1)).alias("r"), F.lit(up).alias("up"))
+                      for i, p in enumerate(probs) for up, f in ((0, F.floor), (1, F.ceil))])
+    wanted = span.select(*keys, F.inline(ranks)).join(sizes, keys).where(
+        (F.col("r") >= F.col("_start")) & (F.col("r") < F.col("_start") + F.col("_m")))
+    need = wanted.select(*keys, "_b").distinct()
+    upto = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ordered = placed.join(need, keys + ["_b"], "left_semi").withColumn("_cum", F.sum("_n").over(upto))
+    found = wanted.join(ordered, keys + ["_b"]).where(
+        (F.col("r") - F.col("_start") < F.col("_cum")) & (F.col("r") - F.col("_start") >= F.col("_cum") - F.col("_n")))
+    ends = found.groupBy(*keys, "i").agg(F.max(F.when(F.col("up") == 0, F.col("_v"))).alias("_v0"),
+                                         F.max(F.when(F.col("up") == 1, F.col("_v"))).alias("_v1"))
+    share = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("i") + 1) * (F.col("_all") - 1)
+    value_at = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (share - F.floor(share))
+    out = ends.join(span.select(*keys, "_all"), keys)
+    return out.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", value_at.alias("v")))).alias("_q")).select(
+        *keys, F.transform("_q", lambda e: e["v"]).alias("q"))
+
+
 def percentile_stretch(pixels: DataFrame) -> DataFrame:
     """Band values stretched to 0..255 between their 2nd and 98th percentiles.
 
-    The exact percentile aggregates distinct values with their counts before the shuffle. The band
-    limits are one row per raster and band, looked up by the pixels.
+    The band limits are one row per raster and band, looked up by the pixels.
     """
     finite = F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf"))
-    limits = pixels.where(finite).groupBy("raster_id", "band").agg(
-        F.percentile("value", [0.02, 0.98]).alias("_q"))
-    limits = limits.select("raster_id", "band", F.col("_q")[0].alias("_low"),
-                           F.when(F.col("_q")[1] <= F.col("_q")[0], F.col("_q")[0] + 1).otherwise(F.col("_q")[1]).alias("_high"))
+    limits = exact_quantiles(pixels.where(finite), ["raster_id", "band"], "value", (0.02, 0.98))
+    limits = limits.select("raster_id", "band", F.col("q")[0].alias("_low"),
+                           F.when(F.col("q")[1] <= F.col("q")[0], F.col("q")[0] + 1).otherwise(F.col("q")[1]).alias("_high"))
     joined = skew.lookup_join(pixels, limits, ["raster_id", "band"], F.col("value"), "left")
     scaled = (F.col("value") - F.col("_low")) * (255.0 / (F.col("_high") - F.col("_low")))
     level = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), scaled))).cast("int")

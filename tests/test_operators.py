@@ -277,3 +277,15 @@ def test_full_run_finds_the_seeded_defects(spark):
     assert second["change_events"].isEmpty()
     kept = {r.issue_type for r in second["validation_results"].collect()}
     assert "self_intersection" in kept
+
+
+def test_quantiles_are_exact(spark):
+    import numpy as np
+    from landrecon.sources.readers import exact_quantiles
+
+    rnd = np.random.default_rng(2)
+    groups = {"a": rnd.normal(size=501), "b": np.full(7, 3.0), "c": rnd.integers(0, 4, 90).astype(float), "d": np.array([9.0]),
+              "e": np.concatenate([np.full(400, 5.0), [1e6]])}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs], "k string, v double")
+    for r in exact_quantiles(df, ["k"], "v", (0.02, 0.5, 0.98), 16).collect():
+        assert r.q == pytest.approx(list(np.percentile(groups[r.k], (2, 50, 98))))
