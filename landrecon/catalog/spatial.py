@@ -161,11 +161,12 @@ def area_similarity(spark, sf_dir):
 def attribute_similarity(spark, sf_dir):
     from landrecon.functions import text
 
-    pairs = _linked(spark, sf_dir)
-    scores = []
-    for f in ("owner_name", "land_use", "parcel_id"):
-        pairs = text.with_ratio(pairs, "a_cmp_" + f, "b_cmp_" + f, "_" + f)
-        scores.append(F.col("_" + f))
+    pairs, scores = _linked(spark, sf_dir), []
+    names = [("a_cmp_" + f, "b_cmp_" + f) for f in ("owner_name", "land_use", "parcel_id")]
+    ratios = Rounds(spark).keep(text.ratio_table(pairs, names))
+    for a, b in names:
+        pairs = text.look_up(pairs, ratios, a, b, "_" + a)
+        scores.append(F.col("_" + a))
     return pairs.select(F.col("a_feature_id").alias("a_id"), F.col("b_feature_id").alias("b_id"),
                         F.round(scalar.attribute_similarity(scores), 6).alias("similarity"))
 

@@ -28,15 +28,23 @@ def ratio_bound(a: Column, b: Column) -> Column:
     return F.when(total > 0, 2.0 * F.least(F.length(a), F.length(b)) / total).otherwise(F.lit(1.0))
 
 
-def with_ratio(pairs: DataFrame, a: str, b: str, out: str) -> DataFrame:
-    """Add the similarity of columns ``a`` and ``b``.
+def ratio_table(pairs: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
+    """Similarity of every distinct unequal pair of texts found in the given column pairs.
 
-    Texts repeat far more often than they differ, so the distinct unequal pairs are scored and
-    joined back. The join key is the pair itself; adaptive execution splits pairs that are hot.
+    Texts repeat far more often than they differ, so this is much smaller than ``pairs``.
     """
-    distinct = (pairs.where((F.col(a) != F.col(b))).select(F.col(a).alias("_ra"), F.col(b).alias("_rb"))
-                .distinct())
-    scored = distinct.withColumn("_r", _ratio_udf("_ra", "_rb"))
-    joined = pairs.join(scored, (F.col(a) == F.col("_ra")) & (F.col(b) == F.col("_rb")), "left")
+    each = F.array(*[F.struct(F.col(a).alias("_ra"), F.col(b).alias("_rb")) for a, b in columns])
+    distinct = pairs.select(F.inline(each)).where(F.col("_ra") != F.col("_rb")).distinct()
+    return distinct.withColumn("_r", _ratio_udf("_ra", "_rb"))
+
+
+def look_up(pairs: DataFrame, table: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """Add the similarity of columns ``a`` and ``b`` from a ratio table; equal texts need no entry."""
+    joined = pairs.join(table, (F.col(a) == F.col("_ra")) & (F.col(b) == F.col("_rb")), "left")
     value = F.when(F.col(a) == F.col(b), F.lit(1.0)).otherwise(F.col("_r"))
     return joined.withColumn(out, value).drop("_ra", "_rb", "_r")
+
+
+def with_ratio(pairs: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """Add the similarity of columns ``a`` and ``b``."""
+    return look_up(pairs, ratio_table(pairs, [(a, b)]), a, b, out)

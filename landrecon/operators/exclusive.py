@@ -220,10 +220,10 @@ def _phase(anchors: DataFrame, pool: DataFrame, many_sources: bool, cfg: Setting
     own_rank = F.when(F.col("is_anchor"), F.col("rank")) if many_sources else F.lit(None).cast("long")
     near = pool.where(F.col("kind").isNotNull()).withColumns(
         {"ordinal": F.col("rank"), "solo": solo, "anchor_rank": own_rank})
-    candidates = grid.distinct_shapes(near, columns + ["solo"], ["anchor_rank"])
+    candidates = rounds.keep(grid.distinct_shapes(near, columns + ["solo"], ["anchor_rank"]))
     takers = anchors.withColumn("ordinal", F.col("rank"))
-    a_shapes = grid.distinct_shapes(takers.where(F.col("kind").isNotNull()), columns, [])
-    wide = grid.has_oversize(near, cfg) or grid.has_oversize(takers, cfg)
+    a_shapes = rounds.keep(grid.distinct_shapes(takers.where(F.col("kind").isNotNull()), columns, []))
+    wide = grid.has_oversize(candidates, cfg) or grid.has_oversize(a_shapes, cfg)
     pairs = match.distance_join(match.spatial_candidates(a_shapes, candidates, cfg, wide), cfg)
     scored = rounds.keep(match.score_pairs(pairs, cfg, encoder).select(
         "a_shape_id", "b_dataset_id", "b_shape_id", "b_copies", "b_anchor_rank", "b_ordinal", "b_feature_id",

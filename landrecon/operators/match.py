@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from landrecon.functions import geo, kernel, scalar, text
 from landrecon.functions.columns import once
 from landrecon.operators import grid
+from landrecon.operators.rounds import Rounds
 from landrecon.settings import COMPARED_FIELDS, DEFAULTS, IDENTIFIER_FIELDS, Settings
 
 KEYS = ["dataset_id", "kind", "xmin", "ymin", "xmax", "ymax", "centroid_lon", "centroid_lat", "area_sqm"]
@@ -105,6 +106,10 @@ def score_pairs(pairs: DataFrame, cfg: Settings = DEFAULTS, encoder=None, keep_a
         # Half a unit of the rounded decimal below the minimum still rounds up to it.
         cheap = cheap.where(best >= (cfg.min_match_confidence - 0.05) / 100 - 1e-9)
     scored = _with_attributes(cheap, cfg, encoder)
+    if not keep_all and cfg.text_ratio != "equality":
+        best = (w.weight_proximity * F.col("_prox") + w.weight_area * F.col("_area")
+                + w.weight_overlap * _overlap_bound(cfg) + w.weight_attribute * F.col("_attr"))
+        scored = scored.where(best >= (cfg.min_match_confidence - 0.05) / 100 - 1e-9)
     scored = once(scored, _over=geometry_overlap(_side("a_", cfg), _side("b_", cfg), cfg))
     total = (w.weight_proximity * F.col("_prox") + w.weight_overlap * F.col("_over")
              + w.weight_area * F.col("_area") + w.weight_attribute * F.col("_attr"))
@@ -124,13 +129,18 @@ def _side(p: str, cfg: Settings) -> Column:
 
 
 def _with_attributes(pairs: DataFrame, cfg: Settings, encoder) -> DataFrame:
-    scores = []
+    scores, table = [], None
+    if cfg.text_ratio != "equality":
+        # The pairs feed both the distinct texts and the look-ups, so they are written once.
+        rounds = Rounds(pairs.sparkSession)
+        pairs = rounds.keep(pairs)
+        table = rounds.keep(text.ratio_table(pairs, [("a_cmp_" + f, "b_cmp_" + f) for f in COMPARED_FIELDS]))
     for f in COMPARED_FIELDS:
         a, b, out = "a_cmp_" + f, "b_cmp_" + f, "_sim_" + f
-        if cfg.text_ratio == "equality":
+        if table is None:
             pairs = pairs.withColumn(out, (F.col(a) == F.col(b)).cast("double"))
         else:
-            pairs = text.with_ratio(pairs, a, b, out)
+            pairs = text.look_up(pairs, table, a, b, out)
         if encoder is not None and f not in IDENTIFIER_FIELDS:
             alike = scalar.embedding_similarity(encoder(F.col(a)), encoder(F.col(b)))
             blended = cfg.fuzzy_weight * F.col(out) + cfg.embedding_weight * alike
