@@ -29,8 +29,7 @@ def statistics(datasets: DataFrame, parcels: DataFrame, matches: DataFrame, conf
                validation: DataFrame, changes: DataFrame) -> DataFrame:
     """Workspace totals: each table is aggregated on its own, and the single rows are put side by side."""
     n = F.count(F.lit(1))
-    errors = F.when(~F.col("is_valid"), F.col("pair_count")) if "pair_count" in validation.columns \
-        else (~F.col("is_valid")).cast("long")
+    errors = F.when(~F.col("is_valid"), _issues(validation))
     parts = [
         _one(parcels, total_parcels=n, total_buildings=F.coalesce(F.sum("building_count"), F.lit(0)),
              average_confidence=F.coalesce(F.round(F.avg("confidence_score"), 1), F.lit(0.0))),
@@ -57,8 +56,13 @@ def conflict_categories(conflicts: DataFrame) -> DataFrame:
     return conflicts.groupBy("conflict_type").agg(F.count(F.lit(1)).alias("conflicts"))
 
 
+def _issues(validation: DataFrame) -> Column:
+    """Issues a validation row stands for: the pairs of a duplicate or overlap, else one."""
+    return F.col("pair_count") if "pair_count" in validation.columns else F.lit(1)
+
+
 def data_quality_report(datasets: DataFrame, validation: DataFrame) -> DataFrame:
-    bad = validation.where(~F.col("is_valid")).groupBy("dataset_id").agg(F.count(F.lit(1)).alias("_n"))
+    bad = validation.where(~F.col("is_valid")).groupBy("dataset_id").agg(F.sum(_issues(validation)).alias("_n"))
     return datasets.join(bad, "dataset_id", "left").withColumn(
         "invalid_geometry_count", F.coalesce("_n", F.lit(0))).drop("_n")
 
