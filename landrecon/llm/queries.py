@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from landrecon.llm import bpe, exact_dedup, simhash, token_files, toxicity
+from landrecon.llm import bpe, exact_dedup, mixing, simhash, token_files, toxicity, url_rules
 from landrecon.operators.rounds import Rounds
 from landrecon.session import ship
 
@@ -65,3 +66,24 @@ ORACLE["op8_exact_dedup"] = """
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every document by a model learned outside fold 0."""
     return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+SEED, TEMPERATURE = 5, 0.5
+
+
+@query
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every copy of every document in the mix, in shuffled order."""
+    mixed = mixing.mix(documents(spark, sf_dir), SEED, TEMPERATURE)
+    return mixed.select("doc_id", "text", "lang", "source", "n_chars", F.col("_copy").alias("copy"),
+                        F.col("_copies").alias("copies"))
+
+
+ORACLE["op5_mixing"] = ("SELECT doc_id, text, lang, source, n_chars, copy::INT AS copy, copies::INT AS copies FROM ("
+                        + mixing.MIX_SQL.format(documents="documents", seed=SEED, temperature=TEMPERATURE, epochs=1.0) + ")")
+
+
+@query
+def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL."""
+    return url_rules.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
