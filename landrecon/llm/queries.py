@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landrecon.llm import bpe, exact_dedup, mixing, simhash, token_files, toxicity, url_rules
+from landrecon.llm import bpe, exact_dedup, fingerprints, mixing, secret_scan, simhash, token_files, toxicity, url_rules
 from landrecon.operators.rounds import Rounds
 from landrecon.session import ship
 
@@ -87,3 +87,15 @@ ORACLE["op5_mixing"] = ("SELECT doc_id, text, lang, source, n_chars, copy::INT A
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's URL."""
     return url_rules.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+@query
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text."""
+    return fingerprints.edits(documents(spark, sf_dir))
+
+
+@query
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every text."""
+    return secret_scan.report(documents(spark, sf_dir))
