@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landrecon.llm import bpe, exact_dedup, fingerprints, mixing, secret_scan, simhash, token_files, toxicity, url_rules
+from landrecon.llm import bpe, exact_dedup, fingerprints, mixing, ppm, secret_scan, simhash, token_files, toxicity, url_rules
 from landrecon.operators.rounds import Rounds
 from landrecon.session import ship
 
@@ -99,3 +99,9 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every text."""
     return secret_scan.report(documents(spark, sf_dir))
+
+
+@query
+def op6_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and PPM scores of every document."""
+    return ppm.scores(documents(spark, sf_dir))
