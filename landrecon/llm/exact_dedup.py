@@ -16,10 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from landrecon.llm.frames import BROADCAST_ROWS, few, located
 from landrecon.operators.rounds import Rounds
 
-#: Rows of hits that are broadcast; more are joined by shuffle. A row is a digest of 32 bytes.
-BROADCAST_ROWS = 500_000
 #: Input files of arrivals that one micro-batch takes.
 FILES_PER_BATCH = 1000
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -42,17 +41,6 @@ def normalised(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def located(docs: DataFrame, rounds: Rounds) -> DataFrame:
-    """``docs`` with _file and _row, the place of each row. What is not read from files is written first."""
-    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
-    try:
-        return docs.select("*", *place)
-    except Exception as error:  # no files behind these rows
-        if "_metadata" not in str(error):
-            raise
-        return rounds.keep(docs).select("*", *place)
-
-
 def keep_state(arrivals: str, checkpoint: str, spark: SparkSession) -> DataFrame:
     """Run the stream over all new files of ``arrivals``; digest, rows, keep_id, keep_file, keep_row from its state."""
     session = spark.newSession()
@@ -74,10 +62,6 @@ def keep_state(arrivals: str, checkpoint: str, spark: SparkSession) -> DataFrame
                         F.col(f"value.`{keep}`.row").alias("keep_row"))
 
 
-def _few(df: DataFrame, most: int) -> DataFrame:
-    return F.broadcast(df) if df.count() <= most else df
-
-
 def classes(docs: DataFrame, text: Column | None = None, digest=sha256) -> tuple[DataFrame, DataFrame, Rounds]:
     """Rows (doc_id, _file, _row, digest, keep_id, group_size, kept) of ``docs``, and the located documents.
 
@@ -99,7 +83,7 @@ def classes(docs: DataFrame, text: Column | None = None, digest=sha256) -> tuple
     hits = known.where("n > 1")
     # Hits with their whole bytes. Copies are merged within each task, so a group of any size is one row a task.
     content = (here.select(digest(whole).alias("digest"), whole.alias("content"))
-               .join(_few(hits.select("digest"), BROADCAST_ROWS), "digest", "left_semi"))
+               .join(few(hits.select("digest"), BROADCAST_ROWS), "digest", "left_semi"))
     bytes_of = rounds.keep(content.groupBy("digest", "content").agg(F.count(F.lit(1)).alias("n"))
                            .groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("rows")))
     clashes = bytes_of.where("texts > 1").select("digest")
@@ -128,4 +112,4 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, all columns, one for each text."""
     rows, here, rounds = classes(docs)
     gone = rounds.keep(rows.where("not kept").select("_file", "_row"))
-    return here.join(_few(gone, BROADCAST_ROWS), ["_file", "_row"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return here.join(few(gone, BROADCAST_ROWS), ["_file", "_row"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

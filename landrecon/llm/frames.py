@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from landrecon.operators.rounds import Rounds
+
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The texts of a batch; a null text is an empty one."""
@@ -51,6 +53,26 @@ def plain(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
+#: Rows of a few ids or digests that are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def few(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, to be broadcast if it has at most ``most`` rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def located(docs: DataFrame, rounds: Rounds) -> DataFrame:
+    """``docs`` with _file and _row, the place of each row. What is not read from files is written first."""
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    try:
+        return docs.select("*", *place)
+    except Exception as error:  # no files behind these rows
+        if "_metadata" not in str(error):
+            raise
+        return rounds.keep(docs).select("*", *place)
+
+
 def order_key(name: str = "doc_id") -> Column:
     """A key that sorts null ids first."""
     return F.coalesce(F.col(name).cast("long"), F.lit(-(2**63)))

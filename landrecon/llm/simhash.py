@@ -16,6 +16,7 @@ members are dealt to several tasks: members fall in chunks, and every two chunks
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landrecon.llm.components import components
-from landrecon.llm.frames import arrow_map, arrow_schema, plain, texts
+from landrecon.llm.frames import BROADCAST_ROWS, arrow_map, arrow_schema, few, located, plain, texts
 from landrecon.operators.rounds import Rounds
 
 #: Most members of a table entry that one task holds, times two.
@@ -70,7 +71,8 @@ def _halves(fp: str = "fp") -> tuple[Column, Column]:
 
 
 def _dealt(entries: DataFrame, rounds: Rounds, *carried: str) -> DataFrame:
-    """Entries (key, ...) with the part of the key's members they belong to; rows of large keys go to several parts."""
+    """Entries (key, ...) with the part of the key's members they belong to; rows of large keys go to several parts.
+    The first carried column tells members apart."""
     large = rounds.keep(entries.groupBy("key").count().where(F.col("count") > CHUNK)
                         .select("key", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks")))
     n = large.count()
@@ -78,14 +80,14 @@ def _dealt(entries: DataFrame, rounds: Rounds, *carried: str) -> DataFrame:
         return entries.select("key", F.lit(0).alias("part"), *carried)
     # Large keys number at most entries / CHUNK: broadcast while few, else joined by shuffle.
     marked = entries.join(F.broadcast(large) if n <= 100_000 else large, "key", "left")
-    own = F.pmod(F.xxhash64("fp"), F.col("chunks").cast("long")).cast("int")
+    own = F.pmod(F.xxhash64(carried[0]), F.col("chunks").cast("long")).cast("int")
     parts = F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(F.transform(
         F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.least(own, j) * F.col("chunks") + F.greatest(own, j)))
     return marked.select("key", F.explode(parts).alias("part"), *carried)
 
 
 def stars(fps: np.ndarray, labels: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Pairs of labels that join what the links between these fingerprints join, without repeats."""
+    """Pairs of labels that join what the links between these fingerprints (a row of words each) join, without repeats."""
     pairs: list[tuple[int, int]] = []
     left = np.ones(len(fps), bool)
     while left.any():
@@ -96,7 +98,7 @@ def stars(fps: np.ndarray, labels: np.ndarray, radius: int) -> list[tuple[int, i
         queue = np.flatnonzero(group).tolist()
         while queue and left.any():
             rest = np.flatnonzero(left)
-            near = rest[np.bitwise_count(fps[rest] ^ fps[queue.pop()]) <= radius]
+            near = rest[np.bitwise_count(fps[rest] ^ fps[queue.pop()]).sum(1, dtype=np.int64) <= radius]
             if len(near):
                 joined = np.unique(labels[near])
                 pairs += [(int(mine), int(x)) for x in joined]
@@ -121,18 +123,18 @@ def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tup
         yield kept, np.zeros(1, np.int64)
 
 
-def _links(dealt: DataFrame, radius: int) -> DataFrame:
-    """a, b: labels that links within the groups of ``dealt`` (key, part, fp, label) join."""
+def _links(dealt: DataFrame, radius: int, words: tuple[str, ...] = ("fp",)) -> DataFrame:
+    """a, b: labels that links within the groups of ``dealt`` (key, part, label and the words of a fingerprint) join."""
     out = arrow_schema("a long, b long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, _, fp, label), starts in _groups(batches, ["key", "part", "fp", "label"]):
-            bits = fp.view(np.uint64)
+        for (_, _, label, *fps), starts in _groups(batches, ["key", "part", "label", *words]):
+            bits = np.stack(fps, 1).view(np.uint64)
             mixed = np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts)
-            ends = np.concatenate([starts[1:], [len(fp)]])
+            ends = np.concatenate([starts[1:], [len(label)]])
             two = mixed & (ends - starts == 2)
             i = starts[two]
-            i = i[np.bitwise_count(bits[i] ^ bits[i + 1]) <= radius]
+            i = i[np.bitwise_count(bits[i] ^ bits[i + 1]).sum(1, dtype=np.int64) <= radius]
             found = set(zip(label[i].tolist(), label[i + 1].tolist()))
             for a, b in zip(starts[mixed & ~two].tolist(), ends[mixed & ~two].tolist()):
                 found.update(stars(bits[a:b], label[a:b], radius))
@@ -181,5 +183,88 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+_INDEX, _WIDE = ("i0", "i1"), ("v0", "v1", "v2", "v3")
+_MIXES = [pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) | 1 for k in range(4)]
+
+
+def _majority(hashes: np.ndarray, words: int) -> list[int]:
+    """64 bits a word: those set in over half of the hashes, each spread to as many words."""
+    n, set_in = len(hashes), np.zeros(64 * words, np.int64)
+    for k in range(0, n, 16384):
+        spread = hashes[k : k + 16384, None] * np.array(_MIXES[:words], np.uint64)
+        spread ^= spread >> np.uint64(32)
+        spread *= np.uint64(0xD6E8FEB86659FD93)
+        spread ^= spread >> np.uint64(32)
+        set_in += np.unpackbits(spread.astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(set_in * 2 > n, bitorder="little").view("<i8").tolist()
+
+
+def wide_fingerprint(text: str, words: int = 5) -> tuple[list[int], list[int]]:
+    """128 bits of the distinct words and 256 bits of the distinct shingles of a text; without any word all are 0."""
+    parts = text.encode().translate(_LOWER).split()
+    if not parts:
+        return [0, 0], [0, 0, 0, 0]
+    digest = xxhash.xxh64_intdigest
+    hashes = np.fromiter(map(digest, parts), np.uint64, len(parts))
+    n = max(1, len(parts) - words + 1)
+    shingles = np.zeros(n, np.uint64)
+    for k in range(min(words, len(parts))):  # an ordered sum of the hashes of its words
+        shingles = (shingles ^ (shingles >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + hashes[k : k + n]
+    return _majority(np.unique(hashes), 2), _majority(np.unique(shingles), 4)
+
+
+def radius_for(similarity: float, bits: int = 256) -> int:
+    """Differing bits expected between sets of equal size with this share of common members."""
+    return int(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, _file, _row, group) of ``docs``, and the located documents.
+
+    Texts whose ``words``-word shingles are alike to ``similarity`` or more differ in too many bits of a
+    shingle fingerprint for small balls, as a changed word changes ``words`` shingles; it changes one
+    word, though. So the segments searched are the four quarters of a 128-bit fingerprint of the words,
+    each within 2 bits by balls of radius 1 on both sides, and what is compared then is a 256-bit
+    fingerprint of the shingles, against the distance that belongs to the similarity. Groups are what
+    links connect. Null and empty texts have fingerprint 0 and form a group.
+    """
+    rounds = Rounds(docs.sparkSession)
+    here = located(docs, rounds)
+    radius = radius_for(similarity)
+
+    def step(batch: pa.RecordBatch) -> dict[str, list]:
+        made = [sum(wide_fingerprint(t, words), []) for t in texts(batch)]
+        return {c: batch.column(c) for c in ("doc_id", "_file", "_row")} | dict(zip((*_INDEX, *_WIDE), zip(*made)))
+
+    columns = ", ".join(f"{c} long" for c in (*_INDEX, *_WIDE))
+    rows = rounds.keep(arrow_map(here.select("doc_id", "text", "_file", "_row"), step,
+                                 f"doc_id long, _file string, _row long, {columns}"))
+    # A node is a fingerprint; its number is a hash of all its words.
+    number = F.xxhash64(*_INDEX, *_WIDE).alias("node")
+    nodes = rounds.keep(rows.select(*_INDEX, *_WIDE).distinct().select("*", number))
+    segments = [part for word in _INDEX for part in _halves(word)]
+    same = _dealt(nodes.select(segments[0].alias("key"), "node", F.col("node").alias("label"), *_WIDE), rounds, "node", "label", *_WIDE)
+    first = components(rounds, _links(same, radius, _WIDE)).withColumnRenamed("node", "_node")
+    labelled = rounds.keep(nodes.join(first, nodes.node == first._node, "left")
+                           .select(*_INDEX, *_WIDE, "node", F.coalesce("component", "node").alias("label")))
+    entries = labelled.select("node", "label", *_WIDE, F.explode(F.concat(*[_ball(x, k) for k, x in enumerate(segments)])).alias("key"))
+    whole = components(rounds, _links(_dealt(entries, rounds, "node", "label", *_WIDE), radius, _WIDE)).withColumnRenamed("node", "_node")
+    groups = rounds.keep(labelled.join(whole, labelled.label == whole._node, "left").select("node", F.coalesce("component", "label").alias("group")))
+    return rows.select("doc_id", "_file", "_row", number).join(groups, "node").drop("node"), here
+
+
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs``, all columns, without near-duplicates: of each group the smallest doc_id stays, the first place
+    in the files among equal ones; null ids go before others do."""
+    rows, here = similar(docs, words, similarity)
+    rounds = Rounds(docs.sparkSession)
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_file", "_row")
+    rows = rounds.keep(rows)
+    stays = rounds.keep(rows.groupBy("group").agg(F.min(rank).alias("k"), F.count(F.lit(1)).alias("n")).where("n > 1")
+                        .select("group", F.col("k._file").alias("keep_file"), F.col("k._row").alias("keep_row")))
+    gone = rounds.keep(rows.join(stays, "group").where("_file <> keep_file or _row <> keep_row").select("_file", "_row"))
+    return here.join(few(gone, BROADCAST_ROWS), ["_file", "_row"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def hexadecimal(fp: str = "fp") -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
