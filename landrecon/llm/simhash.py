@@ -214,8 +214,10 @@ def wide_fingerprint(text: str, words: int = 5) -> tuple[list[int], list[int]]:
 
 
 def radius_for(similarity: float, bits: int = 256) -> int:
-    """Differing bits expected between sets of equal size with this share of common members."""
-    return int(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    """Differing bits expected between sets of equal size with this share of common members, and 0.4 standard deviations
+    more, so that pairs at the very bound are rather found than lost."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * share + 0.4 * math.sqrt(bits * share * (1 - share)))
 
 
 def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
