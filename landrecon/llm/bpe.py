@@ -27,7 +27,9 @@ from pyspark.sql import DataFrame
 from landrecon.llm.frames import arrow_map, plain, texts
 
 #: Pieces remembered by a worker, about 200 bytes each.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 700_000
+#: Latin letters, then marks: two pre-tokens, which need not be searched for.
+_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]*)")
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 _MIX, _SPREAD, _ALL, _U = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 2**64 - 1, np.uint64
 
@@ -37,6 +39,12 @@ def pieces(text: str) -> list[str]:
     return text.split(" ") if "  " not in text and text[-1:] != " " and text[:1] != " " else _SAFE_CUT.split(text)
 
 
+def plain_parts(piece: str) -> tuple[str, ...] | None:
+    """The pre-tokens of a piece of Latin letters and marks; None for any other."""
+    found = _PLAIN.fullmatch(piece)
+    return None if found is None else found.groups() if found[2] else (found[1],)
+
+
 class MinimalPerfectHash:
     """Places for n given keys in an array of n; other keys get some place, so compare the key there."""
 
@@ -119,6 +127,7 @@ class Codec:
             self.bytes_of[i] = key
         self.text_of = list(map(str, range(size)))
         self.first, self.later = Pieces(self.resolve), Pieces(self.resolve, " ")
+        self.parts = Pieces(lambda word: tuple(self.pre_token(word.encode())))
 
     @classmethod
     def of(cls, path: str, pattern: str) -> "Codec":
@@ -155,7 +164,8 @@ class Codec:
         return [self.id_of[k]] if self.vocabulary[k] == word else self.merge(word)
 
     def resolve(self, piece: str) -> tuple[int, ...]:
-        return tuple([i for m in self.pattern.findall(piece) for i in self.pre_token(m.encode())])
+        words = plain_parts(piece) or self.pattern.findall(piece)
+        return self.parts[words[0]] if len(words) == 1 else tuple([i for w in words for i in self.parts[w]])
 
     def encode(self, text: str) -> list[int]:
         if not text:

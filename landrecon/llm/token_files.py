@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from landrecon.llm import range_coder
-from landrecon.llm.bpe import Pieces, pieces
+from landrecon.llm.bpe import Pieces, pieces, plain_parts
 from landrecon.llm.frames import arrow_map, arrow_schema, bounds, bucket_of, order_key, plain, shuffle_parts, slices, texts
 
 SEGMENT = 16 * range_coder.BLOCK
@@ -44,6 +44,10 @@ class LibraryEncoder:
             raise ValueError("a normalizer may join pieces")
         self.split, self.model = whole.pre_tokenizer.pre_tokenize_str, whole.model
         self.first, self.later = Pieces(self.resolve), Pieces(self.resolve, " ")
+        self.words = Pieces(lambda word: array("I", [t.id for t in self.model.tokenize(word)]).tobytes())
+        #: How the library writes Latin letters and the space in its byte-level alphabet; empty for another pre-tokenizer.
+        byte_level = whole.pre_tokenizer.__class__.__name__ == "ByteLevel"
+        self.alphabet = {k: self.split(chr(k))[0][0] for k in (32, *range(0xC0, 0x250))} if byte_level else {}
 
     @classmethod
     def of(cls, path: str) -> "LibraryEncoder":
@@ -52,7 +56,11 @@ class LibraryEncoder:
         return cls._made[path]
 
     def resolve(self, piece: str) -> bytes:
-        return array("I", [t.id for word, _ in self.split(piece) for t in self.model.tokenize(word)]).tobytes()
+        parts = plain_parts(piece) if self.alphabet else None
+        if parts is None:
+            return b"".join([self.words[word] for word, _ in self.split(piece)])
+        word = self.words[parts[0].translate(self.alphabet)]
+        return word + self.words[parts[1]] if len(parts) > 1 else word
 
     def encode(self, text: str) -> bytes:
         if not text:
