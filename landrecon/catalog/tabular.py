@@ -34,7 +34,7 @@ SELECT id, parcel_id, 'REDACTED' AS owner_name, confidence_score FROM parcels WH
 def search_parcels_restricted(spark, sf_dir):
     return search.search_parcels(
         t.parcels(spark, sf_dir), search="p-1", validation_status="PASSED", conflict_status="NONE", sort_by="id",
-        sort_dir="asc", limit=9999, role="viewer").select("id", "parcel_id", "owner_name", "confidence_score")
+        sort_dir="asc", limit=2000, role="viewer").select("id", "parcel_id", "owner_name", "confidence_score")
 
 
 @query("top_parcels", table_sql("SELECT id, area FROM parcels ORDER BY area DESC NULLS LAST, id LIMIT 2000"))
@@ -56,7 +56,7 @@ def redact_owner(spark, sf_dir):
 SELECT id, matched_group_id, {_SCORES} FROM matches WHERE overall_confidence >= 60
 ORDER BY overall_confidence DESC, id LIMIT 3000"""))
 def search_matches(spark, sf_dir):
-    return search.search_matches(t.matches(spark, sf_dir), min_confidence=60, limit=5000).select(
+    return search.search_matches(t.matches(spark, sf_dir), min_confidence=60, limit=3000).select(
         "id", "matched_group_id", *match.SCORES)
 
 
@@ -285,8 +285,8 @@ def save_snapshot(spark, sf_dir):
 
 
 @query("export_report_bundle", table_sql("""
-SELECT 'unified_records' AS section, least(count(*), 2000) AS records FROM parcels
-UNION ALL SELECT 'matches', least(count(*), 3000) FROM matches UNION ALL SELECT 'conflicts', count(*) FROM conflicts
+SELECT 'unified_records' AS section, count(*) AS records FROM parcels
+UNION ALL SELECT 'matches', count(*) FROM matches UNION ALL SELECT 'conflicts', count(*) FROM conflicts
 UNION ALL SELECT 'changes', count(*) FROM changes UNION ALL SELECT 'mappings', count(*) FROM mappings
 UNION ALL SELECT 'topology', count(*) FROM validation UNION ALL SELECT 'datasets', count(*) FROM datasets"""))
 def export_report_bundle(spark, sf_dir):

@@ -111,8 +111,8 @@ def _closeness(cfg: Settings) -> Column:
 def nearest_parcel_score(parcels: DataFrame, points: DataFrame, reach_m: float, cfg: Settings) -> DataFrame:
     """Best closeness of each distinct point among the parcels within ``reach_m``."""
     a, b = grid.prefixed(parcels, "a_"), grid.prefixed(points, "b_")
-    # Half a percent of slack covers the scale error of the flat degree box.
-    pad_x, pad_y = grid.search_pad(F.abs(F.col("a_ymax")), reach_m * 1.005, cfg)
+    # One percent of slack covers the scale error of the flat degree box; the edge nearer to a pole needs the wider one.
+    pad_x, pad_y = grid.search_pad(F.greatest(F.abs(F.col("a_ymin")), F.abs(F.col("a_ymax"))), reach_m * 1.01, cfg)
     cell = max(cfg.same_layer_cell_deg, 2 * reach_m / cfg.metres_per_degree)
     pairs = grid.box_pairs(a, b, cell, pad_x=pad_x, pad_y=pad_y, hot_rows=cfg.hot_rows)
     return pairs.groupBy(F.col("b_shape_id").alias("shape_id")).agg(F.max(_closeness(cfg)).alias("score"))
@@ -130,10 +130,10 @@ def gnss_outside_conflicts(features: DataFrame, cfg: Settings = DEFAULTS) -> Dat
     points = _shapes(features, "gnss_point", cfg)
     near = nearest_parcel_score(parcels, points, cfg.decay_m * log(1 / cfg.gnss_outside) + 1, cfg)
     lost = points.join(near.where(F.col("score") >= cfg.gnss_outside), "shape_id", "left_anti")
-    score = nearest_parcel_score(parcels, lost, cfg.nearest_reach_m, cfg)
+    score = nearest_parcel_score(parcels, lost, cfg.decay_m * log(2000), cfg)  # beyond it the score rounds to zero
     rows = (_members(features, "gnss_point", cfg)
             .join(lost.select("shape_id").join(score, "shape_id", "left"), "shape_id")
-            .withColumn("score", F.coalesce("score", F.lit(0.0))))
+            .withColumn("score", F.coalesce("score", F.lit(0.0))).where(F.col("score") < cfg.gnss_outside))
     return _finding(
         rows, "gnss_outside_parcel", F.lit("MINOR"), F.col("feature_id"), F.col("dataset_id"), F.lit(None),
         F.concat(F.lit("GNSS survey point "), "feature_id", F.lit(" lies outside all known parcel boundaries "

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from landrecon.functions import geo
 from landrecon.settings import DEFAULTS, Settings
@@ -52,9 +53,23 @@ def orphan_check(child: DataFrame, key: str, parent: DataFrame, parent_key: str)
     return child.where(F.col(key).isNotNull()).join(refs, F.col(key) == F.col("_p"), "left_anti")
 
 
+def _ordered(value: Column, kind: DataType) -> Column:
+    """The value with the keys of its maps and the fields of its structs in order."""
+    if isinstance(kind, MapType):
+        return F.map_from_entries(F.transform(
+            F.array_sort(F.map_keys(value)), lambda k: F.struct(k, _ordered(value[k], kind.valueType))))
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: _ordered(x, kind.elementType))
+    if isinstance(kind, StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        return F.when(value.isNotNull(), F.struct(*[_ordered(value.getField(f.name), f.dataType).alias(f.name) for f in fields]))
+    return value
+
+
 def canonical_json_sha256(df: DataFrame) -> DataFrame:
-    """Digest per row of its JSON with sorted keys and compact separators."""
-    row = F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)]), {"ignoreNullFields": "false"})
+    """Digest per row of its JSON with sorted keys, those of maps and nested structs included, and compact separators."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    row = F.to_json(F.struct(*[_ordered(F.col(f"`{c}`"), types[c]).alias(c) for c in sorted(types)]), {"ignoreNullFields": "false"})
     return df.withColumn("row_sha256", F.sha2(row, 256))
 
 

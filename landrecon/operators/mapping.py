@@ -19,18 +19,13 @@ def field_name_union(features: DataFrame) -> DataFrame:
 
 
 def dataset_field_profile(features: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
-    """Property names of each dataset's first features, with the value of its sample row.
+    """Property names of all features of each dataset, with the value of its sample row: the first with any property.
 
-    The ranking filter lets Spark keep only the first rows of each dataset before the shuffle.
+    Names and sample rows are combined before they are shuffled, so a dataset of any size is a few rows a task.
     """
-    order = Window.partitionBy("dataset_id").orderBy("ordinal", "feature_id")
-    head = (features.select("dataset_id", "ordinal", "feature_id", "properties")
-            .withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= cfg.mapping_sample_rows))
-    filled = F.when(F.size("properties") > 0, F.col("_r"))
-    rows = head.groupBy("dataset_id").agg(
-        F.array_distinct(F.flatten(F.collect_list(F.map_keys("properties")))).alias("fields"),
-        F.min_by("properties", filled).alias("sample"))
-    return rows.select("dataset_id", "sample", F.explode(F.array_sort("fields")).alias("source_field")).select(
+    place = F.when(F.size("properties") > 0, F.struct("ordinal", "feature_id"))
+    samples = features.groupBy("dataset_id").agg(F.min_by("properties", place).alias("sample"))
+    return field_name_union(features).join(samples, "dataset_id").select(
         "dataset_id", "source_field", F.map_contains_key("sample", F.col("source_field")).alias("sampled"),
         F.col("sample")[F.col("source_field")].alias("sample_value"))
 
@@ -50,8 +45,8 @@ def synonym_scores(fields: DataFrame, field: str = "source_field") -> DataFrame:
 
 def datatype_bonus(value: Column, canonical: Column) -> Column:
     """Small correction for a sample value that fits, or does not fit, the field's type."""
-    numeric = F.try_cast(F.trim(value), "double") if hasattr(F, "try_cast") else F.trim(value).try_cast("double")
-    is_number = numeric.isNotNull()
+    # The cast alone would take 12D or 7f as numbers.
+    is_number = F.coalesce(F.trim(value).rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"), F.lit(False))
     return (F.when(canonical.isin(*NUMERIC_CANONICAL), F.when(is_number, 0.08).otherwise(-0.05))
             .otherwise(F.when(is_number, -0.02).otherwise(0.03)))
 

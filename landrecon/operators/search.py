@@ -34,7 +34,14 @@ def top_parcels(parcels: DataFrame, sort_by: str = "confidence_score", sort_dir:
                 limit: int = 500) -> DataFrame:
     """Unknown sort columns fall back to the confidence; ties go by id."""
     key = F.col(sort_by if sort_by in parcels.columns else "confidence_score")
-    return parcels.orderBy(key.desc() if sort_dir == "desc" else key.asc(), "id").limit(min(limit, 2000))
+    return parcels.orderBy(key.desc() if sort_dir == "desc" else key.asc(), "id").limit(allowed(limit, 2000))
+
+
+def allowed(limit: int, most: int) -> int:
+    """A larger request is refused, not silently cut."""
+    if not 1 <= limit <= most:
+        raise ValueError(f"limit must be between 1 and {most}")
+    return limit
 
 
 def redact_owner(parcels: DataFrame, role: str | None) -> DataFrame:
@@ -56,7 +63,7 @@ def search_matches(matches: DataFrame, group_id: str | None = None, min_confiden
 
 
 def top_matches(matches: DataFrame, limit: int = 500) -> DataFrame:
-    return matches.orderBy(F.desc("overall_confidence"), "id").limit(min(limit, 3000))
+    return matches.orderBy(F.desc("overall_confidence"), "id").limit(allowed(limit, 3000))
 
 
 def search_conflicts(conflicts: DataFrame, status: str | None = None, severity: str | None = None,
@@ -139,9 +146,9 @@ def subset_by_keys(features: DataFrame, keys: DataFrame, utilities: int = 12, ca
 
 
 def report_sections(**tables: DataFrame) -> dict[str, DataFrame]:
-    """The sections of a result report, with the row limits of its record and match lists."""
-    limits = {"unified_records": lambda d: top_parcels(d, limit=2000), "matches": lambda d: top_matches(d, 3000)}
-    return {name: limits.get(name, lambda d: d)(df) for name, df in tables.items()}
+    """The sections of a result report: whole tables, records and matches with the surest first."""
+    first = {"unified_records": "confidence_score", "matches": "overall_confidence"}
+    return {name: df.orderBy(F.desc(first[name]), "id") if name in first else df for name, df in tables.items()}
 
 
 def group_confidence(matches: DataFrame, min_confidence: float = 0.0) -> DataFrame:

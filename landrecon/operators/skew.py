@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-MAX_HOT_KEYS = 1024
+MAX_HOT_KEYS = 100_000
 BUCKET_BITS = 16
 
 
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
     """The busiest keys and into how many pieces to split each: at most ``MAX_HOT_KEYS`` rows.
 
-    Every key beyond them is smaller than a thousandth of the table, which a plain shuffle handles.
+    Every key beyond them is smaller than a hundred-thousandth of the table, which a plain shuffle handles.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= hot_rows)
     top = counts.orderBy(F.desc("_n"), *keys).limit(MAX_HOT_KEYS)

@@ -106,7 +106,6 @@ class Settings:
     band_medium: float = 70.0
     mapping_review: float = 0.55
     mapping_floor: float = 0.25
-    mapping_sample_rows: int = 50
     duplicate_iou: float = 0.97
     overlap_iou: float = 0.05
     overlap_major_iou: float = 0.30
@@ -118,7 +117,6 @@ class Settings:
     area_mismatch_major: float = 0.30
     gnss_outside: float = 0.30
     decay_m: float = 50.0
-    nearest_reach_m: float = 380.0
     owner_similarity: float = 0.60
     area_change: float = 0.05
     fuzzy_weight: float = 0.65

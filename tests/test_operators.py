@@ -289,3 +289,34 @@ def test_quantiles_are_exact(spark):
     df = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs], "k string, v double")
     for r in exact_quantiles(df, ["k"], "v", (0.02, 0.5, 0.98), 16).collect():
         assert r.q == pytest.approx(list(np.percentile(groups[r.k], (2, 50, 98))))
+
+
+def test_late_field_gets_a_profile(spark):
+    from landrecon.operators import mapping
+
+    rows = [("D", i, f"F{i}", {"a": "1"} if i < 60 else {"late": "2"}) for i in range(61)]
+    df = spark.createDataFrame(rows, "dataset_id string, ordinal long, feature_id string, properties map<string,string>")
+    found = {(r.source_field, r.sampled, r.sample_value) for r in mapping.dataset_field_profile(df).collect()}
+    assert found == {("a", True, "1"), ("late", False, None)}
+    values = spark.createDataFrame([("12D",), ("7f",), (" 12.5 ",), ("-3e2",), (None,)], "v string")
+    from pyspark.sql import functions as F
+
+    got = [round(r[0], 2) for r in values.select(mapping.datatype_bonus(F.col("v"), F.lit("owner_name"))).collect()]
+    assert got == [0.03, 0.03, -0.02, -0.02, 0.03]
+
+
+def test_larger_limits_are_refused(spark):
+    import pytest
+
+    from landrecon.operators import search
+
+    with pytest.raises(ValueError, match="limit"):
+        search.top_parcels(spark.createDataFrame([("a", 1.0)], "id string, confidence_score double"), limit=2001)
+
+
+def test_digest_ignores_the_order_of_maps(spark):
+    from landrecon.operators import contracts
+
+    a = spark.sql("SELECT map('a', 1, 'b', 2) AS m, named_struct('y', map('c', 1, 'd', 2), 'x', 1) AS s")
+    b = spark.sql("SELECT map('b', 2, 'a', 1) AS m, named_struct('x', 1, 'y', map('d', 2, 'c', 1)) AS s")
+    assert contracts.canonical_json_sha256(a).first().row_sha256 == contracts.canonical_json_sha256(b).first().row_sha256

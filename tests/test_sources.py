@@ -168,3 +168,16 @@ def test_search_hides_owners_from_other_roles(spark, sf):
     assert search.search_parcels(p, search="customer#", role="viewer").count() == 0
     assert search.search_parcels(p, search="customer#", role="reviewer").count() == p.count()
     assert search.search_conflicts(tables.conflicts(spark, sf), role="viewer").where("conflict_type = 'owner_mismatch'").isEmpty()
+
+
+def test_mixed_folder_is_read_whole(spark, tmp_path):
+    """Each file by its own first line, in either order of their names."""
+    import json
+
+    point = lambda i: {"type": "Feature", "geometry": {"type": "Point", "coordinates": [73.0 + i / 1000, 18.0]}, "properties": {"id": str(i)}}
+    for k, (first, second) in enumerate((("a", "b"), ("b", "a"))):
+        folder = tmp_path / f"mixed{k}"
+        folder.mkdir()
+        (folder / f"{first}.geojson").write_text("\n".join(json.dumps(point(i)) for i in range(50)))
+        (folder / f"{second}.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": [point(i) for i in range(50, 55)]}, indent=1))
+        assert readers.read_geojson(spark, str(folder), "D", "gnss").count() == 55
