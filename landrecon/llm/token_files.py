@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from landrecon.llm import range_coder
-from landrecon.llm.bpe import Pieces, pieces, plain_parts
-from landrecon.llm.frames import arrow_map, arrow_schema, bounds, bucket_of, order_key, plain, shuffle_parts, slices, texts
+from landrecon.llm.bpe import Pieces, plain_parts
+from landrecon.llm.frames import arrow_map, arrow_schema, bounds, bucket_of, order_key, plain, shuffle_parts, slices
+from landrecon.llm.piece_table import PieceTable
 
 SEGMENT = 16 * range_coder.BLOCK
 SCHEMA = ("shard int, segment int, first long, doc_ids array<long>, counts array<int>, block_bytes array<int>, "
@@ -30,8 +31,8 @@ class LibraryEncoder:
     """Ids by the tokenizers library, as little-endian unsigned 32-bit integers; one for each worker and file.
 
     Texts are cut where the pre-tokenizer always cuts. A piece goes through the library's
-    pre-tokenizer and model; frequent ones are remembered. Strings of special tokens in a text are
-    ordinary text.
+    pre-tokenizer and model and is then remembered in a ``PieceTable``. Strings of special tokens in
+    a text are ordinary text.
     """
 
     _made: dict[str, "LibraryEncoder"] = {}
@@ -43,7 +44,7 @@ class LibraryEncoder:
         if whole.normalizer is not None:
             raise ValueError("a normalizer may join pieces")
         self.split, self.model = whole.pre_tokenizer.pre_tokenize_str, whole.model
-        self.first, self.later = Pieces(self.resolve), Pieces(self.resolve, " ")
+        self.table = PieceTable(self.resolve)
         self.words = Pieces(lambda word: array("I", [t.id for t in self.model.tokenize(word)]).tobytes())
         #: How the library writes Latin letters and the space in its byte-level alphabet; empty for another pre-tokenizer.
         byte_level = whole.pre_tokenizer.__class__.__name__ == "ByteLevel"
@@ -62,11 +63,15 @@ class LibraryEncoder:
         word = self.words[parts[0].translate(self.alphabet)]
         return word + self.words[parts[1]] if len(parts) > 1 else word
 
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        first, *rest = pieces(text)
-        return self.first[first] + b"".join(map(self.later.__getitem__, rest))
+    def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each followed by ``end_id``, and how many each has with it. A null text is an empty one."""
+        found, counts = self.table.encode(column)
+        counts = counts + 1
+        ids = np.full(len(found) + len(counts), end_id, "<u4")
+        inside = np.ones(len(ids), bool)
+        inside[np.cumsum(counts) - 1] = False
+        ids[inside] = found
+        return ids, counts
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) -> None:
@@ -82,7 +87,6 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) -> None
     dealt = (rows.withColumn("_shard", bucket_of(F.col("_key"), cuts)).repartitionById(len(cuts) + 1, F.col("_shard"))
              .sortWithinPartitions("_shard", "_key", "text").select("doc_id", "text", "_shard"))
     schema = arrow_schema(SCHEMA)
-    end = array("I", [end_id]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = LibraryEncoder.of(tokenizer)
@@ -93,22 +97,23 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) -> None
         def close() -> None:
             nonlocal ids, counts, parts, room, segment, first, blocks
             if ids:
-                codes = np.frombuffer(b"".join(parts), "<u4")
+                codes = np.concatenate(parts)
                 waiting.append((ids, counts, codes, segment, first, shard))
                 segment, first, blocks = segment + 1, first + len(codes), blocks + -(-len(codes) // range_coder.BLOCK)
                 ids, counts, parts, room = [], [], [], SEGMENT
 
         for batch in batches:
             for part in slices(batch):
-                for i, text, of in zip(part.column("doc_id").to_pylist(), texts(part), part.column("_shard").to_pylist()):
+                made, sizes = encoder.encode(part.column("text"), end_id)
+                ends = np.cumsum(sizes).tolist()
+                for i, of, n, to in zip(part.column("doc_id").to_pylist(), part.column("_shard").to_pylist(), sizes.tolist(), ends):
                     if of != shard:
                         close()
                         shard, segment, first = of, 0, 0
-                    code = encoder.encode(text) + end
                     ids.append(i)
-                    counts.append(len(code) // 4)
-                    parts.append(code)
-                    room -= counts[-1]
+                    counts.append(n)
+                    parts.append(made[to - n : to])
+                    room -= n
                     if room <= 0:
                         close()
                         if blocks >= range_coder.LANES:

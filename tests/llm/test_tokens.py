@@ -4,13 +4,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from landrecon.llm import bpe, range_coder, token_files
+from landrecon.llm import bpe, piece_table, range_coder, token_files
 
 RANKS, JSON = P.path("byte_bpe_multi_50k.tiktoken"), P.path("byte_bpe_50k.json")
 
@@ -35,8 +36,20 @@ def test_ids_are_those_of_the_libraries(text):
     assert ids == own.encode_ordinary(text) and codec.decode(ids) == text.encode()
     whole = test_ids_are_those_of_the_libraries.__dict__.setdefault("json", Tokenizer.from_file(JSON))
     whole.encode_special_tokens = True
-    assert np.frombuffer(token_files.LibraryEncoder.of(JSON).encode(text), "<u4").tolist() == whole.encode(
-        text, add_special_tokens=False).ids
+    expected = whole.encode(text, add_special_tokens=False).ids + [0]
+    for _ in range(2):  # resolved, then remembered
+        ids, counts = token_files.LibraryEncoder.of(JSON).encode(pa.array(["", text, None, text]), 0)
+        assert ids.tolist() == [0, *expected, 0, *expected] and counts.tolist() == [1, len(expected), 1, len(expected)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="ab é\0x", max_size=40)), st.integers(0, 9))
+def test_pieces_are_told_apart_and_forgotten(texts, kept):
+    table = piece_table.PieceTable(lambda piece: np.frombuffer(piece.encode(), np.uint8).astype("<u4").tobytes(), kept)
+    for _ in range(2):
+        ids, counts = table.encode(pa.array(["zz", *texts]).slice(1))
+        assert bytes(ids.tolist()).decode() == "".join(texts) and counts.tolist() == [len(t.encode()) for t in texts]
+    assert table.entries <= kept
 
 
 def test_perfect_hash_uses_every_place():
