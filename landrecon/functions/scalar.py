@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from landrecon.settings import DEFAULTS, OWNER_ROLES, PERSONAL_KEYS, VERSION_KEY_FIELDS, Settings
 
@@ -74,19 +78,50 @@ def can_view_owners(role: str | None) -> bool:
     return role is None or role in OWNER_ROLES
 
 
+_PERSONAL = "|".join(PERSONAL_KEYS)
+_PERSONAL_KEY = re.compile(rf'"(?:{_PERSONAL})"\s*:\s*', re.IGNORECASE)
+_NESTED = rf'(?i)"(?:{_PERSONAL})"\s*:\s*[\[{{]'
+_WORD = re.compile(r"[^,}\]\s]*")
+_JSON = json.JSONDecoder()
+
+
+def _masked(text: str) -> str:
+    """JSON text with every value of a personal key replaced, whatever it nests; all else stays as written."""
+    out, at = [], 0
+    while (key := _PERSONAL_KEY.search(text, at)) is not None and key.end() < len(text):
+        out += text[at : key.end()], '"REDACTED"'
+        try:
+            at = _JSON.raw_decode(text, key.end())[1]
+        except (ValueError, RecursionError):  # not JSON: a word, or nothing that has an end
+            at = len(text) if text[key.end() : key.end() + 1] in ("{", "[", '"') else _WORD.match(text, key.end()).end()
+    return "".join([*out, text[at:]])
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _masked_nested(values: pd.Series) -> pd.Series:
+    return values.map(lambda texts: texts if texts is None else [None if x is None else _masked(x) for x in texts])
+
+
+def _masked_scalars(text: Column) -> Column:
+    return F.regexp_replace(text, rf'(?i)("(?:{_PERSONAL})"\s*:\s*)("(?:[^"\\]++|\\.)*+"|[^,}}\]\s]+)', '$1"REDACTED"')
+
+
+def _masked_texts(texts: Column) -> Column:
+    """An array of JSON texts with personal values masked. Only arrays with a nested personal value leave the JVM."""
+    nested = F.exists(texts, lambda x: F.coalesce(x.rlike(_NESTED), F.lit(False)))
+    return F.when(nested, _masked_nested(F.when(nested, texts))).otherwise(F.transform(texts, _masked_scalars))
+
+
 def mask_personal_fields(bag: Column) -> Column:
-    return F.transform_values(bag, lambda k, v: F.when(
-        F.lower(k).isin(*PERSONAL_KEYS), F.lit("REDACTED")).otherwise(v))
+    """A property bag with the values of personal keys replaced, those inside JSON values as well."""
+    names, values = F.map_keys(bag), _masked_texts(F.map_values(bag))
+    return F.map_from_arrays(names, F.zip_with(names, values, lambda k, v: F.when(
+        F.lower(k).isin(*PERSONAL_KEYS), F.lit("REDACTED")).otherwise(v)))
 
 
 def mask_personal_json(text: Column) -> Column:
-    """Masks personal keys at any depth of JSON text.
-
-    The value after such a key may be a string, a number, a word, or a flat object or list.
-    """
-    keys = "|".join(PERSONAL_KEYS)
-    value = r'("(?:[^"\\]|\\.)*"|\{[^{}]*\}|\[[^\[\]]*\]|[^,}\]\s]+)'
-    return F.regexp_replace(text, rf'(?i)("(?:{keys})"\s*:\s*){value}', '$1"REDACTED"')
+    """JSON text with the value of every personal key replaced, at any depth and whatever the value nests."""
+    return _masked_texts(F.array(text))[0]
 
 
 def canonical_json(bag: Column) -> Column:

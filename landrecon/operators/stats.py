@@ -179,18 +179,26 @@ def snapshot_record_counts(tables: dict[str, DataFrame], declared: DataFrame) ->
 
 def pipeline_output_ready(matches: DataFrame, mappings: DataFrame, validation: DataFrame, parcels: DataFrame,
                           stages: DataFrame, job_total: DataFrame) -> DataFrame:
-    """Whether a run left every output a complete one leaves. ``job_total`` has ``total_processed``."""
+    """Whether a run left every output a complete one leaves.
+
+    One job must have completed all nine stages, by their last reports, and have processed as many
+    parcels as there are. ``job_total`` has ``job_id`` and ``total_processed``; the total returned is
+    that of the job with all stages, the largest of several.
+    """
     n = F.count(F.lit(1))
-    done = F.size(F.array_intersect(
-        F.collect_set(F.when(F.col("status") == "completed", F.col("name"))),
-        F.array(*[F.lit(s) for s in PIPELINE_STAGES[:9]]))) == 9
+    needed = F.col("name").isin(*PIPELINE_STAGES[:9]) & (F.col("status") == "completed")
+    done = (latest_stage_status(stages).groupBy("job_id").agg(F.sum(needed.cast("int")).alias("_done")).where("_done = 9")
+            .select(F.col("job_id").alias("_job")))
+    totals = job_total.join(done, F.col("job_id") == F.col("_job"))
     scored = _counted((F.col("confidence_score") > 0) & (F.size("lineage") > 0))
     parts = [_one(parcels, parcels=n, scored=scored), _one(matches, matches=n), _one(mappings, mappings=n),
-             _one(validation, validation=n), _one(stages, stages_completed=done),
-             _one(job_total, total_processed=F.max("total_processed"))]
+             _one(validation, validation=n), _one(done, stages_completed=n > 0)]
     out = parts[0]
     for p in parts[1:]:
         out = out.join(F.broadcast(p), "_one")
+    same = totals.withColumn("_one", F.lit(1)).join(F.broadcast(parts[0].select("_one", "parcels")), "_one").drop("_one")
+    out = out.join(F.broadcast(_one(same, total_processed=F.max("total_processed"), _same=F.max(
+        F.col("total_processed") == F.col("parcels")))), "_one")
     ready = ((F.col("parcels") > 0) & (F.col("scored") > 0) & (F.col("matches") > 0) & (F.col("mappings") > 0)
-             & (F.col("validation") > 0) & F.col("stages_completed") & (F.col("total_processed") == F.col("parcels")))
-    return out.drop("_one").withColumn("ready", F.coalesce(ready, F.lit(False)))
+             & (F.col("validation") > 0) & F.col("stages_completed") & F.col("_same"))
+    return out.drop("_one").withColumn("ready", F.coalesce(ready, F.lit(False))).drop("_same")

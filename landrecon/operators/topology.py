@@ -199,8 +199,9 @@ def _corrected(checked: DataFrame, fixed: Column, cfg: Settings) -> DataFrame:
 
 
 def dedupe_footprints(detections: DataFrame, cfg: Settings = DEFAULTS, rounds: Rounds | None = None) -> DataFrame:
-    """Detections in order, without those that overlap an accepted earlier one by the threshold.
+    """Detections in order, without those that overlap an accepted earlier one of their raster by the threshold.
 
+    ``dataset_id`` names the raster a detection comes from.
     Overlaps are measured on the stored degrees. Exact copies go first: all but the earliest of a
     shape are always dropped. What remains is a graph of overlapping distinct shapes, settled in
     rounds: a shape is accepted when all its earlier neighbours are dropped, and dropped when one
@@ -208,8 +209,7 @@ def dedupe_footprints(detections: DataFrame, cfg: Settings = DEFAULTS, rounds: R
     """
     plane = cfg if cfg.rectangles_only else replace(cfg, metric="plane")
     rounds = rounds or Rounds(detections.sparkSession)
-    overlaps = LayerOverlaps(detections.withColumn("dataset_id", F.lit("-")), plane,
-                             math.nextafter(cfg.footprint_iou, 0), rounds)
+    overlaps = LayerOverlaps(detections, plane, math.nextafter(cfg.footprint_iou, 0), rounds)
     pairs = overlaps.pairs.select(F.col("a_feature_id").alias("earlier"), F.col("b_feature_id").alias("later"))
     state = overlaps.shapes.select("feature_id", F.lit(None).cast("boolean").alias("state"))
     while True:

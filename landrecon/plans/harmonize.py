@@ -32,7 +32,7 @@ def harmonize(spark: SparkSession, features: DataFrame, datasets: DataFrame, *,
               overrides: DataFrame | None = None, previous_validation: DataFrame | None = None,
               existing_conflicts: DataFrame | None = None, previous_parcels: DataFrame | None = None,
               encoder=None, rounds: Rounds | None = None) -> dict[str, DataFrame]:
-    """All result tables of one run.
+    """All result tables of one run. Without ``previous_parcels`` every parcel is reported as new.
 
     Tables that later stages read several times are kept in the checkpoint folder, so a stage is
     computed once and survives the loss of executors; everything else stays lazy.
@@ -56,19 +56,20 @@ def harmonize(spark: SparkSession, features: DataFrame, datasets: DataFrame, *,
     matches = matches.join(ids, "matched_group_id").withColumn(
         "id", F.concat(F.lit("MT-"), F.substring(F.sha2(F.col("feature_id"), 256), 1, 12)))
     versions = changes.source_version_changes(_with_text(checked), datasets).select(*changes.EVENT)
-    events = versions
-    if previous_parcels is not None:
-        events = changes.parcel_changes(previous_parcels, changes.snapshot(parcels).join(
-            parcels.select("id", "confidence_score"), "id"), cfg).select(*changes.EVENT).unionByName(versions)
+    now = changes.snapshot(parcels).join(parcels.select("id", "confidence_score"), "id")
+    before = changes.snapshot(parcels).limit(0) if previous_parcels is None else previous_parcels
+    events = changes.parcel_changes(before, now, cfg).select(*changes.EVENT).unionByName(versions)
     n_parcels = _count(parcels)
     stages = stage_metrics(spark, {
-        "Ingestion": _count(source), "CRS Normalization": _count(source),
+        "Ingestion": _count(datasets), "CRS Normalization": _count(source, counted=F.col("geom")),
         "Schema Mapping": _count(mappings, F.col("needs_review").cast("int")),
         "Topology Validation": _count(
             checked.select(F.lit(1).alias("n"), F.lit(0).alias("w")).unionByName(
                 validation.select(F.lit(None).cast("int").alias("n"), F.col("pair_count").alias("w"))),
             F.col("w"), F.col("n")),
-        "Spatial Matching": _count(matches), "Conflict Detection": _count(found, F.lit(1)),
+        "Spatial Matching": _count(matches), "Conflict Detection": _count(
+            checked.select(F.lit(1).alias("n"), F.lit(0).alias("w")).unionByName(
+                found.select(F.lit(None).cast("int").alias("n"), F.lit(1).alias("w"))), F.col("w"), F.col("n")),
         "Conflict Resolution": _count(found), "Confidence Scoring": n_parcels, "Unified Land Record": n_parcels,
         "Change Detection": _count(events)})
     return {"features": checked, "attribute_mappings": mappings, "validation_results": validation, "groups": groups,

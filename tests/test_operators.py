@@ -179,6 +179,15 @@ def test_masking_reaches_every_depth(spark):
     doc = '{"Owner":"x","a":{"owner_name":{"first":"y"},"ok":1},"l":[{"LANDHOLDER":["p","q"]},{"property_owner":null}],"owners":"keep"}'
     got = spark.range(1).select(scalar.mask_personal_json(F.lit(doc))).first()[0]
     assert got == ('{"Owner":"REDACTED","a":{"owner_name":"REDACTED","ok":1},"l":[{"LANDHOLDER":"REDACTED"},{"property_owner":"REDACTED"}],"owners":"keep"}')
+    deep = [('{"owner":{"id":1,"who":{"name":"SECRET"}},"a":1}', '{"owner":"REDACTED","a":1}'),
+            ('{"x":[{"OWNER_NAME":[["S"],[{"b":"]}"}]]}, {"owner" : "q\\"S"}]}', '{"x":[{"OWNER_NAME":"REDACTED"}, {"owner" : "REDACTED"}]}'),
+            ('{"owner":{"broken":"S"', '{"owner":"REDACTED"'), ('{"owner":', '{"owner":'), ("plain", "plain"), (None, None)]
+    df = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(deep)], "i int, a string")
+    got = df.select("i", scalar.mask_personal_json(F.col("a")).alias("m")).orderBy("i").collect()
+    assert [r.m for r in got] == [b for _, b in deep]
+    bags = df.select("i", scalar.mask_personal_fields(F.create_map(F.lit("Owner"), F.lit("S"), F.lit("j"), "a")).alias("m"))
+    assert [r.m for r in bags.orderBy("i").collect()] == [{"Owner": "REDACTED", "j": b} for _, b in deep]
+    assert spark.range(1).select(scalar.mask_personal_fields(F.lit(None).cast("map<string,string>"))).first()[0] is None
 
 
 def test_parcel_changes_write_what_changed(spark):
@@ -269,6 +278,11 @@ def test_full_run_finds_the_seeded_defects(spark):
     alone = next(p for p in parcels.values() if p.parcel_id == "P-9")
     assert alone.source_count == 1 and alone.confidence_score == 20.0 and alone.validation_status == "FAILED"
     assert out["stages"].where("status = 'completed'").count() == 10
+    counts = {r.name: (r.processed, r.warnings) for r in out["stages"].collect()}
+    assert counts["Ingestion"] == (datasets(features).count(), 0) and counts["CRS Normalization"] == (len(rows), 0)
+    assert counts["Conflict Detection"] == (len(rows), out["conflicts"].count())
+    first = [r.change_type for r in out["change_events"].collect()]
+    assert first.count("new") == out["unified_parcels"].select("parcel_id").distinct().count()
     linked = out["conflicts"].where("conflict_type <> 'gnss_outside_parcel' and parcel_id is not null")
     assert not linked.isEmpty()
     second = harmonize(spark, out["features"].drop("canonical", *[c for c in out["features"].columns if c.startswith("cmp_")]), datasets(features),
@@ -279,6 +293,27 @@ def test_full_run_finds_the_seeded_defects(spark):
     assert "self_intersection" in kept
 
 
+def test_output_is_ready_for_one_whole_job_only(spark):
+    from landrecon.settings import PIPELINE_STAGES
+
+    one = spark.range(1)
+    parcels = spark.createDataFrame([(50.0, ["a"])] * 2, "confidence_score double, lineage array<string>")
+    total = spark.createDataFrame([(j, 2 if j else 1) for j in range(12)], "job_id int, total_processed int")
+
+    def ready(reports):
+        log = spark.createDataFrame([(j, PIPELINE_STAGES[k], i, ok, 0, 0, 0, "", None) for i, (j, k, ok) in enumerate(reports)],
+                                    "job_id int, name string, position int, status string, processed int, warnings int, errors int, "
+                                    "detail string, timestamp timestamp")
+        return tuple(stats.pipeline_output_ready(one, one, one, parcels, log, total).select(
+            "stages_completed", "total_processed", "ready").first())
+
+    whole = [(1, k, "completed") for k in range(9)]
+    assert ready([(k, k, "completed") for k in range(9)]) == (False, None, False)
+    assert ready(whole) == (True, 2, True)
+    assert ready(whole + [(1, 4, "failed")]) == (False, None, False)
+    assert ready([(0, k, "completed") for k in range(9)]) == (True, 1, False)
+
+
 def test_quantiles_are_exact(spark):
     import numpy as np
     from landrecon.sources.readers import exact_quantiles
