@@ -219,16 +219,26 @@ def _inside(px, py, e):
         return ((spans & (px < x)).sum(axis=-1) % 2).astype(bool)
 
 
-def _cross(e, f):
-    """Whether segments ``[..., n, 1, 4]`` and ``[..., 1, m, 4]`` share a point."""
-    def side(o, x, y):
-        return np.sign((o[..., 2] - o[..., 0]) * (y - o[..., 1]) - (o[..., 3] - o[..., 1]) * (x - o[..., 0]))
+def _side(o, x, y):
+    """On which side of the line of segment ``o`` a point lies; 0 on it."""
+    return np.sign((o[..., 2] - o[..., 0]) * (y - o[..., 1]) - (o[..., 3] - o[..., 1]) * (x - o[..., 0]))
+
 
-    a, b = side(e, f[..., 0], f[..., 1]), side(e, f[..., 2], f[..., 3])
-    c, d = side(f, e[..., 0], e[..., 1]), side(f, e[..., 2], e[..., 3])
+def _cross(e, f):
+    """Whether segments ``[..., n, 1, 4]`` and ``[..., 1, m, 4]`` cross, each with its ends on both sides of the other."""
+    a, b = _side(e, f[..., 0], f[..., 1]), _side(e, f[..., 2], f[..., 3])
+    c, d = _side(f, e[..., 0], e[..., 1]), _side(f, e[..., 2], e[..., 3])
     return (a * b < 0) & (c * d < 0)
 
 
+def _reach(e, f) -> tuple:
+    """Ends of segments ``f`` along the longer axis of segments ``e``, and the range of ``e`` there."""
+    tall = np.abs(e[..., 3] - e[..., 1]) > np.abs(e[..., 2] - e[..., 0])
+    f0, f1 = np.where(tall, f[..., 1], f[..., 0]), np.where(tall, f[..., 3], f[..., 2])
+    e0, e1 = np.where(tall, e[..., 1], e[..., 0]), np.where(tall, e[..., 3], e[..., 2])
+    return f0, f1, np.minimum(e0, e1), np.maximum(e0, e1)
+
+
 def _with_points(shapes: Shapes) -> tuple[np.ndarray, np.ndarray]:
     """Edges, plus a zero-length one for every row that has points but no segment."""
     row, edges = shapes.edges()
@@ -299,14 +309,18 @@ def line_relation(line: Shapes, polygon: Shapes) -> np.ndarray:
 
 # --- validity -----------------------------------------------------------------------------
 
-def _self_crosses(edges: np.ndarray) -> bool:
-    """Whether two edges of one ring, or of two rings, cross properly or overlap in length."""
+def _self_crosses(edges: np.ndarray, ring: np.ndarray) -> bool:
+    """Whether two edges cross or run along each other, or a vertex lies inside an edge of its own ring."""
     n = len(edges)
     block = max(1, _BLOCK // max(1, n))
     for s in range(0, n, block):
         e, f = edges[s:s + block, None], edges[None]
         later = np.arange(n)[None] > np.arange(s, min(s + block, n))[:, None]
-        if (_cross(e, f) & later).any():
+        f0, f1, low, high = _reach(e, f)
+        starts_on, ends_on = _side(e, f[..., 0], f[..., 1]) == 0, _side(e, f[..., 2], f[..., 3]) == 0
+        along = starts_on & ends_on & (np.maximum(low, np.minimum(f0, f1)) < np.minimum(high, np.maximum(f0, f1)))
+        touches = starts_on & (low < f0) & (f0 < high) & (ring[s:s + block, None] == ring[None])
+        if (((_cross(e, f) | along) & later) | touches).any():
             return True
     return False
 
@@ -348,7 +362,7 @@ def _row_validity(x, y, ring, rings_per_poly) -> str:
         if _spikes(px, py) or len({*zip(px[:-1], py[:-1])}) < len(px) - 1:
             return "self_intersection"
         edges.append(np.stack([px[:-1], py[:-1], px[1:], py[1:]], axis=1))
-    if _self_crosses(np.concatenate(edges)):
+    if _self_crosses(np.concatenate(edges), np.repeat(np.arange(len(edges)), [len(e) for e in edges])):
         return "self_intersection"
     first = 0
     shells = []
@@ -374,14 +388,22 @@ def _row_validity(x, y, ring, rings_per_poly) -> str:
     return "ok"
 
 
-def repaired(x: np.ndarray, y: np.ndarray, ring: np.ndarray) -> list:
-    """Even-odd area of broken rings as simple trapezoid-free faces traced from noded edges."""
-    segs = []
-    for i in np.unique(ring):
+def repaired(x: np.ndarray, y: np.ndarray, ring: np.ndarray, rings_per_poly: list[int]) -> list:
+    """Even-odd area of broken rings as simple trapezoid-free faces traced from noded edges.
+
+    A shell or a hole that repeats an earlier one counts once.
+    """
+    segs, seen = [], set()
+    shells = {0, *np.cumsum(rings_per_poly).tolist()}
+    for k, i in enumerate(np.unique(ring)):
         px, py = x[ring == i], y[ring == i]
         if px[0] != px[-1] or py[0] != py[-1]:
             px, py = np.append(px, px[0]), np.append(py, py[0])
-        segs.append(np.stack([px[:-1], py[:-1], px[1:], py[1:]], axis=1))
+        seg = np.stack([px[:-1], py[:-1], px[1:], py[1:]], axis=1)
+        laid = k in shells, frozenset(min((a, b, c, d), (c, d, a, b)) for a, b, c, d in seg.tolist())
+        if laid not in seen:
+            seen.add(laid)
+            segs.append(seg)
     e = np.concatenate(segs)
     e = e[(e[:, 0] != e[:, 2]) | (e[:, 1] != e[:, 3])]
     return _trace(_odd_boundary(_node(e)))
@@ -567,12 +589,14 @@ def _validity_udf(parts: pa.Array) -> pa.Array:
 @F.arrow_udf(PARTS_TYPE)
 def _repair_udf(parts: pa.Array, broken: pa.Array) -> pa.Array:
     shapes = Shapes(parts)
-    flags = _chunked(broken).to_pylist()
+    flags, nested = _chunked(broken).to_pylist(), _chunked(parts)
     cut = np.searchsorted(shapes.row, np.arange(shapes.rows + 1))
     out = []
     for r, flag in enumerate(flags):
         sel = slice(cut[r], cut[r + 1])
-        faces = repaired(shapes.x[sel], shapes.y[sel], shapes.ring[sel]) if flag and cut[r + 1] > cut[r] else None
+        faces = None
+        if flag and cut[r + 1] > cut[r]:
+            faces = repaired(shapes.x[sel], shapes.y[sel], shapes.ring[sel], [len(p) for p in nested[r].as_py()])
         out.append(None if faces is None else
                    [[[{"x": p[0], "y": p[1]} for p in ring] for ring in poly] for poly in faces])
     point = pa.struct([("x", pa.float64()), ("y", pa.float64())])

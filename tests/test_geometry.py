@@ -95,6 +95,25 @@ def test_bow_tie_is_found_and_repaired(spark):
     assert two.v == "ok" and two.none
 
 
+def test_touching_rings_and_parts():
+    square, far = box(0, 0, 4, 4), box(6, 6, 7, 7)
+    broken = [parts([[(0, 0), (4, 0), (4, 4), (2, 0), (0, 4), (0, 0)]]),  # a vertex on an edge of its own ring
+              parts([square, box(1, 0, 3, 2)]), parts([square], [box(4, 1, 6, 3)]), parts([square], [square]),
+              parts([square, box(1, 1, 2, 2), box(1, 1, 2, 2)])]
+    whole = [parts([square, [(0, 2), (1, 1), (1, 3), (0, 2)]]),  # a hole with one point on the shell
+             parts([square], [box(4, 4, 6, 6)], [far[::-1]]), parts([[(0, 0), (2, 0), (4, 0), (4, 4), (0, 4), (0, 0)]]),
+             parts([square, box(1, 1, 2, 2), box(2, 2, 3, 3)])]
+    assert kernel.validity(pa.array(broken, type=PARTS)) == ["self_intersection"] * 5
+    areas = []
+    for row in broken:
+        one = shapes(row)
+        faces = kernel.repaired(one.x, one.y, one.ring, [len(p) for p in row])
+        assert kernel.validity(pa.array([parts(*faces)], type=PARTS)) == ["ok"]
+        areas.append(sum(shoelace(p[0]) - sum(map(shoelace, p[1:])) for p in faces))
+    assert areas == pytest.approx([8, 12, 20, 16, 15])
+    assert kernel.validity(pa.array(whole, type=PARTS)) == ["ok"] * 4
+
+
 def test_known_utm_position_and_back(spark):
     df = spark.sql("select -79.387139D as x, 43.642567D as y")
     p = geo.point_geom(F.col("x"), F.col("y"))
