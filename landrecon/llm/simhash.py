@@ -1,4 +1,4 @@
-"""SimHash near-duplicates by multi-index hashing.
+"""SimHash near-duplicates by multi-index hashing, and near-duplicates by verified MinHash bands (``similar``).
 
 A fingerprint has 64 bits: a bit is set if it is set in over half of the hashes of the word shingles.
 Fingerprints link at ``radius`` or fewer differing bits. The two 32-bit halves are the segments. Of two
@@ -183,76 +183,123 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-_INDEX, _WIDE = ("i0", "i1"), ("v0", "v1", "v2", "v3")
-_MIXES = [pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) | 1 for k in range(4)]
+def radius_for(similarity: float, bits: int = 256) -> int:
+    """Differing bits of shingle fingerprints expected between sets of equal size with this share of common members, and 0.4
+    standard deviations more. The near-duplicate stage does not use it; it compares whole sets."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * share + 0.4 * math.sqrt(bits * share * (1 - share)))
 
 
-def _majority(hashes: np.ndarray, words: int) -> list[int]:
-    """64 bits a word: those set in over half of the hashes, each spread to as many words."""
-    n, set_in = len(hashes), np.zeros(64 * words, np.int64)
-    for k in range(0, n, 16384):
-        spread = hashes[k : k + 16384, None] * np.array(_MIXES[:words], np.uint64)
-        spread ^= spread >> np.uint64(32)
-        spread *= np.uint64(0xD6E8FEB86659FD93)
-        spread ^= spread >> np.uint64(32)
-        set_in += np.unpackbits(spread.astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(set_in * 2 > n, bitorder="little").view("<i8").tolist()
+#: Bands of a MinHash signature and values in a band: sets 0.8 alike share no band with probability (1 - 0.8**8)**48 = 0.00015.
+BANDS, BAND_ROWS = 48, 8
+_draw = np.random.default_rng(20)
+_TURNS = _draw.integers(0, 1 << 32, BANDS * BAND_ROWS, np.uint32) | np.uint32(1)
+_FLIPS = _draw.integers(0, 1 << 32, BANDS * BAND_ROWS, np.uint32)
+_WEIGHTS = _draw.integers(0, 1 << 63, (BANDS, BAND_ROWS), np.uint64) | np.uint64(1)
 
 
-def wide_fingerprint(text: str, words: int = 5) -> tuple[list[int], list[int]]:
-    """128 bits of the distinct words and 256 bits of the distinct shingles of a text; without any word all are 0."""
+def shingles(text: str, words: int = 5) -> np.ndarray:
+    """Ascending distinct hashes of the shingles of a text. Fewer than ``words`` words are one shingle; none, no hash."""
     parts = text.encode().translate(_LOWER).split()
     if not parts:
-        return [0, 0], [0, 0, 0, 0]
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter(map(digest, parts), np.uint64, len(parts))
+        return np.zeros(0, np.uint64)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64, len(parts))
     n = max(1, len(parts) - words + 1)
-    shingles = np.zeros(n, np.uint64)
+    made = np.zeros(n, np.uint64)
     for k in range(min(words, len(parts))):  # an ordered sum of the hashes of its words
-        shingles = (shingles ^ (shingles >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + hashes[k : k + n]
-    return _majority(np.unique(hashes), 2), _majority(np.unique(shingles), 4)
+        made = (made ^ (made >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + hashes[k : k + n]
+    made ^= made >> np.uint64(32)
+    made *= np.uint64(0xD6E8FEB86659FD93)
+    return np.unique(made ^ (made >> np.uint64(32)))
 
 
-def radius_for(similarity: float, bits: int = 256) -> int:
-    """Differing bits expected between sets of equal size with this share of common members, and 0.4 standard deviations
-    more, so that pairs at the very bound are rather found than lost."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(bits * share + 0.4 * math.sqrt(bits * share * (1 - share)))
+def band_keys(found: np.ndarray) -> np.ndarray:
+    """One key for each band of the MinHash signature of a set of hashes; none for an empty set."""
+    if not len(found):
+        return np.zeros(0, np.int64)
+    low, least = found.astype(np.uint32)[:, None], np.full(BANDS * BAND_ROWS, 0xFFFFFFFF, np.uint32)
+    for k in range(0, len(low), 256):
+        np.minimum(least, ((low[k : k + 256] ^ _FLIPS) * _TURNS).min(0), out=least)
+    keys = (least.reshape(BANDS, BAND_ROWS).astype(np.uint64) * _WEIGHTS).sum(1, dtype=np.uint64)
+    return ((keys ^ (keys >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+
+
+def _every_pair(dealt: DataFrame, similarity: float) -> DataFrame:
+    """a, b: nodes of different labels within the groups of ``dealt`` (key, part, label, node, n) whose sizes n allow the similarity."""
+    out = arrow_schema("a long, b long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, _, label, node, n), starts in _groups(batches, ["key", "part", "label", "node", "n"]):
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(label)]):
+                for i in range(a, b - 1):
+                    rest = slice(i + 1, b)
+                    near = (label[rest] != label[i]) & (np.minimum(n[rest], n[i]) >= similarity * np.maximum(n[rest], n[i]) - 1e-9)
+                    if near.any():
+                        other = node[rest][near]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.minimum(other, node[i])), pa.array(np.maximum(other, node[i]))], schema=out)
+
+    spread = dealt.repartition(F.col("key"), F.col("part")).sortWithinPartitions("key", "part")
+    return spread.mapInArrow(run, "a long, b long").distinct()
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets (node, hashes) have at least this share of common members."""
+    one, two = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"_{c}")) for c in "ab")
+    both = F.size(F.array_intersect("_a", "_b"))
+    return (pairs.join(one, "a").join(two, "b")
+            .where(both >= F.lit(similarity) * (F.size("_a") + F.size("_b") - both) - 1e-9).select("a", "b"))
 
 
 def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, _file, _row, group) of ``docs``, and the located documents.
 
-    Texts whose ``words``-word shingles are alike to ``similarity`` or more differ in too many bits of a
-    shingle fingerprint for small balls, as a changed word changes ``words`` shingles; it changes one
-    word, though. So the segments searched are the four quarters of a 128-bit fingerprint of the words,
-    each within 2 bits by balls of radius 1 on both sides, and what is compared then is a 256-bit
-    fingerprint of the shingles, against the distance that belongs to the similarity. Groups are what
-    links connect. Null and empty texts have fingerprint 0 and form a group.
+    Texts link if their sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or
+    more. Candidates share a band of their MinHash signatures; whether an edit is scattered or in one
+    block makes no difference to those. Every candidate link is compared by its whole sets. First each
+    member of a band is compared with the smallest and the largest node in it, which settles groups of
+    copies of any size; then all pairs in a band that are not yet connected are compared. Nothing is
+    capped. Groups are what links connect. Null and empty texts have no shingle and form a group.
     """
     rounds = Rounds(docs.sparkSession)
     here = located(docs, rounds)
-    radius = radius_for(similarity)
 
     def step(batch: pa.RecordBatch) -> dict[str, list]:
-        made = [sum(wide_fingerprint(t, words), []) for t in texts(batch)]
-        return {c: batch.column(c) for c in ("doc_id", "_file", "_row")} | dict(zip((*_INDEX, *_WIDE), zip(*made)))
+        found = [shingles(t, words) for t in texts(batch)]
+        node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in found], np.uint64).view(np.int64)
+        return {c: batch.column(c) for c in ("doc_id", "_file", "_row")} | {
+            "node": node, "n": list(map(len, found)), "keys": list(map(band_keys, found))}
 
-    columns = ", ".join(f"{c} long" for c in (*_INDEX, *_WIDE))
     rows = rounds.keep(arrow_map(here.select("doc_id", "text", "_file", "_row"), step,
-                                 f"doc_id long, _file string, _row long, {columns}"))
-    # A node is a fingerprint; its number is a hash of all its words.
-    number = F.xxhash64(*_INDEX, *_WIDE).alias("node")
-    nodes = rounds.keep(rows.select(*_INDEX, *_WIDE).distinct().select("*", number))
-    segments = [part for word in _INDEX for part in _halves(word)]
-    same = _dealt(nodes.select(segments[0].alias("key"), "node", F.col("node").alias("label"), *_WIDE), rounds, "node", "label", *_WIDE)
-    first = components(rounds, _links(same, radius, _WIDE)).withColumnRenamed("node", "_node")
-    labelled = rounds.keep(nodes.join(first, nodes.node == first._node, "left")
-                           .select(*_INDEX, *_WIDE, "node", F.coalesce("component", "node").alias("label")))
-    entries = labelled.select("node", "label", *_WIDE, F.explode(F.concat(*[_ball(x, k) for k, x in enumerate(segments)])).alias("key"))
-    whole = components(rounds, _links(_dealt(entries, rounds, "node", "label", *_WIDE), radius, _WIDE)).withColumnRenamed("node", "_node")
-    groups = rounds.keep(labelled.join(whole, labelled.label == whole._node, "left").select("node", F.coalesce("component", "label").alias("group")))
-    return rows.select("doc_id", "_file", "_row", number).join(groups, "node").drop("node"), here
+                                 "doc_id long, _file string, _row long, node long, n long, keys array<long>"))
+    # A node is a set of shingles; its number is a hash of the whole set.
+    nodes = rounds.keep(rows.groupBy("node").agg(F.min(F.struct("_file", "_row", "n", "keys")).alias("at")).select("node", "at.*"))
+    entries = nodes.select("node", "n", F.explode("keys").alias("key"))
+    shared = rounds.keep(entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high"))
+    members = rounds.keep(entries.join(few(shared), "key"))
+    wanted = rounds.keep(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "_file", "_row"))
+
+    def gather(batch: pa.RecordBatch) -> dict[str, list]:
+        return {"node": batch.column("node"), "hashes": [shingles(t, words).view(np.int64) for t in texts(batch)]}
+
+    sets = rounds.keep(arrow_map(here.select("text", "_file", "_row").join(few(wanted), ["_file", "_row"]).select("node", "text"),
+                                 gather, "node long, hashes array<long>"))
+    ends = members.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("node").alias("b")),
+                                            F.struct(F.col("node").alias("a"), F.col("high").alias("b")))).alias("p"))
+    tried = rounds.keep(ends.select("p.*").where("a < b").distinct())
+    links = rounds.keep(_alike(tried, sets, similarity))
+    first = components(rounds, links).withColumnRenamed("node", "_node")
+    labelled = members.join(few(first), members.node == first._node, "left").select(
+        "key", "node", "n", F.coalesce("component", "node").alias("label"))
+    labelled = rounds.keep(labelled)
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("key")
+    open_keys = rounds.keep(labelled.join(few(rounds.keep(mixed)), "key", "left_semi"))
+    others = _every_pair(_dealt(open_keys, rounds, "node", "label", "n"), similarity).join(tried, ["a", "b"], "left_anti")
+    more = _alike(rounds.keep(others), sets, similarity)
+    whole = components(rounds, links.unionByName(more)).withColumnRenamed("node", "_node")
+    found = rows.select("doc_id", "_file", "_row", "node")
+    return found.join(few(whole), found.node == whole._node, "left").select(
+        "doc_id", "_file", "_row", F.coalesce("component", "node").alias("group")), here
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -179,3 +179,30 @@ def test_toxicity(spark, docs):
     clean = toxicity.clean(docs(rows), labels)
     assert clean.columns == docs(rows).columns and clean.count() == sum(r.predicted == 0 for r in got.values())
     assert toxicity.toxicity(docs([]), labels.where("false")).count() == 0
+
+
+def near_pairs(rng, share, block, n=60):
+    """Pairs (text, copy) with a part of the copy's words replaced, and their exact similarity of five-word sets."""
+    out = []
+    for _ in range(n):
+        words = [f"w{int(rng.paretovariate(0.8)) % 20000}" for _ in range(rng.randrange(150, 500))]
+        copy, fresh = list(words), lambda: f"w{int(rng.paretovariate(0.8)) % 20000}"
+        if block:
+            size = int(len(words) * share)
+            at = rng.randrange(len(words) - size)
+            copy[at : at + size] = [fresh() for _ in range(size)]
+        else:
+            for k in rng.sample(range(len(words)), max(1, int(len(words) * share / 5))):
+                copy[k] = f"changed{k}"
+        a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (words, copy))
+        out.append((" ".join(words), " ".join(copy), len(a & b) / len(a | b)))
+    return out
+
+
+def test_near_copies_on_both_sides_of_the_bound(stored):
+    rng = random.Random(9)
+    pairs = [p for share in (0.02, 0.05, 0.08, 0.1, 0.13, 0.2) for block in (True, False) for p in near_pairs(rng, share, block)]
+    kept = {r.doc_id for r in simhash.keep_one(stored([(2 * i + j, p[j]) for i, p in enumerate(pairs) for j in (0, 1)])).collect()}
+    assert all(2 * i in kept for i in range(len(pairs)))
+    lost = [p[2] for i, p in enumerate(pairs) if p[2] >= 0.8 and 2 * i + 1 in kept]
+    assert not lost and sum(0.8 <= p[2] < 0.9 for p in pairs) > 100
