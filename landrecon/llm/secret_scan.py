@@ -32,9 +32,10 @@ CLASSES = (
     (r"(?=.*[0-9])(?=.*[A-Za-z]).+", 3.7),
     (r"(?=.*[a-z])(?=.*[A-Z]).+", 4.0),
 )
-#: Not secrets, whatever their entropy: words and joined words, numbers, UUIDs, one pattern repeated.
+#: Not secrets, whatever their entropy: words and joined words, numbers, UUIDs, one pattern repeated. Repeated groups are
+#: possessive: Java's regex then loops over them, where it would else recurse once for each part of a long candidate.
 ALLOWED = (
-    r"[A-Za-z]?[a-z]+([-_/+=]+[A-Za-z]?[a-z]+)*[-_/+=]*", r"[A-Z]+([-_/+=]+[A-Z]+)*", r"[0-9+/_=-]+",
+    r"[A-Za-z]?[a-z]++(?:[-_/+=]++[A-Za-z]?[a-z]++)*+[-_/+=]*+", r"[A-Z]++(?:[-_/+=]++[A-Z]++)*+", r"[0-9+/_=-]+",
     r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", r"(.{1,8}?)\1+.{0,8}",
 )
 
@@ -64,26 +65,27 @@ def _term(c: Column) -> Column:
 
 def _hot(match: Column, threshold: Column) -> Column:
     """First and last end of the windows of a candidate whose entropy reaches the threshold; 0 and 0 if none does."""
+    # What a step reads is in the array and in the state: a lambda would compute other expressions again for each character.
     chars = F.transform(F.split(match, "(?!^)"), lambda c: F.ascii(c))
+    gone = F.concat(F.array_repeat(F.lit(-1), WINDOW), F.slice(chars, 1, F.length(match) - WINDOW))
     most = F.lit(WINDOW) * (F.lit(math.log2(WINDOW)) - threshold) + F.lit(1e-9)  # of the sum of c * log2(c)
 
-    def step(a: Column, i: Column) -> Column:
-        new = chars[i]
-        old = F.when(i >= WINDOW, chars[F.greatest(i - WINDOW, F.lit(0))]).otherwise(F.lit(-1))
+    def step(a: Column, x: Column) -> Column:
+        new, old, i = x["new"], x["old"], x["i"]
         more, less = a["counts"][new], F.when(old >= 0, a["counts"][F.greatest(old, F.lit(0))]).otherwise(F.lit(0))
         changed = F.when(old == new, a["total"]).otherwise(
             a["total"] + _term(more + 1) - _term(more) + F.when(old >= 0, _term(less - 1) - _term(less)).otherwise(F.lit(0.0)))
-        hot = (i >= WINDOW - 1) & (changed <= most)
+        hot = (i >= WINDOW) & (changed <= a["most"])
         return F.struct(
             F.transform(a["counts"], lambda c, k: c + (k == new).cast("int") - (k == old).cast("int")).alias("counts"),
-            changed.alias("total"),
-            F.when(hot & (a["first"] == 0), i + 1).otherwise(a["first"]).alias("first"),
-            F.when(hot, i + 1).otherwise(a["last"]).alias("last"))
+            changed.alias("total"), a["most"].alias("most"),
+            F.when(hot & (a["first"] == 0), i).otherwise(a["first"]).alias("first"),
+            F.when(hot, i).otherwise(a["last"]).alias("last"))
 
-    start = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("total"), F.lit(0).alias("first"),
+    start = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("total"), most.alias("most"), F.lit(0).alias("first"),
                      F.lit(0).alias("last"))
-    return F.aggregate(F.sequence(F.lit(0), F.length(match) - 1), start, step,
-                       lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last")))
+    steps = F.arrays_zip(chars.alias("new"), gone.alias("old"), F.sequence(F.lit(1), F.length(match)).alias("i"))
+    return F.aggregate(steps, start, step, lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last")))
 
 
 def _entropy(text: Column) -> Column:

@@ -111,6 +111,12 @@ def test_secrets(docs, odd):
     assert secret_scan.report(docs([])).count() == 0
 
 
+def test_long_joined_candidates(docs):
+    rows = [(1, "word_" * 20000), (2, "WORD-" * 20000 + "END"), (3, "some/path-" * 10000 + "Last"), (4, "word_" * 20000 + "aB3dE5gH7jK9mN1pQ4sT")]
+    found = {r.doc_id: r.spans for r in secret_scan.report(docs(rows)).collect()}
+    assert found[1] == found[2] == found[3] == "" and found[4].startswith("entropy:") and found[4].endswith(":100020")
+
+
 def test_edits(docs, odd):
     rows = odd + [(100 + i, " ".join(f"v{i * j}" for j in range(40 * i))) for i in range(12)]
     found = Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in fingerprints.edits(docs(rows).repartition(5)).collect())
