@@ -1,7 +1,9 @@
 """Document fingerprints: a threshold-scaled sketch of word shingles.
 
 Every distinct shingle of ``WORDS`` words has a 64-bit hash; the sketch keeps those below a fixed
-fraction 1 / ``SCALE`` of all hashes, so its size follows the text and no shingle depends on others.
+fraction 1 / ``SCALE`` of all hashes, so its size follows the text, and where those are fewer than
+``LEAST``, the ``LEAST`` smallest. A text of at most ``LEAST`` shingles keeps all of them. Two sketches
+are compared below the bound up to which both are complete.
 The sketch of a union is the union of the sketches, and the share of one sketch found in another
 estimates how much of one text is contained in the other, even where one is far longer.
 """
@@ -21,6 +23,7 @@ from landrecon.llm.frames import arrow_map, arrow_schema, bounds, bucket_of, ord
 
 WORDS = 5
 SCALE = 8
+LEAST = 32
 _U = np.uint64
 _POWERS = [pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(64)]
 
@@ -32,7 +35,8 @@ def word_hashes(data: bytes) -> np.ndarray:
 
 
 def sketch(words: np.ndarray, size: int = WORDS, scale: int = SCALE) -> np.ndarray:
-    """Ascending distinct shingle hashes below 2**64 / scale. Fewer than ``size`` words are one shingle; none, no hash."""
+    """Ascending distinct shingle hashes below 2**64 / scale, the ``LEAST`` smallest if those are fewer. Fewer than ``size``
+    words are one shingle; none, no hash."""
     if not len(words):
         return np.zeros(0, _U)
     n = max(1, len(words) - size + 1)
@@ -44,12 +48,27 @@ def sketch(words: np.ndarray, size: int = WORDS, scale: int = SCALE) -> np.ndarr
     mixed ^= mixed >> _U(32)
     mixed *= _U(0xBF58476D1CE4E5B9)
     mixed ^= mixed >> _U(29)
-    return np.unique(mixed[mixed < _U((1 << 64) // scale)])
+    below = np.unique(mixed[mixed < _U((1 << 64) // scale)])
+    return below if len(below) >= LEAST else np.unique(mixed)[:LEAST]
+
+
+def complete_to(s: np.ndarray, scale: int = SCALE) -> int:
+    """The largest hash up to which a sketch has all hashes of its text."""
+    return 2**64 - 1 if len(s) < LEAST else max((1 << 64) // scale - 1, int(s[-1]))
+
+
+def comparable(*sketches: np.ndarray) -> list[np.ndarray]:
+    """The parts of sketches up to which all of them are complete."""
+    to = _U(min(map(complete_to, sketches)))
+    return [s[: np.searchsorted(s, to, "right")] for s in sketches]
 
 
 def merge(*sketches: np.ndarray) -> np.ndarray:
     """The sketch of all the texts together."""
-    return np.unique(np.concatenate(sketches)) if sketches else np.zeros(0, _U)
+    if not sketches:
+        return np.zeros(0, _U)
+    every = np.unique(np.concatenate(comparable(*sketches)))
+    return every[: max(LEAST, int(np.searchsorted(every, _U((1 << 64) // SCALE))))]
 
 
 def shared(a: np.ndarray, b: np.ndarray) -> int:
@@ -57,14 +76,21 @@ def shared(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of the shingles of either text that are in both. Two empty sketches are alike, one alone is not."""
+    """Estimated share of the shingles of either text that are in both; 1 for two texts without shingles."""
+    if not len(a) and not len(b):
+        return 1.0
+    a, b = comparable(a, b)
     both = shared(a, b)
-    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+    return both / (len(a) + len(b) - both)
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of the shingles of the first text that the second contains; 1 for an empty sketch."""
-    return shared(a, b) / len(a) if len(a) else 1.0
+def containment(a: np.ndarray, b: np.ndarray) -> float | None:
+    """Estimated share of the shingles of the first text that the second contains; 1 for a text without shingles, None where
+    no hash of the first is in the part that can be compared (a short text against a long one)."""
+    if not len(a):
+        return 1.0
+    a, b = comparable(a, b)
+    return shared(a, b) / len(a) if len(a) else None
 
 
 def hexadecimal(s: np.ndarray) -> str:
@@ -112,7 +138,8 @@ def edits(docs: DataFrame) -> DataFrame:
     Next is by ascending doc_id, null ids first and equal ones in the order of their texts; after the
     last comes the first. Texts are shuffled once, to ranges of doc_id; a range needs one row of the
     next. A single document is its own next; an empty table has no row. kept_in_edited is the share of
-    the text contained in the edited one, next_contained that of the next text contained in this one.
+    the text contained in the edited one, next_contained that of the next text contained in this one; it is null
+    where the next text is so short against this one that their sketches cannot tell.
     """
     out = arrow_schema(_EDITS)
 

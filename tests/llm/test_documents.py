@@ -142,6 +142,20 @@ def test_sketch_estimates():
     assert abs(fingerprints.likeness(fingerprints.merge(short, sk(words[:900])), short) - 0.4) < 0.1
 
 
+def test_short_texts_keep_hashes():
+    sk = lambda w: fingerprints.sketch(fingerprints.word_hashes(" ".join(w).encode()))
+    texts = [[f"{i}x{j}" for j in range(1 + i % 30)] for i in range(300)]
+    assert all(len(sk(t)) == max(1, len(t) - 4) for t in texts)
+    assert all(fingerprints.likeness(sk(a), sk(b)) == 0.0 for a, b in zip(texts, texts[1:]))
+    edited = texts[29][:20] + ["new"] * 3  # 16 of 26 and of 19 shingles stay
+    assert fingerprints.likeness(sk(texts[29]), sk(edited)) == 16 / 29 and fingerprints.containment(sk(texts[29]), sk(edited)) == 16 / 26
+    long = [f"w{j}" for j in range(5000)]
+    assert fingerprints.likeness(sk(texts[29]), sk(long)) == 0.0 and fingerprints.containment(sk(long[7:407]), sk(long)) == 1.0
+    assert fingerprints.likeness(sk([]), sk([])) == 1.0 and fingerprints.likeness(sk([]), sk(["a"])) == 0.0
+    parts = [sk(long[:30]), sk(long[26:200])]
+    assert (fingerprints.merge(*parts) == sk(long[:200])).all()
+
+
 def test_mix_weights(spark):
     docs = spark.createDataFrame([(i, "x" * 10, "a" if i % 3 else "b") for i in range(6000)] + [(None, None, None)], "doc_id long, text string, source string")
     n = {r.source: r.c for r in mixing.mix(docs, 1, weights={"a": 1.0, "b": 3.0}).groupBy("source").agg(F.count("*").alias("c")).collect()}
