@@ -226,3 +226,10 @@ def test_near_copies_on_both_sides_of_the_bound(stored):
     assert all(2 * i in kept for i in range(len(pairs)))
     lost = [p[2] for i, p in enumerate(pairs) if p[2] >= 0.8 and 2 * i + 1 in kept]
     assert not lost and sum(0.8 <= p[2] < 0.9 for p in pairs) > 100
+
+
+def test_pairs_below_the_bound_stay(stored):
+    rng = random.Random(19)
+    pairs = [p for share in (0.1, 0.15, 0.2) for block in (True, False) for p in near_pairs(rng, share, block) if p[2] < 0.8]
+    kept = simhash.keep_one(stored([(2 * i + j, p[j]) for i, p in enumerate(pairs) for j in (0, 1)])).count()
+    assert kept == 2 * len(pairs) and sum(p[2] > 0.7 for p in pairs) > 50
