@@ -32,7 +32,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids written to files and what the files give back."""
     folder = Rounds(spark).path()
-    token_files.write(documents(spark, sf_dir), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    token_files.write(documents(spark, sf_dir), folder, public_tokenizers.path("byte_bpe_50k.json"), added=True)
     return token_files.positions(spark, folder)
 
 

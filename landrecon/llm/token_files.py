@@ -8,6 +8,7 @@ split files as they like. Part k holds the k-th range of doc_ids.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -31,18 +32,26 @@ class LibraryEncoder:
     """Ids by the tokenizers library, as little-endian unsigned 32-bit integers; one for each worker and file.
 
     Texts are cut where the pre-tokenizer always cuts. A piece goes through the library's
-    pre-tokenizer and model and is then remembered in a ``PieceTable``. Strings of special tokens in
-    a text are ordinary text.
+    pre-tokenizer and model and is then remembered in a ``PieceTable``. Strings of added tokens in a
+    text have the ids of those tokens with ``added``, as the library's encode gives them; otherwise
+    they are ordinary text, as with its ``encode_special_tokens``.
     """
 
-    _made: dict[str, "LibraryEncoder"] = {}
+    _made: dict[tuple[str, bool], "LibraryEncoder"] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         from tokenizers import Tokenizer
 
         whole = Tokenizer.from_file(path)
         if whole.normalizer is not None:
             raise ValueError("a normalizer may join pieces")
+        tokens = whole.get_added_tokens_decoder() if added else {}
+        for t in tokens.values():
+            if t.lstrip or t.rstrip or t.single_word or any(c.isspace() for c in t.content):
+                raise ValueError(f"the added token {t.content!r} may reach beyond a piece")
+        self.added = {t.content: array("I", [i]).tobytes() for i, t in tokens.items()}
+        #: At one place the longest token is taken.
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if tokens else None
         self.split, self.model = whole.pre_tokenizer.pre_tokenize_str, whole.model
         self.table = PieceTable(self.resolve)
         self.words = Pieces(lambda word: array("I", [t.id for t in self.model.tokenize(word)]).tobytes())
@@ -51,12 +60,18 @@ class LibraryEncoder:
         self.alphabet = {k: self.split(chr(k))[0][0] for k in (32, *range(0xC0, 0x250))} if byte_level else {}
 
     @classmethod
-    def of(cls, path: str) -> "LibraryEncoder":
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+    def of(cls, path: str, added: bool = False) -> "LibraryEncoder":
+        if (path, added) not in cls._made:
+            cls._made[path, added] = cls(path, added)
+        return cls._made[path, added]
 
     def resolve(self, piece: str) -> bytes:
+        """Ids of a piece. No added token has white space in it, so none reaches beyond a piece."""
+        if self.cut is None or not self.cut.search(piece):
+            return self.ordinary(piece)
+        return b"".join([self.added.get(part) or self.ordinary(part) for part in self.cut.split(piece) if part])
+
+    def ordinary(self, piece: str) -> bytes:
         parts = plain_parts(piece) if self.alphabet else None
         if parts is None:
             return b"".join([self.words[word] for word, _ in self.split(piece)])
@@ -74,8 +89,8 @@ class LibraryEncoder:
         return ids, counts
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) -> None:
-    """Write the ids of every whole text, each document followed by ``end_id``, to ``folder``.
+def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, added: bool = False) -> None:
+    """Write the ids of every whole text, each document followed by ``end_id``, to ``folder``. ``added``: see ``LibraryEncoder``.
 
     Null texts count as empty and give the end id alone. Null doc_ids come first, equal ones in the
     order of their texts; repeated rows are written as often as they occur; an empty table gives
@@ -89,7 +104,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) -> None
     schema = arrow_schema(SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = LibraryEncoder.of(tokenizer)
+        encoder = LibraryEncoder.of(tokenizer, added)
         waiting: list[tuple[list, list[int], np.ndarray, int, int]] = []
         shard, segment, first = -1, 0, 0
         ids, counts, parts, blocks, room = [], [], [], 0, SEGMENT

@@ -99,6 +99,18 @@ def test_files_hold_all_ids_in_order(spark, docs, odd, tmp_path):
     assert sum(len(r.ids) for r in token_files.read(spark, folder).collect()) == start
 
 
+def test_added_tokens_have_their_ids(spark, docs, odd, tmp_path):
+    whole = Tokenizer.from_file(JSON)
+    end = "<|endoftext|>"
+    rows = [(i, t) for i, (_, t) in enumerate(odd)] + [(100 + k, t) for k, t in enumerate(
+        [f"end{end}next", end, end * 3, f"a {end} b", f"a  {end}  b", f"x \n{end}\n y", f" {end}", f"{end} ", "<|endoftext", f"it's{end}'s <|{end}|>"])]
+    folder = str(tmp_path / "ids")
+    token_files.write(docs(rows), folder, JSON, added=True)
+    found = {r.doc_id: list(r.ids) for r in token_files.read(spark, folder).collect()}
+    assert found == {i: whole.encode(t or "", add_special_tokens=False).ids + [0] for i, t in rows}
+    assert found[100][1] == 50256 and len(found[100]) == 4
+
+
 def test_empty_table(spark, docs, tmp_path):
     folder = str(tmp_path / "ids")
     token_files.write(docs([]), folder, JSON)
