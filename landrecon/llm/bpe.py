@@ -31,12 +31,15 @@ KEPT_PIECES = 700_000
 #: Latin letters, then marks: two pre-tokens, which need not be searched for.
 _PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]*)")
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Other white space next to a space.
+_MIXED = re.compile(r"[^\S ] | [^\S ]")
 _MIX, _SPREAD, _ALL, _U = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 2**64 - 1, np.uint64
 
 
 def pieces(text: str) -> list[str]:
     """Parts whose pre-tokens are those of the text. All but the first lack the space before them."""
-    return text.split(" ") if "  " not in text and text[-1:] != " " and text[:1] != " " else _SAFE_CUT.split(text)
+    plain_spaces = "  " not in text and text[-1:] != " " and text[:1] != " " and not _MIXED.search(text)
+    return text.split(" ") if plain_spaces else _SAFE_CUT.split(text)
 
 
 def plain_parts(piece: str) -> tuple[str, ...] | None:

@@ -52,6 +52,15 @@ def test_pieces_are_told_apart_and_forgotten(texts, kept):
     assert table.entries <= kept
 
 
+def test_pieces_keep_the_pre_tokens():
+    import regex
+
+    for text in ("a\n \nb c", "a \nb", "a\t b", "a b\nc d", "a\u3000 b c", " a  b", "a b"):
+        first, *rest = bpe.pieces(text)
+        found = [w for p in [first, *(" " + r for r in rest)] for w in regex.findall(P.PATTERN, p)]
+        assert found == regex.findall(P.PATTERN, text)
+
+
 def test_perfect_hash_uses_every_place():
     keys = [str(i).encode() for i in range(5000)]
     table = bpe.MinimalPerfectHash(keys)
