@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landrecon.llm import bpe, exact_dedup, fingerprints, mixing, ppm, secret_scan, simhash, token_files, toxicity, url_rules
+from landrecon.llm import (
+    bpe, exact_dedup, fill_middle, fingerprints, mixing, ppm, secret_scan, simhash, token_files, toxicity, url_rules)
 from landrecon.operators.rounds import Rounds
 from landrecon.session import ship
 
@@ -105,3 +106,12 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram and PPM scores of every document."""
     return ppm.scores(documents(spark, sf_dir))
+
+
+@query
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cuts, form and digests of every text made ready for filling in its middle."""
+    return fill_middle.digests(documents(spark, sf_dir))
+
+
+ORACLE["op13_fill_middle"] = fill_middle.SQL
