@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landrecon.llm import (
-    bpe, exact_dedup, fill_middle, fingerprints, mixing, ppm, secret_scan, simhash, token_files, toxicity, url_rules)
+    bpe, exact_dedup, fill_middle, fingerprints, mixing, ppm, ranked_search, secret_scan, simhash, token_files, toxicity, url_rules)
 from landrecon.operators.rounds import Rounds
 from landrecon.session import ship
 
@@ -115,3 +115,12 @@ def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op13_fill_middle"] = fill_middle.SQL
+
+
+@query
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return ranked_search.ranked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+ORACLE["op11_ranked_search"] = ranked_search.SQL
