@@ -31,9 +31,9 @@ from landrecon.operators.rounds import Rounds
 #: Fixed values of the score: what a document's length counts, in hundredths, and the scale of tf parts.
 LENGTH_SHARE, SCALE, TF_SCALE, LENGTH_SCALE = 75, 1_000_000_000, 1000, 8
 #: Different terms of a block of items; documents, matrix cells and bytes of text of a shard.
-TERMS, SHARD_ROWS, SHARD_CELLS, SHARD_BYTES = 4096, 2048, 8_000_000, 8_000_000
+TERMS, SHARD_ROWS, SHARD_CELLS, SHARD_BYTES = 4096, 1024, 4_000_000, 4_000_000
 #: Documents of a block (on average), of a list that has no summary (at most), and axes of a point.
-BLOCK, SHORT, AXES = 128, 32, 32
+BLOCK, SHORT, AXES = 64, 16, 32
 #: A part of a score is at most SCALE / TF_SCALE; a byte of a summary stands for so much of it.
 STEP = SCALE // TF_SCALE // 250
 #: The place of a null doc_id among equal scores: the last.
@@ -105,7 +105,8 @@ def _blocks(members: np.ndarray, points: np.ndarray) -> list[np.ndarray]:
 
 
 INDEX = ("doc_ids array<long>, starts array<int>, places array<int>, parts array<int>, list_starts array<int>, "
-         "block_starts array<int>, members array<int>, summary_rows array<int>, summaries binary")
+         "block_starts array<int>, members array<int>, summary_rows array<int>, summary_count int, "
+         "summaries binary")
 
 
 def build_shard(rows: list[tuple[int | None, str]], places: dict[bytes, int], weights: np.ndarray, stats: Statistics) -> dict[str, object] | None:
@@ -145,7 +146,8 @@ def build_shard(rows: list[tuple[int | None, str]], places: dict[bytes, int], we
                     summaries.append(rounded[block].max(0))
         list_starts.append(len(summary_rows))
     return {"doc_ids": ids, "starts": starts, "places": place, "parts": part, "list_starts": list_starts, "block_starts": block_starts,
-            "members": np.concatenate(members), "summary_rows": summary_rows, "summaries": b"".join(s.tobytes() for s in summaries)}
+            "members": np.concatenate(members), "summary_rows": summary_rows, "summary_count": len(summaries),
+            "summaries": pa.compress(b"".join(s.tobytes() for s in summaries), "zstd", asbytes=True)}
 
 
 def index(docs: DataFrame, vocabulary: list[str], stats: Statistics) -> DataFrame:
@@ -190,10 +192,12 @@ class Top:
 class Shard:
     """A shard of the index ready to be searched."""
 
-    def __init__(self, row: dict[str, np.ndarray], vocabulary: int):
+    def __init__(self, row: dict[str, object], vocabulary: int):
+        row = {c: v if c.startswith("summar") and c != "summary_rows" else np.asarray(v) for c, v in row.items()}
         self.ids, self.members = row["doc_ids"], row["members"]
         self.lists, self.blocks, self.rows = row["list_starts"], row["block_starts"], row["summary_rows"]
-        self.summaries = row["summaries"].reshape(-1, vocabulary)
+        size = row["summary_count"] * vocabulary
+        self.summaries = np.frombuffer(pa.decompress(row["summaries"], size, "zstd"), np.uint8).reshape(-1, vocabulary)
         self.parts = np.zeros((vocabulary, len(self.ids)), np.int32)
         self.parts[row["places"], np.repeat(np.arange(len(self.ids)), np.diff(row["starts"]))] = row["parts"]
 
@@ -239,9 +243,8 @@ def search(built: DataFrame, queries: list[tuple[int, list[tuple[int, int]]]], v
         tops = [Top(k) for _ in asked]
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {f.name: np.frombuffer(batch.column(f.name)[i].as_py(), np.uint8) if f.name == "summaries"
-                       else batch.column(f.name)[i].values.to_numpy() for f in batch.schema}
-                shard = Shard(row, vocabulary)
+                row = {f.name: batch.column(f.name)[i] for f in batch.schema}
+                shard = Shard({c: v.values if isinstance(v, pa.ListScalar) else v.as_py() for c, v in row.items()}, vocabulary)
                 for (_, places, weights), top in zip(asked, tops):
                     shard.search(places, weights, top)
         for (q, _, _), top in zip(asked, tops):

@@ -87,8 +87,7 @@ def test_blocks_are_skipped_and_bounds_hold():
     stats = rs.Statistics(len(rows), sum(c.total() for c in counts), dict(Counter(t for c in counts for t in c)))
     weights = np.array([stats.weight(t) for t in words], np.int64)
     made = rs.build_shard(rows, {t.encode(): i for i, t in enumerate(words)}, weights, stats)
-    made["summaries"] = np.frombuffer(made["summaries"], np.uint8)
-    shard = rs.Shard({c: np.asarray(v) for c, v in made.items()}, len(words))
+    shard = rs.Shard(made, len(words))
     scored = 0
     for _, text in rows[:30]:
         asked = Counter(terms(text))
