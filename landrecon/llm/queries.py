@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landrecon.llm import (
-    bpe, exact_dedup, fill_middle, fingerprints, mixing, ppm, ranked_search, secret_scan, simhash, token_files, toxicity, url_rules)
+    bpe, exact_dedup, fill_middle, fingerprints, mixing, ppm, ranked_search, sanitise, secret_scan, simhash, token_files, toxicity, url_rules)
 from landrecon.operators.rounds import Rounds
 from landrecon.session import ship
 
@@ -124,3 +124,9 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op11_ranked_search"] = ranked_search.SQL
+
+
+@query
+def op12_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data and of the terms that disclose it."""
+    return sanitise.report(documents(spark, sf_dir))
