@@ -145,12 +145,14 @@ def dataset_catalog(spark, sf_dir):
 @query("read_geojson", lens_sql("""
 SELECT feature_id AS name, source_type, canonical_type, kind, n_fields, round(lon, 8) AS lon, round(lat, 8) AS lat, true AS is_valid FROM lens"""))
 def read_geojson(spark, sf_dir):
-    """GeoJSON features, written from the layers, read back through the reader's own steps."""
-    f = lens.features(spark, sf_dir, mapped=False)
-    raw = f.select("ordinal", "dataset_id", "source_type", geo.to_geojson(F.col("geom")).alias("geometry_geojson"),
-                   F.map_concat("properties", F.create_map(F.lit("_name"), F.col("feature_id"))).alias("properties"))
-    raw = Rounds(spark).keep(raw)
-    out = readers.as_features(raw, F.col("dataset_id"), F.col("source_type"))
+    """The layers, written as FeatureCollection files and read back from them."""
+    folder = Rounds(spark).path()
+    for source in lens.LAYERS:
+        one = lens.features(spark, sf_dir, (source,), mapped=False)
+        named = F.map_concat("properties", F.create_map(F.lit("_name"), F.col("feature_id")))
+        sinks.write_features(one.withColumn("properties", named), f"{folder}/{source}")
+    source = F.regexp_extract("file", "([a-z]+)/[^/]*$", 1)
+    out = readers.read_geojson(spark, f"{folder}/*", F.concat(F.lit("DS-"), source), source)
     return out.select(F.col("properties")["_name"].alias("name"), "source_type", "canonical_type", "kind",
                       (F.size("properties") - 1).alias("n_fields"), F.round("centroid_lon", 8).alias("lon"),
                       F.round("centroid_lat", 8).alias("lat"), "is_valid")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import io
 import zipfile
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +14,7 @@ from landrecon.functions import geo, kernel, scalar
 from landrecon.functions.columns import once
 from landrecon.operators import grid, skew
 from landrecon.settings import CANONICAL_TYPE, DEFAULT_CANONICAL_TYPE, DEFAULTS, Settings
+from landrecon.sources import geojson
 
 RAW = ["ordinal", "properties", "geometry_geojson"]
 FEATURE = ["feature_id", "dataset_id", "source_type", "canonical_type", "ordinal", "properties", "geom",
@@ -63,30 +63,15 @@ def with_measures(df: DataFrame) -> DataFrame:
         "is_valid": F.coalesce(kernel.validity_of(g) == "ok", g.isNotNull())})
 
 
-def read_geojson(spark: SparkSession, path: str, dataset_id: str, source_type: str,
+def read_geojson(spark: SparkSession, path: str, dataset_id: Column | str, source_type: Column | str,
                  crs: str | None = None, cfg: Settings = DEFAULTS) -> DataFrame:
-    """FeatureCollection files, or files with one feature per line, which Spark can split.
+    """FeatureCollection files, or files with one feature per line, split by byte ranges (see ``geojson``).
 
-    Each file of a folder is read by its own first line. Anything that is neither raises. Features that
-    cannot be read are dropped one by one.
+    Each file of a folder is read by what it holds. Anything that is neither raises. Features that
+    cannot be read are dropped one by one. Dataset and source may be columns over ``file``, the path of a feature's file.
     """
-    feature = "struct<type:string,geometry:string,properties:string>"
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("at"))
-    heads = (lines.where(F.trim("value") != "").groupBy("file").agg(F.min_by("value", "at").alias("head"))
-             .select("file", (F.get_json_object("head", "$.type") == "Feature").alias("by_line")).collect())  # a row for each file
-    parts = []
-    by_line, whole = [r.file for r in heads if r.by_line], [r.file for r in heads if not r.by_line]
-    if by_line:
-        rows = spark.read.text(by_line).where(F.trim("value") != "")
-        parts.append(rows.select(F.from_json("value", feature).alias("f"), F.lit(None).cast("string").alias("hint")))
-    if whole or not by_line:
-        doc = spark.read.text(whole or path, wholetext=True).select(
-            F.from_json("value", f"type string, crs_hint string, features array<{feature}>").alias("d"))
-        checked = doc.select(F.when(F.col("d.type") == "FeatureCollection", F.col("d")).otherwise(
-            F.raise_error(F.lit("file must be a GeoJSON FeatureCollection"))).alias("d"))
-        parts.append(checked.select(F.explode("d.features").alias("f"), F.col("d.crs_hint").alias("hint")))
-    items = reduce(DataFrame.unionByName, parts).withColumn("ordinal", F.monotonically_increasing_id())
-    raw = items.select(F.col("ordinal").cast("long").alias("ordinal"), "hint", F.col("f.geometry").alias("geometry_geojson"),
+    items = geojson.feature_texts(spark, path).withColumn("f", F.from_json("value", "struct<geometry:string,properties:string>"))
+    raw = items.select("file", "ordinal", "hint", F.col("f.geometry").alias("geometry_geojson"),
                        F.coalesce(F.from_json("f.properties", "map<string,string>"),
                                   F.create_map().cast("map<string,string>")).alias("properties"))
     return as_features(raw, dataset_id, source_type, F.coalesce(F.lit(crs), F.col("hint")), cfg)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from landrecon.functions import geo
 from landrecon.operators import changes, search
 from landrecon.operators.unify import PARCEL_COLUMNS
 
@@ -35,6 +36,17 @@ def write_geojson(parcels: DataFrame, path: str) -> None:
 
 def write_geojson_collection(parcels: DataFrame, path: str) -> None:
     """One FeatureCollection text per output file, built where the rows are."""
+    _write_collections(geojson_lines(parcels), path)
+
+
+def write_features(features: DataFrame, path: str) -> None:
+    """Features of one dataset, with their properties and geometry, as FeatureCollection files."""
+    text = F.concat(F.lit('{"type":"Feature","geometry":'), F.coalesce(geo.to_geojson(F.col("geom")), F.lit("null")),
+                    F.lit(',"properties":'), F.to_json("properties", {"ignoreNullFields": "false"}), F.lit("}"))
+    _write_collections(features.select(text.alias("value")), path)
+
+
+def _write_collections(lines: DataFrame, path: str) -> None:
     def wrap(batches):
         import pyarrow as pa
 
@@ -47,7 +59,7 @@ def write_geojson_collection(parcels: DataFrame, path: str) -> None:
                 first = False
         yield pa.RecordBatch.from_pydict({"value": ["]}"]})
 
-    geojson_lines(parcels).mapInArrow(wrap, "value string").write.mode("overwrite").text(path)
+    lines.mapInArrow(wrap, "value string").write.mode("overwrite").text(path)
 
 
 def csv_rows(parcels: DataFrame) -> DataFrame:
