@@ -63,7 +63,7 @@ def building_crossing_conflicts(features: DataFrame, cfg: Settings = DEFAULTS) -
     parcels = _shapes(features.where(F.col("kind").isin(*geo.POLYGONAL)), "parcel", cfg)
     buildings = _shapes(features.where(F.col("kind").isin(*geo.POLYGONAL)), "building", cfg)
     pairs = grid.box_pairs(grid.prefixed(parcels, "a_"), grid.prefixed(buildings, "b_"),
-                           cfg.same_layer_cell_deg, hot_rows=cfg.hot_rows)
+                           cfg.same_layer_cell_deg, hot_rows=cfg.hot_rows, max_cells=_wide(features, cfg, "parcel", "building"))
     score = topology.pair_iou(cfg, "b_", "a_")
     pairs = pairs.withColumn("score", score).where(
         (F.col("score") > cfg.crossing_min_iou) & (F.col("score") < cfg.crossing_max_iou))
@@ -86,7 +86,7 @@ def utility_crossing_conflicts(features: DataFrame, cfg: Settings = DEFAULTS) ->
     a = grid.distinct_shapes(parcels, columns, [])
     b = grid.distinct_shapes(lines, columns, [])
     pairs = grid.box_pairs(grid.prefixed(a, "a_"), grid.prefixed(b, "b_"), cfg.same_layer_cell_deg,
-                           hot_rows=cfg.hot_rows)
+                           hot_rows=cfg.hot_rows, max_cells=_wide(features, cfg, "parcel", "utility"))
     pairs = pairs.withColumn("score", kernel.line_relation_to(F.col("b_geom"), F.col("a_geom")).cast("double"))
     first = (pairs.where(F.col("score") == 1).groupBy(F.col("b_shape_id").alias("shape_id"))
              .agg(_lowest_parcel().alias("p")))
@@ -108,13 +108,17 @@ def _closeness(cfg: Settings) -> Column:
     return F.exp(-d / cfg.decay_m)
 
 
-def nearest_parcel_score(parcels: DataFrame, points: DataFrame, reach_m: float, cfg: Settings) -> DataFrame:
+def _wide(features: DataFrame, cfg: Settings, *canonical: str, cell: float | None = None) -> int | None:
+    return grid.wide_cells(cell or cfg.same_layer_cell_deg, cfg, features.where(F.col("canonical_type").isin(*canonical)))
+
+
+def nearest_parcel_score(parcels: DataFrame, points: DataFrame, reach_m: float, cfg: Settings, wide: int | None = None) -> DataFrame:
     """Best closeness of each distinct point among the parcels within ``reach_m``."""
     a, b = grid.prefixed(parcels, "a_"), grid.prefixed(points, "b_")
     # One percent of slack covers the scale error of the flat degree box; the edge nearer to a pole needs the wider one.
     pad_x, pad_y = grid.search_pad(F.greatest(F.abs(F.col("a_ymin")), F.abs(F.col("a_ymax"))), reach_m * 1.01, cfg)
     cell = max(cfg.same_layer_cell_deg, 2 * reach_m / cfg.metres_per_degree)
-    pairs = grid.box_pairs(a, b, cell, pad_x=pad_x, pad_y=pad_y, hot_rows=cfg.hot_rows)
+    pairs = grid.box_pairs(a, b, cell, pad_x=pad_x, pad_y=pad_y, hot_rows=cfg.hot_rows, max_cells=wide)
     return pairs.groupBy(F.col("b_shape_id").alias("shape_id")).agg(F.max(_closeness(cfg)).alias("score"))
 
 
@@ -128,9 +132,10 @@ def gnss_outside_conflicts(features: DataFrame, cfg: Settings = DEFAULTS) -> Dat
 
     parcels = _shapes(features.where(F.col("kind").isin(*geo.POLYGONAL)), "parcel", cfg)
     points = _shapes(features, "gnss_point", cfg)
-    near = nearest_parcel_score(parcels, points, cfg.decay_m * log(1 / cfg.gnss_outside) + 1, cfg)
+    wide = _wide(features, cfg, "parcel")
+    near = nearest_parcel_score(parcels, points, cfg.decay_m * log(1 / cfg.gnss_outside) + 1, cfg, wide)
     lost = points.join(near.where(F.col("score") >= cfg.gnss_outside), "shape_id", "left_anti")
-    score = nearest_parcel_score(parcels, lost, cfg.decay_m * log(2000), cfg)  # beyond it the score rounds to zero
+    score = nearest_parcel_score(parcels, lost, cfg.decay_m * log(2000), cfg, wide)  # beyond it the score rounds to zero
     rows = (_members(features, "gnss_point", cfg)
             .join(lost.select("shape_id").join(score, "shape_id", "left"), "shape_id")
             .withColumn("score", F.coalesce("score", F.lit(0.0))).where(F.col("score") < cfg.gnss_outside))

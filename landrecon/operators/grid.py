@@ -27,27 +27,36 @@ def prefixed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(prefix + c) for c in df.columns])
 
 
-def _celled(df: DataFrame, p: str, cell: float, pad_x: Column | None, pad_y: Column | None,
-            max_cells: int | None) -> tuple[DataFrame, DataFrame | None]:
-    px = pad_x if pad_x is not None else F.lit(0.0)
-    py = pad_y if pad_y is not None else F.lit(0.0)
-
-    def at(value: Column) -> Column:
-        return F.floor(value / cell).cast("int")
-
-    ranged = df.withColumns({
-        p + "_x0": at(F.col(p + "xmin") - px), p + "_x1": at(F.col(p + "xmax") + px),
-        p + "_y0": at(F.col(p + "ymin") - py), p + "_y1": at(F.col(p + "ymax") + py),
-        p + "_px": px, p + "_py": py})
-    big = None
-    if max_cells is not None:
-        span = ((F.col(p + "_x1") - F.col(p + "_x0") + 1).cast("long")
-                * (F.col(p + "_y1") - F.col(p + "_y0") + 1))
-        big, ranged = ranged.where(span > max_cells).select(df.columns), ranged.where(span <= max_cells)
-    cells = (ranged.withColumn("_cx", F.explode(F.sequence(p + "_x0", p + "_x1")))
-             .withColumn("_cy", F.explode(F.sequence(p + "_y0", p + "_y1")))
-             .drop(p + "_x1", p + "_y1"))
-    return cells, big
+#: Edge of a cell against that of the next finer level, and the coarsest level.
+FACTOR, TOP_LEVEL = 8, 12
+
+
+def level_of(p: str, cell: float, max_cells: int) -> Column:
+    """The finest level at which a box lies in at most ``max_cells`` cells (9 at least, so that every box has a level)."""
+    out = F.lit(TOP_LEVEL)
+    for level in reversed(range(TOP_LEVEL)):
+        edge = cell * FACTOR ** level
+        cells = ((F.col(p + "xmax") - F.col(p + "xmin")) / edge + 2) * ((F.col(p + "ymax") - F.col(p + "ymin")) / edge + 2)
+        out = F.when(cells <= max(max_cells, 9), F.lit(level)).otherwise(out)
+    return out
+
+
+def listed(df: DataFrame, p: str, cell: float, pad_x: Column | None, pad_y: Column | None, levels: Column) -> DataFrame:
+    """A row for each cell a box touches at each of its ``levels``, with the first of them at that level."""
+    px, py = F.lit(0.0) if pad_x is None else pad_x, F.lit(0.0) if pad_y is None else pad_y
+    edge = F.lit(cell) * F.pow(F.lit(float(FACTOR)), F.col("_level"))
+    at = lambda value: F.floor(value / edge).cast("int")
+    ranged = df.withColumns({p + "_px": px, p + "_py": py}).withColumn("_level", F.explode(levels)).withColumns({
+        p + "_x0": at(F.col(p + "xmin") - F.col(p + "_px")), p + "_x1": at(F.col(p + "xmax") + F.col(p + "_px")),
+        p + "_y0": at(F.col(p + "ymin") - F.col(p + "_py")), p + "_y1": at(F.col(p + "ymax") + F.col(p + "_py"))})
+    return (ranged.withColumn("_cx", F.explode(F.sequence(p + "_x0", p + "_x1")))
+            .withColumn("_cy", F.explode(F.sequence(p + "_y0", p + "_y1"))).drop(p + "_x1", p + "_y1"))
+
+
+def _present(left: DataFrame, right: DataFrame, cell: float, max_cells: int) -> list[int]:
+    """The levels at which boxes live: at most ``TOP_LEVEL`` + 1 numbers."""
+    both = left.select(level_of("a_", cell, max_cells).alias("l")).unionByName(right.select(level_of("b_", cell, max_cells).alias("l")))
+    return sorted(r.l for r in both.distinct().collect())
 
 
 def box_pairs(left: DataFrame, right: DataFrame, cell: float, *, pad_x: Column | None = None,
@@ -55,47 +64,53 @@ def box_pairs(left: DataFrame, right: DataFrame, cell: float, *, pad_x: Column |
               hot_rows: int | None = DEFAULTS.hot_rows, max_cells: int | None = None) -> DataFrame:
     """All pairs of left (``a_`` columns) and right (``b_`` columns) whose boxes meet.
 
-    ``pad_x``/``pad_y`` widen the left boxes; columns in ``on`` must be equal. With ``max_cells`` a feature that would be listed in
-    more cells than that is joined on a grid 64 times coarser, level by level, so that a layer-wide
-    footprint does not explode.
+    ``pad_x``/``pad_y`` widen the left boxes; columns in ``on`` must be equal. Without ``max_cells`` every box is listed at the
+    given cell size. With it the grid is a hierarchy: a box lives at the level where it touches few cells, and two boxes meet at
+    the coarser of their levels, the finer one by the cells that contain its own. A layer-wide footprint is listed in a few
+    cells, and every box once for each coarser level at which some box lives.
     """
-    a, big_a = _celled(left, "a_", cell, pad_x, pad_y, max_cells)
-    b, big_b = _celled(right, "b_", cell, None, None, max_cells)
-    keys = ["_cx", "_cy"]
+    if max_cells is None:
+        level = F.array(F.lit(0))
+        return _meeting(listed(left, "a_", cell, pad_x, pad_y, level), listed(right, "b_", cell, None, None, level),
+                        on, hot_rows, False).select(*left.columns, *right.columns)
+    present = F.array(*[F.lit(n) for n in _present(left, right, cell, max_cells)])
+    home = lambda p: F.array(level_of(p, cell, max_cells))
+    above = lambda p: F.filter(present, lambda n: n > level_of(p, cell, max_cells))
+    a_home, b_home = listed(left, "a_", cell, pad_x, pad_y, home("a_")), listed(right, "b_", cell, None, None, home("b_"))
+    b_up = listed(right, "b_", cell, None, None, above("b_"))
+    a_up = listed(left, "a_", cell, pad_x, pad_y, above("a_"))
+    pairs = [_meeting(a_home, b_home.unionByName(b_up), on, hot_rows, False), _meeting(a_up, b_home, on, hot_rows, True)]
+    return pairs[0].select(*left.columns, *right.columns).unionByName(pairs[1].select(*left.columns, *right.columns))
+
+
+def _meeting(a: DataFrame, b: DataFrame, on: tuple[str, ...], hot_rows: int | None, spread_left: bool) -> DataFrame:
+    """Pairs of listed boxes that meet, each in the first cell they share; cells with very many boxes of one side are salted."""
+    keys = ["_level", "_cx", "_cy"]
     for c in on:
         a, b = a.withColumn("_on_" + c, F.col("a_" + c)), b.withColumn("_on_" + c, F.col("b_" + c))
         keys.append("_on_" + c)
     if hot_rows is not None:
-        b, a = skew.salted(b, a, keys, F.struct("b_xmin", "b_ymin", "b_ordinal"), hot_rows)
+        if spread_left:
+            a, b = skew.salted(a, b, keys, F.struct("a_xmin", "a_ymin", "a_ordinal"), hot_rows)
+        else:
+            b, a = skew.salted(b, a, keys, F.struct("b_xmin", "b_ymin", "b_ordinal"), hot_rows)
         keys = keys + ["_salt"]
     first = ((F.col("_cx") == F.greatest("a__x0", "b__x0")) & (F.col("_cy") == F.greatest("a__y0", "b__y0")))
-    meets = geo.boxes_meet("a_", "b_", F.col("a__px"), F.col("a__py"))
-    pairs = a.join(b, keys).where(first & meets).select(*left.columns, *right.columns)
-    if max_cells is None:
-        return pairs
-    coarse = cell * 64
-    deeper = max_cells if coarse < 4 else None
-    again = [box_pairs(big_a, right, coarse, pad_x=pad_x, pad_y=pad_y, on=on, hot_rows=hot_rows,
-                       max_cells=deeper),
-             box_pairs(_small(left, "a_", cell, pad_x, pad_y, max_cells), big_b, coarse, pad_x=pad_x,
-                       pad_y=pad_y, on=on, hot_rows=None, max_cells=deeper)]
-    for more in again:
-        pairs = pairs.unionByName(more)
-    return pairs
-
+    return a.join(b, keys).where(first & geo.boxes_meet("a_", "b_", F.col("a__px"), F.col("a__py")))
 
-def _small(df: DataFrame, p: str, cell: float, pad_x, pad_y, max_cells: int) -> DataFrame:
-    cells, big = _celled(df, p, cell, pad_x, pad_y, max_cells)
-    return (cells.where((F.col("_cx") == F.col(p + "_x0")) & (F.col("_cy") == F.col(p + "_y0")))
-            .select(df.columns))
 
-
-def has_oversize(features: DataFrame, cfg: Settings = DEFAULTS) -> bool:
+def has_oversize(features: DataFrame, cfg: Settings = DEFAULTS, cell: float | None = None) -> bool:
     """Whether any box spans more grid cells than are worth listing one by one."""
-    cells = ((F.col("xmax") - F.col("xmin")) / cfg.cell_deg + 2) * ((F.col("ymax") - F.col("ymin")) / cfg.cell_deg + 2)
+    edge = cell or cfg.cell_deg
+    cells = ((F.col("xmax") - F.col("xmin")) / edge + 2) * ((F.col("ymax") - F.col("ymin")) / edge + 2)
     return not features.where(cells > cfg.oversize_cells).isEmpty()
 
 
+def wide_cells(cell: float, cfg: Settings, *sides: DataFrame) -> int | None:
+    """``max_cells`` for a join of these features: a hierarchy if one of them needs it."""
+    return cfg.oversize_cells if any(has_oversize(s, cfg, cell) for s in sides) else None
+
+
 def distinct_shapes(features: DataFrame, same: list[str], keep: list[str]) -> DataFrame:
     """One row per group of exact copies: first and last member and how many there are.
 

@@ -48,7 +48,8 @@ class LayerOverlaps:
         self.shapes = self.rounds.keep(layer_shapes(self.polygons, cfg))
         found = grid.box_pairs(
             grid.prefixed(self.shapes, "a_"), grid.prefixed(self.shapes, "b_"), cfg.same_layer_cell_deg,
-            on=("dataset_id",), hot_rows=cfg.hot_rows).where(F.col("a_ordinal") < F.col("b_ordinal"))
+            on=("dataset_id",), hot_rows=cfg.hot_rows,
+            max_cells=grid.wide_cells(cfg.same_layer_cell_deg, cfg, self.shapes)).where(F.col("a_ordinal") < F.col("b_ordinal"))
         least = cfg.overlap_iou if min_iou is None else min_iou
         found = found.withColumn("iou", pair_iou(cfg)).where(F.col("iou") > least)
         self.pairs = self.rounds.keep(found.select("iou", *[p + c for p in ("a_", "b_") for c in self.SIDE]))

@@ -84,6 +84,56 @@ def test_grid_join_equals_cross_join(spark, max_cells):
     assert got.count() == want.count() and got.exceptAll(want).isEmpty()
 
 
+def test_layer_wide_boxes_add_a_row_for_each_level(spark):
+    """Boxes of eight sizes up to 30 degrees: few rows are listed, and the pairs are those of a cross join."""
+    import random
+    rnd = random.Random(8)
+
+    def some(p, n):
+        rows = []
+        for i in range(n):
+            w = rnd.choice([0, 0.0005, 0.003, 0.02, 0.1, 1.0, 7.0, 30.0])
+            x, y = rnd.uniform(70, 76), rnd.uniform(10, 16)
+            rows.append((i, i % 2, x, y, x + w, y + w * rnd.choice([0, 1])))
+        return spark.createDataFrame(rows, ", ".join(f"{p}{c} {t}" for c, t in (
+            ("ordinal", "long"), ("k", "int"), ("xmin", "double"), ("ymin", "double"), ("xmax", "double"), ("ymax", "double"))))
+
+    a, b = some("a_", 120), some("b_", 150)
+    pad, cell = F.lit(0.001), 0.004
+    got = grid.box_pairs(a, b, cell, pad_x=pad, pad_y=pad, on=("k",), hot_rows=20, max_cells=16).select("a_ordinal", "b_ordinal")
+    want = a.join(b, (F.col("a_k") == F.col("b_k")) & (F.col("a_xmin") - pad <= F.col("b_xmax")) & (F.col("a_xmax") + pad >= F.col("b_xmin"))
+                  & (F.col("a_ymin") - pad <= F.col("b_ymax")) & (F.col("a_ymax") + pad >= F.col("b_ymin"))).select("a_ordinal", "b_ordinal")
+    assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+    every = F.array(*[F.lit(n) for n in grid._present(a, b, cell, 16)])
+    rows = grid.listed(b, "b_", cell, None, None, F.filter(every, lambda n: n >= grid.level_of("b_", cell, 16)))
+    assert rows.groupBy("b_ordinal", "_level").count().agg(F.max("count")).first()[0] <= 16
+    assert rows.count() <= 16 * 150 * len(grid._present(a, b, cell, 16))
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_conflicts_with_a_layer_wide_parcel(spark, wide):
+    """A parcel of 2 by 2 degrees next to small ones: the same findings from the plain grid and from the hierarchy."""
+    from dataclasses import replace
+
+    from landrecon import lens
+    from landrecon.operators import conflicts
+
+    box = lambda x, y, w: [tuple(map(float, (x, y, x + w, y + w)))]
+    rows = [(i, t, *b) for i, (t, (b,)) in enumerate(
+        [("parcel", box(74, 16, 2.0)), ("parcel", box(74.1, 16.1, 0.001)), ("parcel", box(74.1005, 16.1, 0.001)),
+         ("building", box(75.9999, 17.9999, 0.0003)), ("building", box(74.1008, 16.1003, 0.0004)),
+         ("gnss_point", box(76.2, 18.2, 0)), ("gnss_point", box(75.0, 17.0, 0))])]
+    made = spark.createDataFrame(rows, "ordinal long, canonical_type string, xmin double, ymin double, xmax double, ymax double")
+    made = made.withColumns({"feature_id": F.concat(F.lit("F"), "ordinal"), "dataset_id": F.col("canonical_type"), "source_type": F.lit("cadastral"),
+                             "kind": F.when(F.col("canonical_type") == "gnss_point", "Point").otherwise("Polygon"),
+                             "properties": F.create_map().cast("map<string,string>")})
+    made = lens.measured(made, lens.LENS, mapped=False)
+    cfg = replace(lens.LENS, same_layer_cell_deg=0.01, oversize_cells=16 if wide else 10**9)
+    found = [d(made, cfg) for d in (conflicts.parcel_overlap_conflicts, conflicts.building_crossing_conflicts, conflicts.gnss_outside_conflicts)]
+    got = sorted((r.conflict_type, r.feature_ref) for df in found for r in df.collect())
+    assert got == [("building_boundary_crossing", "F4"), ("gnss_outside_parcel", "F5"), ("parcel_overlap", "F1")]
+
+
 def test_validation_keeps_the_first_original(spark):
     bow = '{"type":"Polygon","coordinates":[[[0,0],[2,2],[0,2],[2,0],[0,0]]]}'
     raw = spark.createDataFrame([(0, {}, bow)], "ordinal long, properties map<string,string>, geometry_geojson string")
