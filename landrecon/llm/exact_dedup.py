@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landrecon.llm.frames import BROADCAST_ROWS, few, located
+from landrecon.llm.frames import BROADCAST_ROWS, few, located, neutral, restored
 from landrecon.operators.rounds import Rounds
 
 #: Input files of arrivals that one micro-batch takes.
@@ -112,4 +112,4 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, all columns, one for each text."""
     rows, here, rounds = classes(docs)
     gone = rounds.keep(rows.where("not kept").select("_file", "_row"))
-    return here.join(few(gone, BROADCAST_ROWS), ["_file", "_row"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return here.join(few(gone, BROADCAST_ROWS), ["_file", "_row"], "left_anti").select(*restored(neutral(docs, "doc_id", "text")))

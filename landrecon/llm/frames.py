@@ -53,8 +53,8 @@ def plain(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
-#: Rows of a few ids or digests that are broadcast; more are joined by shuffle.
-BROADCAST_ROWS = 500_000
+#: Rows of a few ids, digests or places (up to some 200 bytes each) that are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def few(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -62,15 +62,31 @@ def few(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def neutral(docs: DataFrame, *needed: str) -> dict[str, str]:
+    """A name for each column of ``docs`` that no step uses: its own for the needed ones, a number for others."""
+    return {c: c if c in needed else f"_column_{i}" for i, c in enumerate(docs.columns)}
+
+
+def renamed(docs: DataFrame, names: dict[str, str]) -> list[Column]:
+    return [F.col(f"`{c}`").alias(n) for c, n in names.items()]
+
+
+def restored(names: dict[str, str]) -> list[Column]:
+    return [F.col(n).alias(c) for c, n in names.items()]
+
+
 def located(docs: DataFrame, rounds: Rounds) -> DataFrame:
-    """``docs`` with _file and _row, the place of each row. What is not read from files is written first."""
-    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    """``docs`` with _file and _row, the place of each row. What is not read from files is written first.
+
+    Columns other than doc_id and text have the names of ``neutral(docs, "doc_id", "text")``, so that none clashes.
+    """
+    own, place = renamed(docs, neutral(docs, "doc_id", "text")), [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
     try:
-        return docs.select("*", *place)
+        return docs.select(*own, *place)
     except Exception as error:  # no files behind these rows
         if "_metadata" not in str(error):
             raise
-        return rounds.keep(docs).select("*", *place)
+        return rounds.keep(docs.select(*own)).select("*", *place)
 
 
 def order_key(name: str = "doc_id") -> Column:

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from landrecon.llm.frames import neutral, renamed, restored
 from landrecon.operators.rounds import Rounds
 
 #: Largest mean inverted at once; exp(-MOST) is far above the smallest double.
@@ -79,19 +80,22 @@ def mix(docs: DataFrame, seed: int = 0, temperature: float = 0.5, epochs: float
 
     Rows of a partition are in ascending _order, and partitions are dealt by it. Equal doc_ids draw
     alike, and repeated rows are copied each; a null doc_id draws as an empty one and a null source is
-    a source of its own. Rows drawn 0 times are gone: that is what the operator does.
+    a source of its own. Rows drawn 0 times are gone: that is what the operator does. A column of ``docs`` that has the
+    name of one of the four stays, and that one is left out.
     """
     rounds = Rounds(docs.sparkSession)
     table = rounds.keep(tables(rates(docs, temperature, epochs, weights)).select(
         F.col("source").alias("_source"), F.col("rate").alias("_rate"), "draws", "cdf"))
-    same = docs["source"].eqNullSafe(table["_source"])
-    joined = docs.join(F.broadcast(table) if table.count() <= BROADCAST_SOURCES else table, same)
+    names = neutral(docs, "doc_id", "source")
+    own = docs.select(*renamed(docs, names))
+    same = own["source"].eqNullSafe(table["_source"])
+    joined = own.join(F.broadcast(table) if table.count() <= BROADCAST_SOURCES else table, same)
     drawn = joined.withColumn("_copies", copies(seed)).where("_copies > 0")
-    exploded = drawn.select(*[docs[c] for c in docs.columns], "_rate", "_copies",
-                            F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
+    exploded = drawn.select(*names.values(), "_rate", "_copies", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
     order = F.md5(F.concat_ws(":", F.lit(f"order {seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
                               F.col("_copy").cast("string")).cast("binary"))
-    return exploded.withColumn("_order", order).repartition("_order").sortWithinPartitions("_order")
+    shuffled = exploded.withColumn("_order", order).repartition("_order").sortWithinPartitions("_order")
+    return shuffled.select(*restored(names), *[c for c in ("_rate", "_copies", "_copy", "_order") if c not in names])
 
 
 #: The same draw in SQL; {documents} with doc_id, text, source. Only for means of at most MOST.

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landrecon.llm.components import components
-from landrecon.llm.frames import BROADCAST_ROWS, arrow_map, arrow_schema, few, located, plain, texts
+from landrecon.llm.frames import BROADCAST_ROWS, arrow_map, arrow_schema, few, located, neutral, plain, restored, texts
 from landrecon.operators.rounds import Rounds
 
 #: Most members of a table entry that one task holds, times two.
@@ -192,6 +192,8 @@ def radius_for(similarity: float, bits: int = 256) -> int:
 
 #: Bands of a MinHash signature and values in a band: sets 0.8 alike share no band with probability (1 - 0.8**8)**48 = 0.00015.
 BANDS, BAND_ROWS = 48, 8
+#: Rounds of comparing the members of a band with one of them before their sets are brought together.
+PIVOTS = 2
 _draw = np.random.default_rng(20)
 _TURNS = _draw.integers(0, 1 << 32, BANDS * BAND_ROWS, np.uint32) | np.uint32(1)
 _FLIPS = _draw.integers(0, 1 << 32, BANDS * BAND_ROWS, np.uint32)
@@ -224,23 +226,66 @@ def band_keys(found: np.ndarray) -> np.ndarray:
     return ((keys ^ (keys >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
 
 
-def _every_pair(dealt: DataFrame, similarity: float) -> DataFrame:
-    """a, b: nodes of different labels within the groups of ``dealt`` (key, part, label, node, n) whose sizes n allow the similarity."""
+def near_sets(sets: list[np.ndarray], labels: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of labels that join what the links between these sets of hashes join: at most one less than there are labels.
+
+    From each set in turn the sets of other labels that are alike are found by counting shared hashes in an inverted index;
+    what is reached takes its label and is searched from next. Nothing is compared again once it is reached.
+    """
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    owners = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(codes, kind="stable")
+    holders, starts = owners[order], np.searchsorted(codes[order], np.arange(len(values) + 1))
+    edges = np.concatenate([[0], np.cumsum(sizes)])
+    pairs: list[tuple[int, int]] = []
+    left = np.ones(len(sets), bool)
+    while left.any():
+        mine = labels[int(left.argmax())]
+        group = left & (labels == mine)
+        left &= ~group
+        queue = np.flatnonzero(group).tolist()
+        while queue and left.any():
+            i = queue.pop()
+            shared = np.zeros(len(sets), np.int64)
+            for c in codes[edges[i] : edges[i + 1]].tolist():
+                shared[holders[starts[c] : starts[c + 1]]] += 1
+            joined = np.unique(labels[left & (shared >= similarity * (sizes + sizes[i] - shared) - 1e-9)])
+            if len(joined):
+                pairs += [(int(mine), int(x)) for x in joined]
+                group = left & np.isin(labels, joined)
+                left &= ~group
+                queue += np.flatnonzero(group).tolist()
+    return pairs
+
+
+def _set_links(dealt: DataFrame, similarity: float) -> DataFrame:
+    """a, b: labels that links within the groups of ``dealt`` (key, part, label, hashes) join."""
     out = arrow_schema("a long, b long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, _, label, node, n), starts in _groups(batches, ["key", "part", "label", "node", "n"]):
-            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(label)]):
-                for i in range(a, b - 1):
-                    rest = slice(i + 1, b)
-                    near = (label[rest] != label[i]) & (np.minimum(n[rest], n[i]) >= similarity * np.maximum(n[rest], n[i]) - 1e-9)
-                    if near.any():
-                        other = node[rest][near]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.minimum(other, node[i])), pa.array(np.maximum(other, node[i]))], schema=out)
+        held: list[tuple[tuple[int, int], int, np.ndarray]] = []
+
+        def links() -> Iterator[pa.RecordBatch]:
+            labels = np.array([label for _, label, _ in held])
+            found = near_sets([h for _, _, h in held], labels, similarity) if len(set(labels.tolist())) > 1 else []
+            if found:
+                made = np.array(sorted(set(found)), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(made[:, 0]), pa.array(made[:, 1])], schema=out)
+
+        for batch in batches:
+            keys = list(zip(batch.column("key").to_pylist(), batch.column("part").to_pylist()))
+            hashes = batch.column("hashes")
+            for i, (at, label) in enumerate(zip(keys, batch.column("label").to_pylist())):
+                if held and held[0][0] != at:
+                    yield from links()
+                    held.clear()
+                held.append((at, label, hashes[i].values.to_numpy().copy()))
+        if held:
+            yield from links()
 
     spread = dealt.repartition(F.col("key"), F.col("part")).sortWithinPartitions("key", "part")
-    return spread.mapInArrow(run, "a long, b long").distinct()
+    return spread.mapInArrow(run, "a long, b long")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -256,9 +301,11 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> tuple[D
 
     Texts link if their sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or
     more. Candidates share a band of their MinHash signatures; whether an edit is scattered or in one
-    block makes no difference to those. Every candidate link is compared by its whole sets. First each
-    member of a band is compared with the smallest and the largest node in it, which settles groups of
-    copies of any size; then all pairs in a band that are not yet connected are compared. Nothing is
+    block makes no difference to those. Every link is verified by the whole sets. Each member of a
+    band is compared with the smallest and the largest node in it, then, in bands that are not connected yet, ``PIVOTS`` times
+    with one other member: at most a row for each member. That settles groups of copies of any size.
+    The members of bands that are still not connected go with their sets to one task for each band, which
+    emits at most a link less than the band has labels; no pair is a row. Nothing is
     capped. Groups are what links connect. Null and empty texts have no shingle and form a group.
     """
     rounds = Rounds(docs.sparkSession)
@@ -288,14 +335,23 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> tuple[D
                                             F.struct(F.col("node").alias("a"), F.col("high").alias("b")))).alias("p"))
     tried = rounds.keep(ends.select("p.*").where("a < b").distinct())
     links = rounds.keep(_alike(tried, sets, similarity))
-    first = components(rounds, links).withColumnRenamed("node", "_node")
-    labelled = members.join(few(first), members.node == first._node, "left").select(
-        "key", "node", "n", F.coalesce("component", "node").alias("label"))
-    labelled = rounds.keep(labelled)
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("key")
-    open_keys = rounds.keep(labelled.join(few(rounds.keep(mixed)), "key", "left_semi"))
-    others = _every_pair(_dealt(open_keys, rounds, "node", "label", "n"), similarity).join(tried, ["a", "b"], "left_anti")
-    more = _alike(rounds.keep(others), sets, similarity)
+    for turn in range(PIVOTS + 1):
+        first = components(rounds, links).withColumnRenamed("node", "_node")
+        labelled = rounds.keep(members.join(few(first), members.node == first._node, "left").select(
+            "key", "node", "n", F.coalesce("component", "node").alias("label")))
+        mixed = rounds.keep(labelled.groupBy("key").agg(
+            F.min("label").alias("l"), F.max("label").alias("h"),
+            F.min_by(F.struct("node", "label", "n"), F.xxhash64("node", F.lit(turn))).alias("pivot")).where("l < h").select("key", "pivot"))
+        members = rounds.keep(labelled.join(few(mixed), "key"))
+        if turn == PIVOTS or members.isEmpty():
+            break
+        size = F.least("n", "pivot.n") >= similarity * F.greatest("n", "pivot.n") - 1e-9
+        ends = members.where((F.col("label") != F.col("pivot.label")) & size).select(
+            F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b"))
+        links = rounds.keep(links.unionByName(_alike(rounds.keep(ends.distinct()), sets, similarity)))
+        members = members.select("key", "node", "n")
+    dealt = _dealt(members.select("key", "node", "label"), rounds, "node", "label")
+    more = _set_links(dealt.join(sets, "node").select("key", "part", "label", "hashes"), similarity)
     whole = components(rounds, links.unionByName(more)).withColumnRenamed("node", "_node")
     found = rows.select("doc_id", "_file", "_row", "node")
     return found.join(few(whole), found.node == whole._node, "left").select(
@@ -312,7 +368,7 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFr
     stays = rounds.keep(rows.groupBy("group").agg(F.min(rank).alias("k"), F.count(F.lit(1)).alias("n")).where("n > 1")
                         .select("group", F.col("k._file").alias("keep_file"), F.col("k._row").alias("keep_row")))
     gone = rounds.keep(rows.join(stays, "group").where("_file <> keep_file or _row <> keep_row").select("_file", "_row"))
-    return here.join(few(gone, BROADCAST_ROWS), ["_file", "_row"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return here.join(few(gone, BROADCAST_ROWS), ["_file", "_row"], "left_anti").select(*restored(neutral(docs, "doc_id", "text")))
 
 
 def hexadecimal(fp: str = "fp") -> Column:

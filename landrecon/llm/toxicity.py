@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from landrecon.llm.frames import arrow_map, arrow_schema, plain, texts
+from landrecon.llm.frames import arrow_map, arrow_schema, neutral, plain, renamed, restored, texts
 
 BUCKET_BITS = 17
 BUCKETS = 1 << BUCKET_BITS
@@ -181,5 +181,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPL
 
 def clean(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> DataFrame:
     """The rows of ``docs``, all columns, whose score is below 0.5."""
-    scored = score(docs, fit(docs, labels, sample), tuple(docs.columns))
-    return scored.where("score < 0.5").select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = neutral(docs, "text")
+    scored = score(docs.select(*renamed(docs, names)), fit(docs, labels, sample), tuple(names.values()))
+    return scored.where("score < 0.5").select(*restored(names))
