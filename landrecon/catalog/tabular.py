@@ -9,7 +9,8 @@ from landrecon.catalog import tables as t
 from landrecon.catalog.oracle import lens_sql, table_sql
 from landrecon.catalog.registry import query
 from landrecon.functions import geo, scalar
-from landrecon.operators import (changes, conflicts, contracts, mapping, match, search, skew, stats, topology, unify)
+from landrecon.operators import (
+    changes, conflicts, contracts, mapping, match, search, search_index, skew, stats, topology, unify, versions)
 from landrecon.operators.rounds import Rounds
 from landrecon.settings import Settings
 from landrecon.sources import readers, sinks
@@ -37,6 +38,17 @@ def search_parcels_restricted(spark, sf_dir):
         sort_dir="asc", limit=2000, role="viewer").select("id", "parcel_id", "owner_name", "confidence_score")
 
 
+@query("search_parcels_indexed", table_sql(f"""
+SELECT {_P_SQL} FROM parcels WHERE (parcel_id ILIKE '%p-12%' OR owner_name ILIKE '%p-12%' OR parcel_id ILIKE '%00012%' OR owner_name ILIKE '%00012%')
+  AND confidence_score >= 20 ORDER BY confidence_score DESC, id LIMIT 2000"""))
+def search_parcels_indexed(spark, sf_dir):
+    """Two terms, looked up in the trigrams of all parcels."""
+    folder = Rounds(spark).path()
+    search_index.write_index(t.parcels(spark, sf_dir), folder)
+    one, two = (search_index.search_parcels(spark, folder, term=w, min_confidence=20, limit=2000) for w in ("p-12", "00012"))
+    return search.top_parcels(one.unionByName(two).dropDuplicates(["id"]), limit=2000).select(_P_OUT)
+
+
 @query("top_parcels", table_sql("SELECT id, area FROM parcels ORDER BY area DESC NULLS LAST, id LIMIT 2000"))
 def top_parcels(spark, sf_dir):
     return search.top_parcels(t.parcels(spark, sf_dir), "area", "desc", 2000).select("id", "area")
@@ -166,16 +178,17 @@ def read_csv_points(spark, sf_dir):
         F.col("event_id").cast("string").alias("event_id"), "event_type",
         F.when(F.col("event_type") == "view", "unknown").otherwise(F.col("value").cast("string")).alias("latitude"),
         (F.col("value") * 2 - 100).cast("string").alias("longitude"))
-    p = F.col("properties")
-    return readers.csv_points(e).select(p["event_id"].alias("event_id"), p["event_type"].alias("event_type"),
-                                        F.col("y").alias("lat"), F.col("x").alias("lon"))
+    folder, p = Rounds(spark).path(), F.col("properties")
+    e.write.option("header", True).csv(folder)
+    return readers.read_csv_points(spark, folder, "DS-gnss", "gnss").select(
+        p["event_id"].alias("event_id"), p["event_type"].alias("event_type"), F.col("centroid_lat").alias("lat"), F.col("centroid_lon").alias("lon"))
 
 
 @query("read_kml", lens_sql("""
 SELECT feature_id AS name, id_key AS code, kind, round(xmin, 8) AS xmin, round(ymax, 8) AS ymax FROM lens
 WHERE source_type IN ('cadastral', 'utility')"""))
 def read_kml(spark, sf_dir):
-    """Placemarks written from the layers and parsed by the KML reader."""
+    """Placemarks of the layers, written to files and read by the KML reader."""
     f = lens.features(spark, sf_dir, ("cadastral", "utility"), mapped=False)
     tokens = F.array_join(F.transform(geo.points(F.col("geom")), lambda p: F.concat(p["x"], F.lit(","), p["y"], F.lit(",0"))), " ")
     area = F.concat(F.lit("<Polygon><outerBoundaryIs><LinearRing><coordinates>"), tokens,
@@ -185,10 +198,11 @@ def read_kml(spark, sf_dir):
                                F.lit("</value></Data></ExtendedData>")), F.lit(""))
     xml = F.concat(F.lit("<Placemark><name>"), "feature_id", F.lit("</name>"), code,
                    F.when(F.col("kind") == "Polygon", area).otherwise(line), F.lit("</Placemark>"))
-    marks = f.select(F.from_xml(xml, readers.KML_SCHEMA).alias("m")).select("m.*")
-    out = readers.kml_features(marks).withColumn("b", geo.bbox(F.col("geom")))
-    return out.select(F.col("properties")["name"].alias("name"), F.col("properties")["code"].alias("code"),
-                      F.col("geom.kind").alias("kind"), F.round("b.xmin", 8).alias("xmin"), F.round("b.ymax", 8).alias("ymax"))
+    folder = Rounds(spark).path()
+    sinks.write_wrapped(f.select(xml.alias("value")), folder, '<kml xmlns="http://www.opengis.net/kml/2.2"><Document>', "", "</Document></kml>")
+    out = readers.read_kml(spark, folder, "DS", "cadastral")
+    return out.select(F.col("properties")["name"].alias("name"), F.col("properties")["code"].alias("code"), "kind",
+                      F.round("xmin", 8).alias("xmin"), F.round("ymax", 8).alias("ymax"))
 
 
 @query("raster_footprint", """
@@ -256,8 +270,10 @@ def extract_document_fields(spark, sf_dir):
 SELECT id, NOT shaped AS no_geometry, parcel_id, CAST(building_count AS INT) AS building_count, confidence_score,
   strftime(last_updated, '%Y-%m-%dT%H:%M:%S') AS last_updated FROM parcels"""))
 def write_geojson(spark, sf_dir):
-    """The written lines, parsed again."""
-    lines = sinks.geojson_lines(t.parcels(spark, sf_dir)).select(F.from_json(
+    """The written files, parsed again."""
+    folder = Rounds(spark).path()
+    sinks.write_geojson(t.parcels(spark, sf_dir), folder)
+    lines = spark.read.text(folder).select(F.from_json(
         "value", "geometry string, properties struct<id:string,parcel_id:string,building_count:int,"
                  "confidence_score:double,last_updated:string>").alias("f"))
     return lines.select("f.properties.id", F.col("f.geometry").isNull().alias("no_geometry"), "f.properties.parcel_id",
@@ -269,7 +285,10 @@ SELECT id, parcel_id, survey_number, owner_name, area, land_use, building_count,
   ground_truth_verified, source_count, confidence_score, validation_status, conflict_status,
   strftime(last_updated, '%Y-%m-%dT%H:%M:%S') AS last_updated FROM parcels"""))
 def write_csv(spark, sf_dir):
-    return sinks.csv_rows(t.parcels(spark, sf_dir))
+    """The written files, read again with the types of the rows."""
+    folder, parcels = Rounds(spark).path(), t.parcels(spark, sf_dir)
+    sinks.write_csv(parcels, folder)
+    return spark.read.schema(sinks.csv_rows(parcels).schema).csv(folder, header=True)
 
 
 @query("save_snapshot", table_sql("""
@@ -292,13 +311,16 @@ UNION ALL SELECT 'matches', count(*) FROM matches UNION ALL SELECT 'conflicts',
 UNION ALL SELECT 'changes', count(*) FROM changes UNION ALL SELECT 'mappings', count(*) FROM mappings
 UNION ALL SELECT 'topology', count(*) FROM validation UNION ALL SELECT 'datasets', count(*) FROM datasets"""))
 def export_report_bundle(spark, sf_dir):
-    sections = search.report_sections(
+    """A bundle written to files, each section counted from them."""
+    folder = Rounds(spark).path()
+    tables = dict(
         unified_records=t.parcels(spark, sf_dir), matches=t.matches(spark, sf_dir), conflicts=t.conflicts(spark, sf_dir),
         changes=t.change_events(spark, sf_dir), mappings=t.mappings(spark, sf_dir), topology=t.validation(spark, sf_dir),
         datasets=t.declared_datasets(spark, sf_dir))
+    sinks.export_report_bundle(folder, **tables)
     out = None
-    for name, df in sections.items():
-        one = df.agg(F.count(F.lit(1)).alias("records")).select(F.lit(name).alias("section"), "records")
+    for name in tables:
+        one = spark.read.text(f"{folder}/{name}").agg(F.count(F.lit(1)).alias("records")).select(F.lit(name).alias("section"), "records")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -337,13 +359,24 @@ def resolve_conflict(spark, sf_dir):
 SELECT 'reviewer' AS actor, 'conflict.status_changed' AS action, id AS resource_id, d.decided_at AS created_at
 FROM conflicts JOIN decided d USING (id)""", _DECIDED))
 def append_audit(spark, sf_dir):
+    """Appended to the audit table and read from it."""
     _, audit = conflicts.resolve_conflict(t.conflicts(spark, sf_dir), _decisions(spark, sf_dir))
-    return audit.select("actor", "action", "resource_id", "created_at")
+    folder = Rounds(spark).path()
+    sinks.append_audit(audit, folder)
+    return spark.read.schema(sinks.AUDIT_SCHEMA).parquet(folder).select("actor", "action", "resource_id", "created_at")
 
 
 @query("audit_log", table_sql("SELECT id, started_at AS created_at FROM jobs ORDER BY started_at DESC, id LIMIT 500"))
 def audit_log(spark, sf_dir):
-    return search.audit_log(t.jobs(spark, sf_dir).withColumnRenamed("started_at", "created_at"), 9999).select("id", "created_at")
+    """The jobs as entries, appended in two goes, and the newest of them."""
+    none = F.lit(None).cast("string")
+    rows = t.jobs(spark, sf_dir).select(F.lit("system").alias("actor"), F.lit("job.started").alias("action"), F.lit("job").alias("resource_type"),
+                                        F.col("id").alias("resource_id"), none.alias("before_state"), F.col("status").alias("after_state"),
+                                        F.col("started_at").cast("timestamp").alias("created_at"))
+    folder = Rounds(spark).path()
+    for part in (0, 1):
+        sinks.append_audit(rows.where(F.pmod(F.xxhash64("resource_id"), F.lit(2)) == part), folder)
+    return sinks.audit_log(spark, folder, 9999).select(F.col("resource_id").alias("id"), "created_at")
 
 
 @query("delete_dataset", lens_sql("""
@@ -482,6 +515,24 @@ def source_version_changes(spark, sf_dir):
     return changes.source_version_changes(both, old.unionByName(new)).drop("before", "after")
 
 
+def _stored_versions(spark, sf_dir):
+    folder = Rounds(spark).path()
+    for name, df in (("one", _version_one(spark, sf_dir)), ("two", _version_two(spark, sf_dir))):
+        versions.save_version(df, f"{folder}/{name}")
+    return f"{folder}/one", f"{folder}/two"
+
+
+@query("stored_version_changes", lens_sql("SELECT key, feature_ref, change_type, 100e0 AS confidence FROM events2", _VERSIONS))
+def stored_version_changes(spark, sf_dir):
+    """Both versions stored with their digest trees; only leaves that differ are joined."""
+    return versions.stored_changes(spark, *_stored_versions(spark, sf_dir)).drop("before", "after")
+
+
+@query("stored_version_keys", lens_sql("SELECT key, CASE WHEN nation = 5 THEN 'removed' ELSE 'common' END AS state FROM v1", _VERSIONS))
+def stored_version_keys(spark, sf_dir):
+    return versions.stored_keys(spark, *_stored_versions(spark, sf_dir))
+
+
 @query("baseline_follow_up_changes", lens_sql("""
 SELECT 'demo-change-' || substr(sha256(change_type || ':' || key), 1, 20) AS id, key, feature_ref, change_type FROM events2""", _VERSIONS))
 def baseline_follow_up_changes(spark, sf_dir):

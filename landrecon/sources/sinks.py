@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -47,17 +49,22 @@ def write_features(features: DataFrame, path: str) -> None:
 
 
 def _write_collections(lines: DataFrame, path: str) -> None:
+    write_wrapped(lines, path, '{"type":"FeatureCollection","features":[', ",", "]}")
+
+
+def write_wrapped(lines: DataFrame, path: str, head: str, between: str, tail: str) -> None:
+    """Texts (one column) as files that each start with ``head`` and end with ``tail``, built where the rows are."""
     def wrap(batches):
         import pyarrow as pa
 
-        yield pa.RecordBatch.from_pydict({"value": ['{"type":"FeatureCollection","features":[']})
+        yield pa.RecordBatch.from_pydict({"value": [head]})
         first = True
         for batch in batches:
             rows = batch.column(0).to_pylist()
             if rows:
-                yield pa.RecordBatch.from_pydict({"value": [("" if first and i == 0 else ",") + r for i, r in enumerate(rows)]})
+                yield pa.RecordBatch.from_pydict({"value": [("" if first and i == 0 else between) + r for i, r in enumerate(rows)]})
                 first = False
-        yield pa.RecordBatch.from_pydict({"value": ["]}"]})
+        yield pa.RecordBatch.from_pydict({"value": [tail]})
 
     lines.mapInArrow(wrap, "value string").write.mode("overwrite").text(path)
 
@@ -71,20 +78,55 @@ def write_csv(parcels: DataFrame, path: str) -> None:
 
 
 def save_snapshot(parcels: DataFrame, path: str, run_id: str) -> None:
-    """Write the run's snapshot to its own folder, then name it as the current one."""
+    """Write the run's snapshot to its own folder, then commit it by a new numbered manifest that names it.
+
+    A manifest is created only if its number is free, so of two writers one takes the next number; none is ever overwritten.
+    """
     changes.snapshot(parcels).write.mode("overwrite").parquet(f"{path}/{run_id}")
-    spark = parcels.sparkSession
-    spark.range(1).select(F.lit(run_id).alias("run_id")).coalesce(1).write.mode("overwrite").json(f"{path}/_current")
+    commit_snapshot(parcels.sparkSession, path, run_id)
+
+
+def commit_snapshot(spark: SparkSession, path: str, run_id: str) -> None:
+    java = spark._jvm
+    number = max(_manifests(spark, path), default=0)
+    while True:
+        number += 1
+        place = java.org.apache.hadoop.fs.Path(f"{path}/_versions/{number:012d}.json")
+        files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        if files.exists(place):
+            continue
+        try:
+            out = files.create(place, False)
+        except Exception as error:  # another writer has the number
+            if "FileAlreadyExists" not in str(error):
+                raise
+            continue
+        out.write(bytearray(json.dumps({"run_id": run_id}).encode()))
+        out.close()
+        return
+
+
+def _manifests(spark: SparkSession, path: str) -> list[int]:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_versions")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
+    return [int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()]
 
 
 def load_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """The current snapshot, or an empty one when there is none."""
-    empty = spark.createDataFrame([], StructType.fromDDL(SNAPSHOT_SCHEMA))
-    pointer = f"{path}/_current"
-    if not _exists(spark, pointer):
-        return empty
-    run = spark.read.json(pointer).first()
-    return empty if run is None else spark.read.schema(SNAPSHOT_SCHEMA).parquet(f"{path}/{run.run_id}")
+    """The last whole snapshot, or an empty one when there is none.
+
+    A manifest that was cut off, or whose rows are not whole, is passed over for the one before it.
+    """
+    for number in sorted(_manifests(spark, path), reverse=True):
+        text = spark.read.text(f"{path}/_versions/{number:012d}.json", wholetext=True).first()
+        try:
+            run_id = json.loads(text.value)["run_id"] if text else None
+        except (ValueError, KeyError):
+            run_id = None
+        if run_id is not None and _exists(spark, f"{path}/{run_id}/_SUCCESS"):
+            return spark.read.schema(SNAPSHOT_SCHEMA).parquet(f"{path}/{run_id}")
+    return spark.createDataFrame([], StructType.fromDDL(SNAPSHOT_SCHEMA))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
