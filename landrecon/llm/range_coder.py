@@ -1,20 +1,21 @@
 """Adaptive context-mixing range coder for token ids, many blocks side by side.
 
-A block of at most ``BLOCK`` ids is coded on its own from an empty model, so any block can be read
-alone. Blocks are the lanes of numpy arrays: one step codes one id of every block, and each lane
-has tables of its own.
+A block of at most ``BLOCK`` ids is coded on its own from a model that is empty but for a prior, so any block can be read
+alone. The prior holds the quantised counts of the ids of the block's segment and is stored once for it. Blocks are the lanes
+of numpy arrays: one step codes one id of every block, and each lane has tables of its own.
 
 The model predicts an id in three ways. Order 2 (the two ids before it) and order 1 (the id before
 it) each name the id last seen in that context, with a count of how often it was right in a row.
-Order 0 names the ids seen in the block by a table of ``SLOTS`` places. The pair of counts picks an
-adaptive distribution over "order 2 is right, order 1 is right, order 0 has it, none": that is how
+Order 0 is the prior. The pair of counts picks an
+adaptive distribution over "order 2 is right, order 1 is right, order 0 tells": that is how
 the orders are weighed against each other. The interval of a prediction is its share of the range;
-that of order 0 is split evenly among the places and the last one among all ids. Then a 64-bit range
-coder without carry writes 32-bit words.
+that of order 0 is split in proportion to the counts. Then a 64-bit range coder without carry writes 32-bit words.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 
 BLOCK = 1024
@@ -32,19 +33,83 @@ _LOW32 = np.uint64(0xFFFFFFFF)
 _U = np.uint64
 
 
+class Prior:
+    """Counts of the ids of a segment, quantised to a sum of 2**ID_BITS; every id that occurs has at least one."""
+
+    def __init__(self, ids: np.ndarray, share: np.ndarray):
+        self.ids, self.share = np.asarray(ids, np.int64), np.asarray(share, np.int64)
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> "Prior":
+        held, counts = np.unique(np.asarray(ids, np.int64), return_counts=True)
+        if len(held) and int(held[-1]) >= 1 << ID_BITS:
+            raise ValueError("an id needs more than 17 bits")
+        share = counts * ((1 << ID_BITS) - len(held)) // max(1, int(counts.sum())) + 1
+        if len(held):
+            share[share.argmax()] += (1 << ID_BITS) - int(share.sum())
+        return cls(held, share)
+
+    @classmethod
+    def even(cls) -> "Prior":
+        """All ids alike, for blocks without a segment."""
+        return cls(np.arange(1 << ID_BITS), np.ones(1 << ID_BITS, np.int64))
+
+    def pack(self) -> bytes:
+        steps = np.diff(self.ids, prepend=-1) - 1
+        low = np.concatenate([steps & 255, self.share & 255]).astype(np.uint8)
+        high = np.concatenate([steps >> 8, self.share >> 8]).astype("<u4")
+        return zlib.compress(low.tobytes() + high.tobytes(), 6)
+
+    @classmethod
+    def unpack(cls, packed: bytes) -> "Prior":
+        raw = zlib.decompress(packed)
+        n = len(raw) // 10
+        low, high = np.frombuffer(raw, np.uint8, 2 * n), np.frombuffer(raw, "<u4", 2 * n, 2 * n)
+        both = low.astype(np.int64) | high.astype(np.int64) << 8
+        return cls(np.cumsum(both[:n] + 1) - 1, both[n:])
+
+
+class _Priors:
+    """Several priors side by side. An entry is the place of an id in one of them."""
+
+    def __init__(self, priors: list[Prior]):
+        sizes = np.array([len(p.ids) for p in priors], np.int64)
+        self.first = np.cumsum(sizes) - sizes
+        self.ids = np.concatenate([p.ids for p in priors])
+        #: The last entry is the whole range.
+        self.whole = int(sizes.sum())
+        self.share = np.concatenate([*(p.share for p in priors), [1 << ID_BITS]])
+        self.start = np.concatenate([*(np.cumsum(p.share) - p.share for p in priors), [0]])
+        self.priors = priors
+
+    def entries(self, ids: np.ndarray, lengths: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """The entry of every id; block k, of the given length, has the prior ``of[k]``."""
+        out, ends = np.empty(len(ids), np.int32), np.cumsum(lengths)
+        runs = np.flatnonzero(np.diff(of, prepend=-1)).tolist()
+        for a, b in zip(runs, [*runs[1:], len(of)]):
+            own, mine = self.priors[of[a]].ids, slice(int(ends[a] - lengths[a]), int(ends[b - 1]))
+            place = np.zeros(int(own[-1]) + 1, np.int32)
+            place[own] = np.arange(self.first[of[a]], self.first[of[a]] + len(own))
+            out[mine] = place.take(ids[mine])
+        return out
+
+    def table(self) -> np.ndarray:
+        """The entry at every place of the range of every prior."""
+        return np.concatenate([np.repeat(np.arange(f, f + len(p.ids), dtype=np.int32), p.share) for f, p in zip(self.first.tolist(), self.priors)])
+
+
 class _Model:
-    """Tables of all lanes, flat. Those of orders 0 and 1 share their places: a place is the hash of an id."""
+    """Tables of all lanes, flat. A place is the hash of the id before, or of the two before."""
 
     def __init__(self, lanes: int):
         self.order2 = np.zeros(lanes * SLOTS, np.int32)  # id * 4 + count
         self.order1 = np.zeros(lanes * SLOTS, np.int32)
-        self.order0 = np.full(lanes * SLOTS, -1, np.int32)
         whole = 1 << SHARE_BITS
-        #: Four cuts of 16 bits, the last one the whole, in one number, so that a row moves at once.
-        self.cuts = _rows(np.tile(np.array([whole * 2 // 10, whole * 4 // 10, whole * 7 // 10, whole], np.int16), (lanes * 16, 1)))
+        #: Cuts of 16 bits, the last ones the whole, in one number, so that a row moves at once.
+        self.cuts = _rows(np.tile(np.array([whole * 2 // 10, whole * 4 // 10, whole, whole], np.int16), (lanes * 16, 1)))
         #: Where the cuts move after each outcome.
-        self.goal = _rows(np.array([[*(whole - (3 - j) * _LEAST if j >= k else (j + 1) * _LEAST for j in range(3)), whole]
-                                    for k in range(4)], np.int16))
+        self.goal = _rows(np.array([[*(whole - (2 - j) * _LEAST if j >= k else (j + 1) * _LEAST for j in range(2)), whole, whole]
+                                    for k in range(3)], np.int16))
         self.lane16 = np.arange(lanes, dtype=np.int64) * 16
         self.at = np.arange(lanes, dtype=np.int64) * SLOTS
         self.near1 = np.zeros(lanes, np.int64)
@@ -61,12 +126,11 @@ class _Model:
         self.cut = self.cuts.take(self.row).view(np.int16)
 
     def learn(self, ids: np.ndarray, kind: np.ndarray, near: np.ndarray) -> None:
-        """``ids`` in 32 bits, and what ``look`` found for them."""
+        """``ids`` in 32 bits, and what was coded for them."""
         n, fresh = len(ids), ids << 2
         self.cuts[self.row] = (self.cut + ((self.goal.take(kind).view(np.int16) - self.cut) >> _RATE)).view(np.int64)
-        self.order2[self.i2] = fresh + (self.guess2 == ids) * np.minimum(self.sure2 + 1, 3)
-        self.order1[self.i1] = fresh + (self.guess1 == ids) * np.minimum(self.sure1 + 1, 3)
-        self.order0[self.at[:n] + near] = ids
+        self.order2[self.i2] = np.where(kind == 0, np.minimum(self.v2 + 1, fresh | 3), fresh)
+        self.order1[self.i1] = np.where(self.guess1 == ids, np.minimum(self.v1 + 1, fresh | 3), fresh)
         self.near2[:n] = self.near1[:n]
         self.near1[:n] = near
 
@@ -75,7 +139,6 @@ def _rows(cuts: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(cuts).view(np.int64).ravel()
 
 
-_WIDEN = np.array([ID_BITS, ID_BITS, ID_BITS - SLOT_BITS, 0], np.int64)
 _STARTS = np.arange(1 << 16, dtype=np.int64) * 4
 _BELOW = (1 << SHARE_BITS) - 1
 
@@ -84,13 +147,15 @@ def _slot_of(ids: np.ndarray) -> np.ndarray:
     return (ids * 40503 >> 4) & (SLOTS - 1)
 
 
-def _interval(model: _Model, kind: np.ndarray, near: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and width, out of 2**TOTAL_BITS."""
+def _interval(model: _Model, kind: np.ndarray, priors: _Priors, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and width, out of 2**TOTAL_BITS. ``entry`` counts only where order 0 tells; elsewhere the whole share is taken."""
     at = _STARTS[: len(kind)] + kind
     start = (model.cut.take(at - 1) & _BELOW).astype(np.int64)  # the cut before the first is the whole: 0 in these bits
-    width = (model.cut.take(at) - start) << _WIDEN.take(kind)
+    width = model.cut.take(at) - start
+    told = np.where(kind == 2, entry, priors.whole)
     start <<= ID_BITS
-    start += ((kind == 3) * ids + (kind == 2) * near) * width
+    start += priors.start.take(told) * width
+    width *= priors.share.take(told)
     return start.view(_U), width.view(_U)
 
 
@@ -104,12 +169,10 @@ def _shrink(low: np.ndarray, span: np.ndarray) -> np.ndarray:
     return lanes
 
 
-def _encode(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
+def _encode(ids: np.ndarray, lengths: np.ndarray, priors: _Priors, of: np.ndarray) -> list[bytes]:
     """The blocks of ``ids``, which lie one after another, as bytes each."""
     if len(lengths) == 0:
         return []
-    if len(ids) and int(ids.max()) >= 1 << ID_BITS:
-        raise ValueError("an id needs more than 17 bits")
     order = np.argsort(-lengths, kind="stable")
     size = lengths[order]
     starts = (np.cumsum(lengths) - lengths)[order]
@@ -118,16 +181,16 @@ def _encode(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
     low, span = np.zeros(lanes, _U), np.full(lanes, 2**64 - 1, _U)
     out = np.zeros((lanes, most + 3), np.uint32)
     used = np.zeros(lanes, np.int64)
-    source = np.asarray(ids, np.int64)
+    source = np.asarray(ids, np.int32)
+    entries = priors.entries(source, lengths, of)
     active = np.searchsorted(-size, -np.arange(1, most + 1), side="right")
     for step, n in enumerate(active.tolist()):
-        x = source.take(starts[:n] + step)
-        short = x.astype(np.int32)
+        at = starts[:n] + step
+        short, entry = source.take(at), entries.take(at)
         model.look(n)
-        near = _slot_of(x)
-        kind = (model.order0.take(model.at[:n] + near) != short).view(np.int8) + np.int8(1)
-        kind = ((kind * (model.guess1 != short) + np.int8(1)) * (model.guess2 != short)).astype(np.int64)
-        start, width = _interval(model, kind, near, x)
+        near = _slot_of(short.astype(np.int64))
+        kind = (((model.guess1 != short).view(np.int8) + np.int8(1)) * (model.guess2 != short)).astype(np.int64)
+        start, width = _interval(model, kind, priors, entry)
         unit = span[:n] >> _U(TOTAL_BITS)
         low[:n] += unit * start
         span[:n] = unit * width
@@ -149,7 +212,7 @@ def _encode(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
     return made
 
 
-def _decode(blocks: list[bytes], lengths: np.ndarray) -> np.ndarray:
+def _decode(blocks: list[bytes], lengths: np.ndarray, priors: _Priors, of: np.ndarray, table: np.ndarray) -> np.ndarray:
     """The ids of blocks of the given lengths, one after another."""
     if len(lengths) == 0:
         return np.zeros(0, np.int64)
@@ -166,6 +229,7 @@ def _decode(blocks: list[bytes], lengths: np.ndarray) -> np.ndarray:
     code = (data[:, 0].astype(_U) << _U(32)) | data[:, 1]
     used = np.full(lanes, 2, np.int64)
     result = np.zeros(int(lengths.sum()), np.int64)
+    base = of[order].astype(np.int64) << ID_BITS
     active = np.searchsorted(-size, -np.arange(1, most + 1), side="right")
     for step, n in enumerate(active.tolist()):
         model.look(n)
@@ -173,19 +237,16 @@ def _decode(blocks: list[bytes], lengths: np.ndarray) -> np.ndarray:
         value = ((code[:n] - low[:n]) // unit).astype(np.int64)
         share = (value >> ID_BITS).astype(np.int16)
         cut = model.cut.reshape(n, 4)
-        kind = (share >= cut[:, 0]).view(np.int8) + (share >= cut[:, 1]) + (share >= cut[:, 2])
-        kind = kind.astype(np.int64)
+        kind = ((share >= cut[:, 0]).view(np.int8) + (share >= cut[:, 1])).astype(np.int64)
         x = np.where(kind == 0, model.guess2, model.guess1).astype(np.int64)
-        other = np.flatnonzero(kind > 1)
+        other, entry = np.flatnonzero(kind == 2), np.zeros(n, np.int64)
         if len(other):
-            k = kind[other]
-            at = _STARTS.take(other) + k
-            edge = (model.cut.take(at - 1) & _BELOW).astype(np.int64)
-            inside = (value[other] - (edge << ID_BITS)) // ((model.cut.take(at) - edge) << _WIDEN.take(k))
-            old = model.order0.take(model.at.take(other) + (inside & (SLOTS - 1)))
-            x[other] = np.where(k == 2, old, inside)
+            edge = cut[:, 1].take(other).astype(np.int64)
+            told = table.take(base.take(other) + (value.take(other) - (edge << ID_BITS)) // ((1 << SHARE_BITS) - edge))
+            entry[other] = told
+            x[other] = priors.ids.take(told)
         near = _slot_of(x)
-        start, span_of = _interval(model, kind, near, x)
+        start, span_of = _interval(model, kind, priors, entry)
         low[:n] += unit * start
         span[:n] = unit * span_of
         lanes_in = _shrink(low[:n], span[:n])
@@ -200,14 +261,19 @@ def _decode(blocks: list[bytes], lengths: np.ndarray) -> np.ndarray:
     return result
 
 
-def encode(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
-    """The blocks of ``ids``, which lie one after another, as bytes each."""
+def encode(ids: np.ndarray, lengths: np.ndarray, priors: list[Prior] | None = None, of: np.ndarray | None = None) -> list[bytes]:
+    """The blocks of ``ids``, which lie one after another, as bytes each; block k has the prior ``of[k]``."""
+    if len(ids) and int(ids.max()) >= 1 << ID_BITS:
+        raise ValueError("an id needs more than 17 bits")
     ends = np.concatenate([[0], np.cumsum(lengths)])
+    held, of = _Priors(priors or [Prior.even()]), np.zeros(len(lengths), np.int64) if of is None else of
     return [b for k in range(0, len(lengths), LANES)
-            for b in _encode(ids[ends[k] : ends[min(k + LANES, len(lengths))]], lengths[k : k + LANES])]
+            for b in _encode(ids[ends[k] : ends[min(k + LANES, len(lengths))]], lengths[k : k + LANES], held, of[k : k + LANES])]
 
 
-def decode(blocks: list[bytes], lengths: np.ndarray) -> np.ndarray:
+def decode(blocks: list[bytes], lengths: np.ndarray, priors: list[Prior] | None = None, of: np.ndarray | None = None) -> np.ndarray:
     """The ids of blocks of the given lengths, one after another."""
-    return np.concatenate([np.zeros(0, np.int64), *(_decode(blocks[k : k + LANES], lengths[k : k + LANES])
+    held, of = _Priors(priors or [Prior.even()]), np.zeros(len(lengths), np.int64) if of is None else of
+    table = held.table()
+    return np.concatenate([np.zeros(0, np.int64), *(_decode(blocks[k : k + LANES], lengths[k : k + LANES], held, of[k : k + LANES], table)
                                                     for k in range(0, len(lengths), LANES))])

@@ -1,8 +1,8 @@
 """Token-id files: ids of whole documents in ascending doc_id order, coded by ``range_coder``.
 
 A file is a Parquet part of rows called segments. A segment holds whole consecutive documents, its
-ids in blocks of ``range_coder.BLOCK`` (the last one shorter), and for each block its bytes and
-their CRC-32. A block starts from an empty model and a segment needs no other row, so readers may
+ids in blocks of ``range_coder.BLOCK`` (the last one shorter), the prior of its blocks, and for each block its bytes and
+their CRC-32. A block starts from the prior alone and a segment needs no other row, so readers may
 split files as they like. Part k holds the k-th range of doc_ids.
 """
 
@@ -23,9 +23,9 @@ from landrecon.llm.bpe import Pieces, plain_parts
 from landrecon.llm.frames import arrow_map, arrow_schema, bounds, bucket_of, order_key, plain, shuffle_parts, slices
 from landrecon.llm.piece_table import PieceTable
 
-SEGMENT = 16 * range_coder.BLOCK
+SEGMENT = 1024 * range_coder.BLOCK
 SCHEMA = ("shard int, segment int, first long, doc_ids array<long>, counts array<int>, block_bytes array<int>, "
-          "block_crc32 array<long>, payload binary")
+          "block_crc32 array<long>, prior binary, payload binary")
 
 
 class LibraryEncoder:
@@ -149,14 +149,15 @@ def _block_lengths(n: int) -> list[int]:
 def _coded(segments: list, schema: pa.Schema) -> pa.RecordBatch:
     """Rows of the waiting segments, all their blocks coded side by side."""
     lengths = [_block_lengths(len(s[2])) for s in segments]
-    blocks = iter(range_coder.encode(np.concatenate([s[2] for s in segments]),
-                                     np.array([n for own in lengths for n in own], np.int64)))
+    priors = [range_coder.Prior.of(s[2]) for s in segments]
+    blocks = iter(range_coder.encode(np.concatenate([s[2] for s in segments]), np.array([n for own in lengths for n in own], np.int64),
+                                     priors, np.repeat(np.arange(len(segments)), [len(own) for own in lengths])))
     rows: dict[str, list] = {f.name: [] for f in schema}
-    for (ids, counts, _, segment, first, shard), own in zip(segments, lengths):
+    for (ids, counts, _, segment, first, shard), own, prior in zip(segments, lengths, priors):
         coded = [next(blocks) for _ in own]
         for name, value in (("shard", shard), ("segment", segment), ("first", first), ("doc_ids", ids), ("counts", counts),
                             ("block_bytes", [len(b) for b in coded]), ("block_crc32", [zlib.crc32(b) for b in coded]),
-                            ("payload", b"".join(coded))):
+                            ("prior", prior.pack()), ("payload", b"".join(coded))):
             rows[name].append(value)
     return pa.RecordBatch.from_arrays([pa.array(rows[f.name], type=f.type) for f in schema], schema=schema)
 
@@ -164,8 +165,9 @@ def _coded(segments: list, schema: pa.Schema) -> pa.RecordBatch:
 def _documents(batch: pa.RecordBatch) -> Iterator[tuple[int | None, int, int, np.ndarray]]:
     """doc_id, shard, start in the shard and ids of each document of some segments."""
     segments = batch.to_pylist()
-    blocks, lengths = [], []
-    for s in segments:
+    blocks, lengths, of = [], [], []
+    priors = [range_coder.Prior.unpack(s["prior"]) for s in segments]
+    for k, s in enumerate(segments):
         at = 0
         for size, crc in zip(s["block_bytes"], s["block_crc32"]):
             block = s["payload"][at : at + size]
@@ -173,8 +175,9 @@ def _documents(batch: pa.RecordBatch) -> Iterator[tuple[int | None, int, int, np
                 raise ValueError(f"shard {s['shard']}, segment {s['segment']}: a block does not match its checksum")
             blocks.append(block)
             at += size
+            of.append(k)
         lengths += _block_lengths(sum(s["counts"]))
-    ids, at = range_coder.decode(blocks, np.array(lengths, np.int64)).astype("<u4"), 0
+    ids, at = range_coder.decode(blocks, np.array(lengths, np.int64), priors, np.array(of, np.int64)).astype("<u4"), 0
     for s in segments:
         start = s["first"]
         for doc, n in zip(s["doc_ids"], s["counts"]):
