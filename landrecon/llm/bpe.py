@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from landrecon.llm.frames import arrow_map, plain, texts
 
 #: Pieces remembered by a worker, about 200 bytes each.
-KEPT_PIECES = 700_000
+KEPT_PIECES = 300_000
 #: Latin letters, then marks: two pre-tokens, which need not be searched for.
 _PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]*)")
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
