@@ -281,10 +281,13 @@ def exclusive_matching(features: DataFrame, datasets: DataFrame, cfg: Settings =
     """``(groups, matches)``.
 
     Cadastral features anchor groups first; then every parcel that is still unused does, so no
-    record is lost for want of a survey. A group exists even if its anchor has no match.
+    record is lost for want of a survey. A group exists even if its anchor has no match. An ``encoder``
+    sees every distinct compared text once.
     """
     rounds = rounds or Rounds(features.sparkSession)
     ranked = rounds.keep(with_rank(features, datasets))
+    if encoder is not None:
+        encoder = match.vectors(ranked, encoder, rounds)  # both phases read the same vectors
     first = ranked.withColumn("is_anchor", F.col("source_type") == "cadastral")
     sources = first.where("is_anchor").select("dataset_id").distinct().limit(2).count()
     one = _phase(first.where("is_anchor"), first, sources > 1, cfg, encoder, rounds)

@@ -14,6 +14,7 @@ from landrecon.settings import COMPARED_FIELDS, DEFAULTS, IDENTIFIER_FIELDS, Set
 
 KEYS = ["dataset_id", "kind", "xmin", "ymin", "xmax", "ymax", "centroid_lon", "centroid_lat", "area_sqm"]
 COMPARED = ["cmp_" + f for f in COMPARED_FIELDS]
+ENCODED_FIELDS = [f for f in COMPARED_FIELDS if f not in IDENTIFIER_FIELDS]
 SCORES = ["spatial_proximity", "geometry_overlap", "area_similarity", "attribute_similarity",
           "overall_confidence"]
 
@@ -95,7 +96,8 @@ def score_pairs(pairs: DataFrame, cfg: Settings = DEFAULTS, encoder=None, keep_a
     """Four sub-scores and the weighted total, in percent with one decimal.
 
     Pairs that cannot reach the minimum are dropped before the costly scores: the total without
-    overlap and text bounds it from above. ``encoder`` maps a text column to a vector column.
+    overlap and text bounds it from above. ``encoder`` maps a text column to a column of unit vectors (a
+    pair of them: for the anchor's and for the candidate's texts), or is a table that ``vectors`` made.
     """
     w = cfg
     cheap = once(pairs, _prox=scalar.spatial_proximity(F.col("distance_m"), cfg),
@@ -128,23 +130,33 @@ def _side(p: str, cfg: Settings) -> Column:
     return F.col(p + "geom")
 
 
+def vectors(features: DataFrame, encoder, rounds: Rounds) -> DataFrame:
+    """Written table of the vector of every distinct compared text; each is encoded once."""
+    return rounds.keep(text.vector_table(features, ["cmp_" + f for f in ENCODED_FIELDS], encoder))
+
+
 def _with_attributes(pairs: DataFrame, cfg: Settings, encoder) -> DataFrame:
-    scores, table = [], None
-    if cfg.text_ratio != "equality":
+    scores, table, alike = [], None, None
+    if cfg.text_ratio != "equality" or encoder is not None:
         # The pairs feed both the distinct texts and the look-ups, so they are written once.
         rounds = Rounds(pairs.sparkSession)
         pairs = rounds.keep(pairs)
+    if cfg.text_ratio != "equality":
         table = rounds.keep(text.ratio_table(pairs, [("a_cmp_" + f, "b_cmp_" + f) for f in COMPARED_FIELDS]))
+    if encoder is not None:
+        known = encoder if isinstance(encoder, DataFrame) else rounds.keep(text.vector_table(
+            pairs, [p + f for f in ENCODED_FIELDS for p in ("a_cmp_", "b_cmp_")], encoder))
+        alike = rounds.keep(text.alike_table(pairs, [("a_cmp_" + f, "b_cmp_" + f) for f in ENCODED_FIELDS], known))
     for f in COMPARED_FIELDS:
         a, b, out = "a_cmp_" + f, "b_cmp_" + f, "_sim_" + f
         if table is None:
             pairs = pairs.withColumn(out, (F.col(a) == F.col(b)).cast("double"))
         else:
             pairs = text.look_up(pairs, table, a, b, out)
-        if encoder is not None and f not in IDENTIFIER_FIELDS:
-            alike = scalar.embedding_similarity(encoder(F.col(a)), encoder(F.col(b)))
-            blended = cfg.fuzzy_weight * F.col(out) + cfg.embedding_weight * alike
-            pairs = pairs.withColumn(out, F.coalesce(blended, F.col(out)))
+        if alike is not None and f in ENCODED_FIELDS:
+            pairs = text.look_up_alike(pairs, alike, a, b, "_alike")
+            blended = cfg.fuzzy_weight * F.col(out) + cfg.embedding_weight * F.col("_alike")
+            pairs = pairs.withColumn(out, F.coalesce(blended, F.col(out))).drop("_alike")
         scores.append(F.col(out))
     out = pairs.withColumn("_attr", scalar.attribute_similarity(scores))
     return out.drop(*["_sim_" + f for f in COMPARED_FIELDS])
