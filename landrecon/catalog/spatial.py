@@ -226,6 +226,31 @@ def reproject(spark, sf_dir):
                         F.round(p["y"], 3).alias("northing"))
 
 
+@query("reproject_datum", lens_sql("""
+SELECT feature_id, 'transformed' AS status, round(2743195.5 + r * sin(t), 2) AS easting, round(914398.5 + r0 - r * cos(t), 2) AS northing
+FROM conic""", """
+own AS (SELECT 6377299.151e0 AS a, (2 - 1 / 300.8017255e0) / 300.8017255e0 AS e2, 6378137e0 AS wa,
+  (2 - 1 / 298.257223563e0) / 298.257223563e0 AS we2, sin(radians(19e0)) AS n),
+centred AS (SELECT feature_id, o.*, wa / sqrt(1 - we2 * pow(sin(radians(lat)), 2)) AS v, radians(lat) AS f, radians(lon) AS l
+  FROM lens, own o WHERE kind = 'Point'),
+moved AS (SELECT *, v * cos(f) * cos(l) - 295 AS x, v * cos(f) * sin(l) - 736 AS y, v * (1 - we2) * sin(f) - 257 AS z FROM centred),
+lat0 AS (SELECT *, sqrt(x * x + y * y) AS w, atan2(z, sqrt(x * x + y * y) * sqrt(1 - e2)) AS u FROM moved),
+lat1 AS (SELECT *, atan2(z + e2 / sqrt(1 - e2) * a * pow(sin(u), 3), w - e2 * a * pow(cos(u), 3)) AS g FROM lat0),
+lat2 AS (SELECT *, atan2(sqrt(1 - e2) * sin(g), cos(g)) AS u2 FROM lat1),
+geo AS (SELECT *, atan2(z + e2 / sqrt(1 - e2) * a * pow(sin(u2), 3), w - e2 * a * pow(cos(u2), 3)) AS p, atan2(y, x) AS q FROM lat2),
+widths AS (SELECT *, tan(pi() / 4 - p / 2) / pow((1 - sqrt(e2) * sin(p)) / (1 + sqrt(e2) * sin(p)), sqrt(e2) / 2) AS tp,
+  tan(pi() / 4 - radians(19e0) / 2) / pow((1 - sqrt(e2) * n) / (1 + sqrt(e2) * n), sqrt(e2) / 2) AS t0,
+  a * 0.99878641e0 * cos(radians(19e0)) / sqrt(1 - e2 * n * n) / n AS r0 FROM geo),
+conic AS (SELECT feature_id, r0, r0 * pow(tp / t0, n) AS r, n * (q - radians(80e0)) AS t FROM widths)"""))
+def reproject_datum(spark, sf_dir):
+    """Survey points in a conic zone on another ellipsoid and datum."""
+    f = lens.features(spark, sf_dir, ("gnss",), mapped=False)
+    moved = f.withColumn("m", geo.reproject(F.col("geom"), F.lit("EPSG:4326"), F.lit("EPSG:24381")))
+    p = geo.points(F.col("m.geom"))[0]
+    return moved.select("feature_id", F.col("m.status").alias("status"), F.round(p["x"], 2).alias("easting"),
+                        F.round(p["y"], 2).alias("northing"))
+
+
 @query("utm_epsg", """
 SELECT event_id, CAST(least(greatest(trunc((lon + 180) / 6) + 1, 1), 60) AS INT)
   + CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END AS epsg

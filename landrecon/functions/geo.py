@@ -12,6 +12,7 @@ from math import pi
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from landrecon.functions import systems
 from landrecon.functions.columns import let
 
 POINT = "struct<x:double,y:double>"
@@ -352,7 +353,7 @@ def epsg_code(crs: Column) -> Column:
     """Numeric code of a CRS text, null when it is not one we can project."""
     code = F.regexp_extract(F.upper(F.trim(crs)), r"^(?:EPSG:)?(\d{4,5})$", 1)
     code = F.try_to_number(F.nullif(code, F.lit("")), F.lit("99999")).cast("int")
-    return F.when(code.isin(4326, 3857) | is_utm(code), code)
+    return F.when(code.isin(4326, 3857, *systems.SYSTEMS) | is_utm(code), code)
 
 
 def _map_points(parts: Column, f) -> Column:
@@ -366,10 +367,11 @@ def reproject(geom: Column, src: Column, dst: Column) -> Column:
 
     def degrees(ps: Column) -> Column:
         return (F.when(s == 4326, ps).when(s == 3857, from_web_mercator(ps))
-                .otherwise(from_utm(ps, s)))
+                .when(s.isin(*systems.SYSTEMS), systems.to_wgs84(ps, s)).otherwise(from_utm(ps, s)))
 
     def target(ps: Column) -> Column:
-        return F.when(d == 4326, ps).when(d == 3857, to_web_mercator(ps)).otherwise(to_utm(ps, d))
+        return (F.when(d == 4326, ps).when(d == 3857, to_web_mercator(ps))
+                .when(d.isin(*systems.SYSTEMS), systems.from_wgs84(ps, d)).otherwise(to_utm(ps, d)))
 
     moved = F.struct(geom["kind"].alias("kind"),
                      _map_points(_map_points(geom["parts"], degrees), target).alias("parts"))
