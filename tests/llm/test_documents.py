@@ -182,7 +182,7 @@ def test_mined_rules(spark):
     found = {(r.tokens, r.verdict): r.confidence for r in url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"))}
     assert found == {(frozenset("b"), "block"): 1.0, (frozenset("c"), "allow"): 1.0}
     index = url_rules.index_of(url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string")))
-    assert url_rules.surest(frozenset("ab"), index).verdict == "block" and url_rules.surest(frozenset("z"), index) is None
+    assert url_rules.best(frozenset("ab"), index).verdict == "block" and url_rules.best(frozenset("z"), index) is None
 
 
 def test_toxicity(spark, docs):
