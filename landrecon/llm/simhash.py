@@ -1,4 +1,4 @@
-"""SimHash near-duplicates by multi-index hashing, and near-duplicates by verified MinHash bands (``similar``).
+"""SimHash near-duplicates by multi-index hashing, and near-duplicates by verified segment balls (``similar``).
 
 A fingerprint has 64 bits: a bit is set if it is set in over half of the hashes of the word shingles.
 Fingerprints link at ``radius`` or fewer differing bits. The two 32-bit halves are the segments. Of two
@@ -24,9 +24,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from landrecon.llm.components import components
-from landrecon.llm.frames import BROADCAST_ROWS, arrow_map, arrow_schema, few, located, neutral, plain, restored, texts
+from landrecon.llm.frames import BROADCAST_ROWS, arrow_map, arrow_schema, few, located, neutral, plain, restored, shuffle_parts, texts
 from landrecon.operators.rounds import Rounds
 
 #: Most members of a table entry that one task holds, times two.
@@ -108,13 +109,14 @@ def stars(fps: np.ndarray, labels: np.ndarray, radius: int) -> list[tuple[int, i
     return pairs
 
 
-def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
-    """Columns of sorted rows and the starts of their (key, part) groups; no group is torn between two batches."""
+def _groups(batches: Iterator[pa.RecordBatch], names: list[str], part: int = 1) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Columns of sorted rows and the starts of their groups, by the first column and number ``part``; no group is torn between
+    two batches."""
     kept: list[np.ndarray] | None = None
     for batch in batches:
         now = [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
         now = now if kept is None else [np.concatenate(p) for p in zip(kept, now)]
-        new = np.flatnonzero((np.diff(now[0]) != 0) | (np.diff(now[1]) != 0)) + 1
+        new = np.flatnonzero((np.diff(now[0]) != 0) | (np.diff(now[part]) != 0)) + 1
         last = int(new[-1]) if len(new) else 0
         if last:
             yield [c[:last] for c in now], np.concatenate([[0], new[:-1]])
@@ -190,14 +192,19 @@ def radius_for(similarity: float, bits: int = 256) -> int:
     return int(bits * share + 0.4 * math.sqrt(bits * share * (1 - share)))
 
 
-#: Bands of a MinHash signature and values in a band: sets 0.8 alike share no band with probability (1 - 0.8**8)**48 = 0.00015.
-BANDS, BAND_ROWS = 48, 8
+#: Segments of the stage's SimHash, bits of a segment, and the weakest bits of it over which its ball is enumerated. A pair of sets 0.8
+#: alike meets in a segment with probability 0.147 (simulated), in none of them with 0.006.
+SEGMENTS, SEGMENT_BITS, WEAK = 32, 28, 3
+#: Differing bits of 128 further ones up to which two sets are compared: 4 standard deviations above the mean of sets 0.8 alike (19.4).
+PRINT_RADIUS = 36
+#: Largest band whose members are compared by those bits before their sets are read; larger ones go on whole.
+SMALL_BAND = 64
 #: Rounds of comparing the members of a band with one of them before their sets are brought together.
 PIVOTS = 2
+_SEGMENT_WORDS = SEGMENTS * SEGMENT_BITS // 64
 _draw = np.random.default_rng(20)
-_TURNS = _draw.integers(0, 1 << 32, BANDS * BAND_ROWS, np.uint32) | np.uint32(1)
-_FLIPS = _draw.integers(0, 1 << 32, BANDS * BAND_ROWS, np.uint32)
-_WEIGHTS = _draw.integers(0, 1 << 63, (BANDS, BAND_ROWS), np.uint64) | np.uint64(1)
+_TURNS = _draw.integers(0, 1 << 63, _SEGMENT_WORDS + 2, np.uint64) * np.uint64(2) + np.uint64(1)
+_FLIPS = _draw.integers(0, 1 << 63, _SEGMENT_WORDS + 2, np.uint64)
 
 
 def shingles(text: str, words: int = 5) -> np.ndarray:
@@ -215,15 +222,75 @@ def shingles(text: str, words: int = 5) -> np.ndarray:
     return np.unique(made ^ (made >> np.uint64(32)))
 
 
-def band_keys(found: np.ndarray) -> np.ndarray:
-    """One key for each band of the MinHash signature of a set of hashes; none for an empty set."""
+def segments(found: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """The segments of the SimHash of a set of hashes, and 128 further bits as two signed longs; for an empty set no segment.
+
+    A segment is a long: its bits, then the places (5 bits each) of its ``WEAK`` bits with the smallest majority.
+    """
     if not len(found):
-        return np.zeros(0, np.int64)
-    low, least = found.astype(np.uint32)[:, None], np.full(BANDS * BAND_ROWS, 0xFFFFFFFF, np.uint32)
-    for k in range(0, len(low), 256):
-        np.minimum(least, ((low[k : k + 256] ^ _FLIPS) * _TURNS).min(0), out=least)
-    keys = (least.reshape(BANDS, BAND_ROWS).astype(np.uint64) * _WEIGHTS).sum(1, dtype=np.uint64)
-    return ((keys ^ (keys >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+        return np.zeros(0, np.int64), [0, 0]
+    set_in = np.zeros(len(_TURNS) * 64, np.int64)
+    for k in range(0, len(found), 255):  # a byte holds the sum of 255 bits
+        mixed = (found[k : k + 255, None] ^ _FLIPS) * _TURNS
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> np.uint64(32)
+        set_in += np.unpackbits(mixed.astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    margin = 2 * set_in - len(found)
+    rest = np.packbits(margin[_SEGMENT_WORDS * 64 :] > 0, bitorder="little").view("<i8")
+    margin = margin[: _SEGMENT_WORDS * 64].reshape(SEGMENTS, SEGMENT_BITS)
+    made = (margin > 0) @ (np.int64(1) << np.arange(SEGMENT_BITS))
+    weak = np.argsort(np.abs(margin), axis=1, kind="stable")[:, :WEAK]
+    for k in range(WEAK):
+        made |= weak[:, k] << (SEGMENT_BITS + 5 * k)
+    return made, rest.tolist()
+
+
+def _weak_balls(segment: Column, number: Column) -> Column:
+    """The keys of a segment: its bits under every flip of its weakest ones."""
+    keys = [number.cast("long") * (1 << SEGMENT_BITS) + segment.bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1).cast("long"))]
+    for k in range(WEAK):
+        place = F.shiftrightunsigned(segment, SEGMENT_BITS + 5 * k).bitwiseAND(F.lit(31).cast("long")).cast("int")
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), place)
+        keys += [key.bitwiseXOR(bit) for key in keys]
+    return F.array(*keys)
+
+
+def _bands(nodes: DataFrame) -> DataFrame:
+    """key, node, low, high, size: the members of each key that several nodes enter, with the least and the greatest.
+
+    Keys with the same members are one band. One shuffle; a large group is sorted and spilled, not held.
+    """
+    entries = nodes.select("node", F.posexplode("segments").alias("number", "segment")).select(
+        "node", F.explode(_weak_balls(F.col("segment"), F.col("number"))).alias("key")).repartition(4 * shuffle_parts(nodes), "key")
+    all_of = Window.partitionBy("key")
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(k))).over(all_of).alias(f"m{k}") for k in (0, 1)]
+    shared = entries.select("key", "node", F.min("node").over(all_of).alias("low"), F.max("node").over(all_of).alias("high"),
+                            F.count(F.lit(1)).over(all_of).alias("size"), *marks).where("low < high")
+    return shared.select(F.xxhash64("low", "high", "size", "m0", "m1").alias("key"), "node", "low", "high", "size").distinct()
+
+
+def _close(bands: DataFrame) -> DataFrame:
+    """Members of ``bands`` (key, node, n, p0, p1, low, high) that have another within ``PRINT_RADIUS`` bits in the same band."""
+    names = ["key", "node", "n", "low", "high"]
+    schema = ", ".join(f"{c} long" for c in names)
+    out = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (*own, _, p0, p1), starts in _groups(batches, ["key", "node", "n", "low", "high", "part", "p0", "p1"], 5):
+            bits, ends = np.stack([p0, p1], 1).view(np.uint64), np.concatenate([starts[1:], [len(p0)]])
+            stays = np.zeros(len(p0), bool)
+            for size in np.unique(ends - starts).tolist():  # bands of one size at once
+                if size > 1:
+                    at = starts[ends - starts == size]
+                    for k in range(0, len(at), max(1, (1 << 18) // size**2)):
+                        rows = at[k : k + max(1, (1 << 18) // size**2), None] + np.arange(size)
+                        apart = np.bitwise_count(bits[rows][:, :, None] ^ bits[rows][:, None]).sum(3, dtype=np.int64)
+                        stays[rows] = (apart <= PRINT_RADIUS).sum(2) > 1
+            if stays.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[stays]) for c in own], schema=out)
+
+    spread = bands.withColumn("part", F.lit(0).cast("long")).repartition("key").sortWithinPartitions("key")
+    return spread.mapInArrow(run, schema)
 
 
 def near_sets(sets: list[np.ndarray], labels: np.ndarray, similarity: float) -> list[tuple[int, int]]:
@@ -300,8 +367,10 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> tuple[D
     """Rows (doc_id, _file, _row, group) of ``docs``, and the located documents.
 
     Texts link if their sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or
-    more. Candidates share a band of their MinHash signatures; whether an edit is scattered or in one
-    block makes no difference to those. Every link is verified by the whole sets. Each member of a
+    more. Candidates come by multi-index hashing of a longer SimHash of the same shingles: a set is entered
+    for each of ``SEGMENTS`` segments under the ball around it that its ``WEAK`` least certain bits span, and the members
+    of an entry are a band; whether an edit is scattered or in one block makes no difference. In small bands
+    members far from all others by 128 further bits leave. Every link is verified by the whole sets. Each member of a
     band is compared with the smallest and the largest node in it, then, in bands that are not connected yet, ``PIVOTS`` times
     with one other member: at most a row for each member. That settles groups of copies of any size.
     The members of bands that are still not connected go with their sets to one task for each band, which
@@ -314,16 +383,19 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> tuple[D
     def step(batch: pa.RecordBatch) -> dict[str, list]:
         found = [shingles(t, words) for t in texts(batch)]
         node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in found], np.uint64).view(np.int64)
+        made = list(map(segments, found))
         return {c: batch.column(c) for c in ("doc_id", "_file", "_row")} | {
-            "node": node, "n": list(map(len, found)), "keys": list(map(band_keys, found))}
+            "node": node, "n": list(map(len, found)), "segments": [m[0] for m in made], "p0": [m[1][0] for m in made],
+            "p1": [m[1][1] for m in made]}
 
     rows = rounds.keep(arrow_map(here.select("doc_id", "text", "_file", "_row"), step,
-                                 "doc_id long, _file string, _row long, node long, n long, keys array<long>"))
+                                 "doc_id long, _file string, _row long, node long, n long, segments array<long>, p0 long, p1 long"))
     # A node is a set of shingles; its number is a hash of the whole set.
-    nodes = rounds.keep(rows.groupBy("node").agg(F.min(F.struct("_file", "_row", "n", "keys")).alias("at")).select("node", "at.*"))
-    entries = nodes.select("node", "n", F.explode("keys").alias("key"))
-    shared = rounds.keep(entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high"))
-    members = rounds.keep(entries.join(few(shared), "key"))
+    held = ["n", "segments", "p0", "p1"]
+    nodes = rounds.keep(rows.groupBy("node").agg(F.min(F.struct("_file", "_row", *held)).alias("at")).select("node", "at.*"))
+    bands = rounds.keep(rounds.keep(_bands(nodes)).join(nodes.select("node", "n", "p0", "p1"), "node"))
+    members = rounds.keep(_close(bands.where(F.col("size") <= SMALL_BAND)).unionByName(
+        bands.where(F.col("size") > SMALL_BAND).select("key", "node", "n", "low", "high")))
     wanted = rounds.keep(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "_file", "_row"))
 
     def gather(batch: pa.RecordBatch) -> dict[str, list]:

@@ -86,6 +86,29 @@ def test_links_of_a_group_are_fewer_than_its_labels():
     assert len(found) < 30 and classes(found) == classes(plain)
 
 
+@pytest.mark.parametrize("block", [False, True])
+def test_alike_texts_meet_in_a_segment_ball(block):
+    """Candidates come through SimHash segments: pairs at 0.8 to 0.86, by their own keys without any other path."""
+    rng, met, near, n = random.Random(9), 0, 0, 0
+
+    def keys(segments):
+        out = set()
+        for i, s in enumerate(segments):
+            weak = [1 << (s >> (simhash.SEGMENT_BITS + 5 * k) & 31) for k in range(simhash.WEAK)]
+            out |= {(i, (s & (1 << simhash.SEGMENT_BITS) - 1) ^ sum(w for j, w in enumerate(weak) if m >> j & 1)) for m in range(1 << simhash.WEAK)}
+        return out
+
+    while n < 300:
+        words = [f"w{min(rng.randrange(3000), rng.randrange(3000))}" for _ in range(rng.randrange(150, 400))]
+        a, b = (simhash.shingles(" ".join(w)) for w in (words, edited(rng, words, rng.uniform(0.05, 0.12) if block else 0.02, block)))
+        share = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+        if 0.8 <= share <= 0.86:
+            (one, p), (two, q) = simhash.segments(a), simhash.segments(b)
+            n, met = n + 1, met + bool(keys(one) & keys(two))
+            near += sum((x ^ y).bit_count() if x ^ y >= 0 else ((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(p, q)) <= simhash.PRINT_RADIUS
+    assert met >= 0.98 * n and near >= 0.99 * n
+
+
 CLASHES = ("cdf", "draws", "_rate", "_copies", "_copy", "_order", "_file", "_row", "score", "rate", "_source", "group", "a", "b", "digest")
 
 
