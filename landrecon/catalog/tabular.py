@@ -199,7 +199,8 @@ def read_kml(spark, sf_dir):
     xml = F.concat(F.lit("<Placemark><name>"), "feature_id", F.lit("</name>"), code,
                    F.when(F.col("kind") == "Polygon", area).otherwise(line), F.lit("</Placemark>"))
     folder = Rounds(spark).path()
-    sinks.write_wrapped(f.select(xml.alias("value")), folder, '<kml xmlns="http://www.opengis.net/kml/2.2"><Document>', "", "</Document></kml>")
+    sinks.write_wrapped(f.select(xml.alias("value")), folder, '<kml xmlns="http://www.opengis.net/kml/2.2"><Document>', "", "</Document></kml>",
+                        rows_per_file=50_000)
     out = readers.read_kml(spark, folder, "DS", "cadastral")
     return out.select(F.col("properties")["name"].alias("name"), F.col("properties")["code"].alias("code"), "kind",
                       F.round("xmin", 8).alias("xmin"), F.round("ymax", 8).alias("ymax"))

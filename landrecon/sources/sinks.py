@@ -52,8 +52,14 @@ def _write_collections(lines: DataFrame, path: str) -> None:
     write_wrapped(lines, path, '{"type":"FeatureCollection","features":[', ",", "]}")
 
 
-def write_wrapped(lines: DataFrame, path: str, head: str, between: str, tail: str) -> None:
-    """Texts (one column) as files that each start with ``head`` and end with ``tail``, built where the rows are."""
+def write_wrapped(lines: DataFrame, path: str, head: str, between: str, tail: str, rows_per_file: int | None = None) -> None:
+    """Texts (one column) as files that each start with ``head`` and end with ``tail``, built where the rows are.
+
+    With ``rows_per_file`` the rows are dealt to enough files of about as many rows at most, for readers that cannot split a file.
+    """
+    if rows_per_file is not None:
+        lines = lines.repartition(max(1, -(-lines.count() // rows_per_file)))
+
     def wrap(batches):
         import pyarrow as pa
 

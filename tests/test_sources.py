@@ -91,6 +91,15 @@ def test_read_kml(spark, tmp_path, kmz):
     assert [len(p) for p in rows[0].geom.parts] == [1, 1] and len(rows[1].geom.parts[0][0]) == 2
 
 
+def test_wrapped_files_hold_a_bounded_number_of_rows(spark, tmp_path):
+    marks = spark.range(0, 95, 1, 1).select(F.format_string("<Placemark><name>n%d</name><Point><coordinates>74,16</coordinates></Point></Placemark>", "id"))
+    sinks.write_wrapped(marks, str(tmp_path / "k"), "<kml><Document>", "", "</Document></kml>", rows_per_file=10)
+    held = [f.read_text().count("<Placemark>") for f in (tmp_path / "k").glob("part-*")]
+    assert sum(held) == 95 and len(held) == 10 and max(held) <= 12
+    rows = readers.read_kml(spark, str(tmp_path / "k"), "DS", "revenue").select(F.col("properties")["name"].alias("n")).collect()
+    assert sorted(r.n for r in rows) == sorted(f"n{i}" for i in range(95))
+
+
 def test_read_kml_without_features(spark, tmp_path):
     (tmp_path / "e.kml").write_text("<kml><Placemark><name>x</name></Placemark></kml>")
     with pytest.raises(ValueError):
