@@ -255,13 +255,21 @@ def _weak_balls(segment: Column, number: Column) -> Column:
     return F.array(*keys)
 
 
+def _entries(nodes: DataFrame, parts: int) -> DataFrame:
+    """node, key: ``SEGMENTS`` << ``WEAK`` rows of each node. Nodes are dealt to ``parts`` tasks first, so what a task holds
+    for the shuffle after it does not follow from the size of a file of nodes."""
+    return nodes.select("node", "segments").repartition(parts, "node").select(
+        "node", F.posexplode("segments").alias("number", "segment")).select(
+        "node", F.explode(_weak_balls(F.col("segment"), F.col("number"))).alias("key"))
+
+
 def _bands(nodes: DataFrame) -> DataFrame:
     """key, node, low, high, size: the members of each key that several nodes enter, with the least and the greatest.
 
-    Keys with the same members are one band. One shuffle; a large group is sorted and spilled, not held.
+    Keys with the same members are one band. One shuffle of the entries; a large group is sorted and spilled, not held.
     """
-    entries = nodes.select("node", F.posexplode("segments").alias("number", "segment")).select(
-        "node", F.explode(_weak_balls(F.col("segment"), F.col("number"))).alias("key")).repartition(4 * shuffle_parts(nodes), "key")
+    parts = 4 * shuffle_parts(nodes)
+    entries = _entries(nodes, parts).repartition(parts, "key")
     all_of = Window.partitionBy("key")
     marks = [F.bit_xor(F.xxhash64("node", F.lit(k))).over(all_of).alias(f"m{k}") for k in (0, 1)]
     shared = entries.select("key", "node", F.min("node").over(all_of).alias("low"), F.max("node").over(all_of).alias("high"),

@@ -57,6 +57,15 @@ def kept_of(rows):
     return set(least.values())
 
 
+def ball(segment):
+    """The values of a segment under every flip of its weakest bits."""
+    found = {segment & (1 << simhash.SEGMENT_BITS) - 1}
+    for k in range(simhash.WEAK):
+        bit = 1 << (segment >> simhash.SEGMENT_BITS + 5 * k & 31)
+        found |= {x ^ bit for x in found}
+    return found
+
+
 @pytest.mark.parametrize("pivots", [0, 2])
 def test_one_of_each_group_stays(docs, monkeypatch, pivots):
     monkeypatch.setattr(simhash, "PIVOTS", pivots)
@@ -112,6 +121,21 @@ def test_alike_texts_meet_in_a_segment_ball(block):
 CLASHES = ("cdf", "draws", "_rate", "_copies", "_copy", "_order", "_file", "_row", "score", "rate", "_source", "group", "a", "b", "digest")
 
 
+def test_entries_of_one_file_are_made_in_many_tasks(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(4)
+    rows = [(k, [int(x) for x in simhash.segments(rng.integers(0, 1 << 63, 40, np.uint64))[0]]) for k in range(64)]
+    nodes = spark.createDataFrame(rows, "node long, segments array<long>").coalesce(1)
+    made = simhash._entries(nodes, 16)
+    per_task = made.groupBy(F.spark_partition_id().alias("t")).count().collect()
+    every = simhash.SEGMENTS << simhash.WEAK
+    assert sum(r["count"] for r in per_task) == 64 * every
+    assert max(r["count"] for r in per_task) <= 16 * every
+    plain = {(k, number << simhash.SEGMENT_BITS | bits) for k, own in rows for number, segment in enumerate(own) for bits in ball(segment)}
+    assert {tuple(r) for r in made.collect()} == plain
+
+
 def test_clashing_columns_stay(spark, docs):
     from pyspark.sql import functions as F
 
