@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from landrecon.functions import geo, kernel, scalar
 from landrecon.functions.columns import once
 from landrecon.operators import grid, skew
+from landrecon.operators.rounds import Rounds
 from landrecon.settings import CANONICAL_TYPE, DEFAULT_CANONICAL_TYPE, DEFAULTS, Settings
 from landrecon.sources import geojson
 
@@ -240,20 +241,22 @@ def exact_quantiles(values: DataFrame, keys: list[str], value: str, probs: tuple
     """Linearly interpolated quantiles per key as an array ``q``, without one task per key.
 
     Values are counted first. Equal-width buckets locate the wanted ranks, and only the distinct
-    values of the buckets that hold one are put in order.
+    values of the buckets that hold one are put in order. Counted and placed values are read several times, so each is kept:
+    they are made once, and no task holds the hash tables and sorts of all these steps together.
     """
-    counts = values.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    span = counts.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_all"))
+    rounds = Rounds(values.sparkSession)
+    counts = rounds.keep(values.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n")))
+    span = rounds.keep(counts.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_all")))
     place = F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets)
     bucket = F.when(F.col("_hi") > F.col("_lo"), F.least(place, F.lit(buckets - 1))).otherwise(F.lit(0)).cast("int")
-    placed = counts.join(span, keys).select(*keys, "_v", "_n", bucket.alias("_b"))
+    placed = rounds.keep(skew.lookup_join(counts, span, keys, F.col("_v")).select(*keys, "_v", "_n", bucket.alias("_b")))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sizes = placed.groupBy(*keys, "_b").agg(F.sum("_n").alias("_m")).withColumn(
         "_start", F.coalesce(F.sum("_m").over(before), F.lit(0)))
     ranks = F.array(*[F.struct(F.lit(i).alias("i"), f(p * (F.col("_all") - 1)).alias("r"), F.lit(up).alias("up"))
                       for i, p in enumerate(probs) for up, f in ((0, F.floor), (1, F.ceil))])
-    wanted = span.select(*keys, F.inline(ranks)).join(sizes, keys).where(
-        (F.col("r") >= F.col("_start")) & (F.col("r") < F.col("_start") + F.col("_m")))
+    wanted = rounds.keep(span.select(*keys, F.inline(ranks)).join(sizes, keys).where(
+        (F.col("r") >= F.col("_start")) & (F.col("r") < F.col("_start") + F.col("_m"))))
     need = wanted.select(*keys, "_b").distinct()
     upto = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ordered = placed.join(need, keys + ["_b"], "left_semi").withColumn("_cum", F.sum("_n").over(upto))
@@ -277,6 +280,7 @@ def percentile_stretch(pixels: DataFrame) -> DataFrame:
     limits = exact_quantiles(pixels.where(finite), ["raster_id", "band"], "value", (0.02, 0.98))
     limits = limits.select("raster_id", "band", F.col("q")[0].alias("_low"),
                            F.when(F.col("q")[1] <= F.col("q")[0], F.col("q")[0] + 1).otherwise(F.col("q")[1]).alias("_high"))
+    limits = Rounds(pixels.sparkSession).keep(limits)  # counted, then joined
     joined = skew.lookup_join(pixels, limits, ["raster_id", "band"], F.col("value"), "left")
     scaled = (F.col("value") - F.col("_low")) * (255.0 / (F.col("_high") - F.col("_low")))
     level = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), scaled))).cast("int")

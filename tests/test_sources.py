@@ -190,3 +190,23 @@ def test_mixed_folder_is_read_whole(spark, tmp_path):
         (folder / f"{first}.geojson").write_text("\n".join(json.dumps(point(i)) for i in range(50)))
         (folder / f"{second}.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": [point(i) for i in range(50, 55)]}, indent=1))
         assert readers.read_geojson(spark, str(folder), "D", "gnss").count() == 55
+
+
+def test_quantiles_read_their_values_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = [(k, float((i * 37) % 101) / (k + 1)) for k in range(3) for i in range(300)]
+    values = spark.createDataFrame(rows, "k int, v double").mapInArrow(counted, "k int, v double")
+    found = {r.k: r.q for r in readers.exact_quantiles(values, ["k"], "v", (0.02, 0.98)).collect()}
+    for k in range(3):
+        own = sorted(v for key, v in rows if key == k)
+        for p, q in zip((0.02, 0.98), found[k]):
+            at = p * (len(own) - 1)
+            low = int(at)
+            assert abs(own[low] + (own[min(low + 1, len(own) - 1)] - own[low]) * (at - low) - q) < 1e-9
+    assert seen.value == len(rows)
