@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from landrecon.functions import geo, kernel, scalar, text
 from landrecon.functions.columns import fixed
 from landrecon.operators import grid, skew, topology
+from landrecon.operators.rounds import Rounds
 from landrecon.settings import (CONFLICT_STATUSES, DEFAULTS, DUPLICATE_KEY_FIELDS, PERSONAL_KEYS,
                                 TERMINAL_STATUSES, Settings)
 
@@ -130,12 +131,13 @@ def gnss_outside_conflicts(features: DataFrame, cfg: Settings = DEFAULTS) -> Dat
     """
     from math import log
 
-    parcels = _shapes(features.where(F.col("kind").isin(*geo.POLYGONAL)), "parcel", cfg)
-    points = _shapes(features, "gnss_point", cfg)
+    rounds = Rounds(features.sparkSession)  # both searches read parcels and points, and lost points have several readers
+    parcels = rounds.keep(_shapes(features.where(F.col("kind").isin(*geo.POLYGONAL)), "parcel", cfg))
+    points = rounds.keep(_shapes(features, "gnss_point", cfg))
     wide = _wide(features, cfg, "parcel")
     near = nearest_parcel_score(parcels, points, cfg.decay_m * log(1 / cfg.gnss_outside) + 1, cfg, wide)
-    lost = points.join(near.where(F.col("score") >= cfg.gnss_outside), "shape_id", "left_anti")
-    score = nearest_parcel_score(parcels, lost, cfg.decay_m * log(2000), cfg, wide)  # beyond it the score rounds to zero
+    lost = rounds.keep(points.join(near.where(F.col("score") >= cfg.gnss_outside), "shape_id", "left_anti"))
+    score = rounds.keep(nearest_parcel_score(parcels, lost, cfg.decay_m * log(2000), cfg, wide))  # beyond it the score rounds to zero
     rows = (_members(features, "gnss_point", cfg)
             .join(lost.select("shape_id").join(score, "shape_id", "left"), "shape_id")
             .withColumn("score", F.coalesce("score", F.lit(0.0))).where(F.col("score") < cfg.gnss_outside))

@@ -29,15 +29,36 @@ SLOT = ["anchor_id", "anchor_rank", "a_shape_id", "b_dataset_id"]
 CHOICE = ["pos", "b_shape_id", "b_copies", "b_anchor_rank", "block"]
 STATE = [*SLOT, *CHOICE]
 BLOCK_CELLS = 8
+#: A rank is the dataset's number, then the place in the dataset in this many bits; 48 bits in all.
+PLACE_BITS, MAX_NUMBERED = 36, 4096
 
 
 def with_rank(features: DataFrame, datasets: DataFrame) -> DataFrame:
-    """Adds ``rank``: position by dataset upload time, dataset and place in the dataset."""
+    """Adds ``rank``, a unique integer that orders by dataset upload time, dataset and place in the dataset.
+
+    Where datasets are few and places are unique, the two are put side by side and no feature is moved; else features are
+    sorted and numbered.
+    """
+    order = datasets.select("dataset_id", "uploaded_at")
+    if _places_are_unique(features, order):
+        number = F.row_number().over(Window.orderBy("uploaded_at", "dataset_id")) - 1  # of at most MAX_NUMBERED rows
+        numbered = order.select("dataset_id", F.shiftleft(number.cast("long"), PLACE_BITS).alias("_base"))
+        return features.join(F.broadcast(numbered), "dataset_id").withColumn("rank", F.col("_base") + F.col("ordinal")).drop("_base")
     dated = skew.lookup_join(features, datasets.select("dataset_id", "uploaded_at"), ["dataset_id"], F.col("ordinal"))
     return match.group_numbering(dated, ["uploaded_at", "dataset_id", "ordinal"]).withColumnRenamed(
         "group_number", "rank").drop("matched_group_id", "uploaded_at")
 
 
+def _places_are_unique(features: DataFrame, order: DataFrame) -> bool:
+    """Whether dataset and ``ordinal`` tell features apart and fit a rank. Shuffles these two columns at most."""
+    ids = order.limit(MAX_NUMBERED + 1).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("dataset_id").alias("d")).first()
+    if ids.n > MAX_NUMBERED or ids.n != ids.d:
+        return False
+    place = features.select("dataset_id", F.col("ordinal").cast("long").alias("o"))
+    fits = F.col("o").isNotNull() & (F.col("o") >= 0) & (F.col("o") < 1 << PLACE_BITS)
+    return place.groupBy("dataset_id", "o").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | ~fits).isEmpty()
+
+
 @dataclass
 class Phase:
     """Anchors that act and the matches they make."""
@@ -285,7 +306,9 @@ def exclusive_matching(features: DataFrame, datasets: DataFrame, cfg: Settings =
     sees every distinct compared text once.
     """
     rounds = rounds or Rounds(features.sparkSession)
-    ranked = rounds.keep(with_rank(features, datasets))
+    # Only what matching reads; properties, and geometry where boxes do, stay behind.
+    read = dict.fromkeys(["feature_id", "dataset_id", "source_type", "canonical_type", "ordinal", *match.match_columns(cfg)])
+    ranked = rounds.keep(with_rank(features.select(*read), datasets))
     if encoder is not None:
         encoder = match.vectors(ranked, encoder, rounds)  # both phases read the same vectors
     first = ranked.withColumn("is_anchor", F.col("source_type") == "cadastral")

@@ -131,10 +131,10 @@ def distinct_shapes(features: DataFrame, same: list[str], keep: list[str]) -> Da
 
 
 def shape_id(same: list[str]) -> Column:
-    """128-bit digest of the columns; null positions and the nesting of geometry count too."""
+    """128-bit digest of the columns, as 16 bytes; null positions and the nesting of geometry count too."""
     nulls = F.concat(*[F.col(c).isNull().cast("int").cast("string") for c in same])
     parts: list[Column] = [nulls, *[F.col(c) for c in same]]
     if "geom" in same:
         rings = F.flatten(F.col("geom.parts"))
         parts += [F.transform("geom.parts", F.size), F.transform(rings, F.size)]
-    return F.concat_ws("-", *[F.xxhash64(F.lit(seed), *parts).cast("string") for seed in (1, 2)])
+    return F.unhex(F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(seed), *parts)), 16, "0") for seed in (1, 2)]))
