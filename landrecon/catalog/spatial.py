@@ -417,10 +417,14 @@ members AS (
     row_number() OVER (PARTITION BY a_id ORDER BY overall_confidence DESC, b_dataset, b_id), bo FROM best)"""
 
 
-def lens_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Anchors with the best match of each dataset, as groups named after the anchor."""
-    anchors, f = _split(spark, sf_dir)
-    best = match.best_match_per_dataset(anchors, f, LENS)
+def lens_members(spark: SparkSession, sf_dir: str, f: DataFrame | None = None) -> DataFrame:
+    """Anchors with the best match of each dataset, as groups named after the anchor.
+
+    Features and best matches have several readers each, so they are written once; ``f`` are features written before.
+    """
+    rounds = Rounds(spark)
+    f = rounds.keep(lens.features(spark, sf_dir)) if f is None else f
+    best = rounds.keep(match.best_match_per_dataset(f.where(F.col("source_type") == "cadastral"), f, LENS))
     groups = best.select(F.col("anchor_id").alias("matched_group_id"), "anchor_id").distinct()
     return exclusive.group_members(groups, best.withColumnRenamed("anchor_id", "matched_group_id"), f)
 

@@ -36,3 +36,10 @@ def test_matching_keeps_only_what_it_reads(spark, monkeypatch):
     features = random_layer(spark, 1).withColumn("extra", F.lit("long text"))
     exclusive.exclusive_matching(features, datasets(features), PLANE)
     assert kept and not any("extra" in columns for columns in kept)
+
+
+def test_members_read_written_features(spark, sf):
+    from landrecon.catalog.spatial import lens_members
+
+    read = {f.rsplit("/", 1)[0].rsplit("/", 2)[1].split("-")[0] for f in lens_members(spark, sf).inputFiles()}
+    assert read == {"tables"}  # no source table is read again for each reader of the features
