@@ -467,6 +467,7 @@ def owner_mismatch_conflicts(spark, sf_dir):
 
 @query("all_conflicts")
 def all_conflicts(spark, sf_dir):
-    f = lens.features(spark, sf_dir)
-    members = Rounds(spark).keep(lens_members(spark, sf_dir))
+    rounds = Rounds(spark)
+    f = rounds.keep(lens.features(spark, sf_dir))  # every detector reads them
+    members = rounds.keep(lens_members(spark, sf_dir, f))
     return conflicts.all_conflicts(f, members, lens.datasets(spark, sf_dir), None, LENS).select("status", *_FOUND)
