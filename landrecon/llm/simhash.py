@@ -371,6 +371,14 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             .where(both >= F.lit(similarity) * (F.size("_a") + F.size("_b") - both) - 1e-9).select("a", "b"))
 
 
+def _tried(members: DataFrame) -> DataFrame:
+    """a, b: each node of ``members`` (node, low, high) with the least and the greatest node of all its bands, two pairs a node
+    however many bands it is in. Most of a large group meets the same least node."""
+    ends = members.groupBy("node").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    pairs = F.array(F.struct(F.col("low").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("high").alias("b")))
+    return ends.select(F.inline(pairs)).where("a < b").distinct()
+
+
 def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, _file, _row, group) of ``docs``, and the located documents.
 
@@ -378,8 +386,8 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> tuple[D
     more. Candidates come by multi-index hashing of a longer SimHash of the same shingles: a set is entered
     for each of ``SEGMENTS`` segments under the ball around it that its ``WEAK`` least certain bits span, and the members
     of an entry are a band; whether an edit is scattered or in one block makes no difference. In small bands
-    members far from all others by 128 further bits leave. Every link is verified by the whole sets. Each member of a
-    band is compared with the smallest and the largest node in it, then, in bands that are not connected yet, ``PIVOTS`` times
+    members far from all others by 128 further bits leave. Every link is verified by the whole sets. Each node is
+    compared with the smallest and the largest node of its bands, then, in bands that are not connected yet, ``PIVOTS`` times
     with one other member: at most a row for each member. That settles groups of copies of any size.
     The members of bands that are still not connected go with their sets to one task for each band, which
     emits at most a link less than the band has labels; no pair is a row. Nothing is
@@ -411,10 +419,7 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> tuple[D
 
     sets = rounds.keep(arrow_map(here.select("text", "_file", "_row").join(few(wanted), ["_file", "_row"]).select("node", "text"),
                                  gather, "node long, hashes array<long>"))
-    ends = members.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("node").alias("b")),
-                                            F.struct(F.col("node").alias("a"), F.col("high").alias("b")))).alias("p"))
-    tried = rounds.keep(ends.select("p.*").where("a < b").distinct())
-    links = rounds.keep(_alike(tried, sets, similarity))
+    links = rounds.keep(_alike(rounds.keep(_tried(members)), sets, similarity))
     for turn in range(PIVOTS + 1):
         first = components(rounds, links).withColumnRenamed("node", "_node")
         labelled = rounds.keep(members.join(few(first), members.node == first._node, "left").select(
