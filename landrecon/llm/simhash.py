@@ -199,8 +199,11 @@ SEGMENTS, SEGMENT_BITS, WEAK = 32, 28, 3
 PRINT_RADIUS = 36
 #: Largest band whose members are compared by those bits before their sets are read; larger ones go on whole.
 SMALL_BAND = 64
-#: Rounds of comparing the members of a band with one of them before their sets are brought together.
+#: Most rounds of comparing the members of a band with one of them before their sets are brought together; one that leaves over half
+#: of the open members is the last.
 PIVOTS = 2
+#: Segments whose plain values give the first links, and the members from which on a linked group enters the balls as one node.
+FIRM, HUB = 8, 16
 _SEGMENT_WORDS = SEGMENTS * SEGMENT_BITS // 64
 _draw = np.random.default_rng(20)
 _TURNS = _draw.integers(0, 1 << 63, _SEGMENT_WORDS + 2, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -245,9 +248,13 @@ def segments(found: np.ndarray) -> tuple[np.ndarray, list[int]]:
     return made, rest.tolist()
 
 
+def _segment_key(segment: Column, number: Column) -> Column:
+    return number.cast("long") * (1 << SEGMENT_BITS) + segment.bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1).cast("long"))
+
+
 def _weak_balls(segment: Column, number: Column) -> Column:
     """The keys of a segment: its bits under every flip of its weakest ones."""
-    keys = [number.cast("long") * (1 << SEGMENT_BITS) + segment.bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1).cast("long"))]
+    keys = [_segment_key(segment, number)]
     for k in range(WEAK):
         place = F.shiftrightunsigned(segment, SEGMENT_BITS + 5 * k).bitwiseAND(F.lit(31).cast("long")).cast("int")
         bit = F.call_function("shiftleft", F.lit(1).cast("long"), place)
@@ -277,6 +284,44 @@ def _bands(nodes: DataFrame) -> DataFrame:
     return shared.select(F.xxhash64("low", "high", "size", "m0", "m1").alias("key"), "node", "low", "high", "size").distinct()
 
 
+def _firm(nodes: DataFrame) -> DataFrame:
+    """a, b: each node with the least and the greatest that has the same value of one of the first ``FIRM`` segments, if within
+    ``PRINT_RADIUS`` bits. At most 2 * ``FIRM`` rows a node."""
+    keys = nodes.select("node", F.posexplode(F.slice("segments", 1, FIRM)).alias("number", "segment")).select(
+        "node", _segment_key(F.col("segment"), F.col("number")).alias("key"))
+    all_of = Window.partitionBy("key")
+    ends = keys.select("node", F.min("node").over(all_of).alias("low"), F.max("node").over(all_of).alias("high")).where("low < high")
+    one, two = (nodes.select(F.col("node").alias(c), *[F.col(p).alias(f"_{c}{p}") for p in ("p0", "p1")]) for c in "ab")
+    apart = sum(F.bit_count(F.col(f"_a{p}").bitwiseXOR(F.col(f"_b{p}"))) for p in ("p0", "p1"))
+    return _ends(ends).join(one, "a").join(two, "b").where(apart <= PRINT_RADIUS).select("a", "b")
+
+
+def _parted(raw: DataFrame, heads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members of ``raw`` (see ``_bands``) that are not in ``heads`` (node), as bands of their own; and hub, node: the nodes
+    that share a band with a head."""
+    heads = few(heads)
+    at = few(raw.join(heads, "node").select("key", F.col("node").alias("hub")))
+    beside = raw.select("key", "node").join(at, "key").where("node <> hub").select("hub", "node").distinct()
+    all_of = Window.partitionBy("key")
+    rest = raw.join(heads, "node", "left_anti").select(
+        "key", "node", F.min("node").over(all_of).alias("low"), F.max("node").over(all_of).alias("high"), F.count(F.lit(1)).over(all_of).alias("size"))
+    return rest.where("low < high"), beside
+
+
+def _hub_groups(whole: DataFrame, beside: DataFrame) -> DataFrame:
+    """key, part, node, label: the members of each hub (``whole``: node, hub) with label hub, and the nodes ``beside`` it (hub, node)
+    with their own. Chunks of members meet chunks of the others, ``CHUNK`` rows of each at most on average."""
+    sizes = (whole.select("hub", F.lit(1).alias("m"), F.lit(0).alias("o")).unionByName(beside.select("hub", F.lit(0).alias("m"), F.lit(1).alias("o")))
+             .groupBy("hub").agg(*[F.ceil(F.sum(c) / CHUNK).cast("int").alias(f"{c}s") for c in "mo"]).where("os > 0"))
+    sizes = few(sizes)
+    own = [F.pmod(F.xxhash64("node"), F.col(c).cast("long")).cast("int") for c in ("ms", "os")]
+    members = whole.join(sizes, "hub").select(F.col("hub").alias("key"), F.explode(F.transform(
+        F.sequence(F.lit(0), F.col("os") - 1), lambda j: own[0] * F.col("os") + j)).alias("part"), "node", F.col("hub").alias("label"))
+    others = beside.join(sizes, "hub").select(F.col("hub").alias("key"), F.explode(F.transform(
+        F.sequence(F.lit(0), F.col("ms") - 1), lambda i: i * F.col("os") + own[1])).alias("part"), "node", F.col("node").alias("label"))
+    return members.unionByName(others)
+
+
 def _close(bands: DataFrame) -> DataFrame:
     """Members of ``bands`` (key, node, n, p0, p1, low, high) that have another within ``PRINT_RADIUS`` bits in the same band."""
     names = ["key", "node", "n", "low", "high"]
@@ -334,8 +379,29 @@ def near_sets(sets: list[np.ndarray], labels: np.ndarray, similarity: float) ->
     return pairs
 
 
-def _set_links(dealt: DataFrame, similarity: float) -> DataFrame:
-    """a, b: labels that links within the groups of ``dealt`` (key, part, label, hashes) join."""
+def near_hub(sets: list[np.ndarray], labels: np.ndarray, similarity: float, hub: int) -> list[tuple[int, int]]:
+    """Pairs of ``hub`` and each other label with a set that is alike one of the hub's; no other two sets are compared."""
+    inside = np.flatnonzero(labels == hub)
+    if not len(inside):
+        return []
+    sizes = np.fromiter((len(sets[i]) for i in inside), np.int64, len(inside))
+    values, codes = np.unique(np.concatenate([sets[i] for i in inside]), return_inverse=True)
+    holders = np.repeat(np.arange(len(inside)), sizes)[np.argsort(codes, kind="stable")]
+    starts = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(values)))])
+    pairs = []
+    for i in np.flatnonzero(labels != hub).tolist():
+        at = np.minimum(np.searchsorted(values, sets[i]), len(values) - 1)
+        shared = np.zeros(len(inside), np.int64)
+        for c in at[values[at] == sets[i]].tolist():
+            shared[holders[starts[c] : starts[c + 1]]] += 1
+        if (shared >= similarity * (sizes + len(sets[i]) - shared) - 1e-9).any():
+            pairs.append((hub, int(labels[i])))
+    return pairs
+
+
+def _set_links(dealt: DataFrame, similarity: float, hubs: bool = False) -> DataFrame:
+    """a, b: labels that links within the groups of ``dealt`` (key, part, label, hashes) join; with ``hubs`` only links with the
+    label that is the key."""
     out = arrow_schema("a long, b long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,7 +409,9 @@ def _set_links(dealt: DataFrame, similarity: float) -> DataFrame:
 
         def links() -> Iterator[pa.RecordBatch]:
             labels = np.array([label for _, label, _ in held])
-            found = near_sets([h for _, _, h in held], labels, similarity) if len(set(labels.tolist())) > 1 else []
+            sets, found = [h for _, _, h in held], []
+            if len(set(labels.tolist())) > 1:
+                found = near_hub(sets, labels, similarity, held[0][0][0]) if hubs else near_sets(sets, labels, similarity)
             if found:
                 made = np.array(sorted(set(found)), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(made[:, 0]), pa.array(made[:, 1])], schema=out)
@@ -374,7 +442,11 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def _tried(members: DataFrame) -> DataFrame:
     """a, b: each node of ``members`` (node, low, high) with the least and the greatest node of all its bands, two pairs a node
     however many bands it is in. Most of a large group meets the same least node."""
-    ends = members.groupBy("node").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    return _ends(members.groupBy("node").agg(F.min("low").alias("low"), F.max("high").alias("high")))
+
+
+def _ends(ends: DataFrame) -> DataFrame:
+    """a, b: node and low, node and high of each row."""
     pairs = F.array(F.struct(F.col("low").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("high").alias("b")))
     return ends.select(F.inline(pairs)).where("a < b").distinct()
 
@@ -386,7 +458,9 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> tuple[D
     more. Candidates come by multi-index hashing of a longer SimHash of the same shingles: a set is entered
     for each of ``SEGMENTS`` segments under the ball around it that its ``WEAK`` least certain bits span, and the members
     of an entry are a band; whether an edit is scattered or in one block makes no difference. In small bands
-    members far from all others by 128 further bits leave. Every link is verified by the whole sets. Each node is
+    members far from all others by 128 further bits leave. Every link is verified by the whole sets. Nodes with the same
+    value of a segment are compared first, at most 2 * ``FIRM`` pairs a node; a group of ``HUB`` or more that these link, a hub, is one
+    member of any band, and a node that shares a band with it is searched once among all its sets. Each other node is
     compared with the smallest and the largest node of its bands, then, in bands that are not connected yet, ``PIVOTS`` times
     with one other member: at most a row for each member. That settles groups of copies of any size.
     The members of bands that are still not connected go with their sets to one task for each band, which
@@ -409,17 +483,34 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> tuple[D
     # A node is a set of shingles; its number is a hash of the whole set.
     held = ["n", "segments", "p0", "p1"]
     nodes = rounds.keep(rows.groupBy("node").agg(F.min(F.struct("_file", "_row", *held)).alias("at")).select("node", "at.*"))
-    bands = rounds.keep(rounds.keep(_bands(nodes)).join(nodes.select("node", "n", "p0", "p1"), "node"))
-    members = rounds.keep(_close(bands.where(F.col("size") <= SMALL_BAND)).unionByName(
-        bands.where(F.col("size") > SMALL_BAND).select("key", "node", "n", "low", "high")))
-    wanted = rounds.keep(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "_file", "_row"))
 
     def gather(batch: pa.RecordBatch) -> dict[str, list]:
         return {"node": batch.column("node"), "hashes": [shingles(t, words).view(np.int64) for t in texts(batch)]}
 
-    sets = rounds.keep(arrow_map(here.select("text", "_file", "_row").join(few(wanted), ["_file", "_row"]).select("node", "text"),
-                                 gather, "node long, hashes array<long>"))
-    links = rounds.keep(_alike(rounds.keep(_tried(members)), sets, similarity))
+    def gathered(some: DataFrame) -> DataFrame:
+        wanted = rounds.keep(nodes.join(some.distinct(), "node", "left_semi").select("node", "_file", "_row"))
+        return rounds.keep(arrow_map(here.select("text", "_file", "_row").join(few(wanted), ["_file", "_row"]).select("node", "text"),
+                                     gather, "node long, hashes array<long>"))
+
+    firm = rounds.keep(_firm(nodes))
+    sets = gathered(firm.select(F.explode(F.array("a", "b")).alias("node")))
+    links = rounds.keep(_alike(firm, sets, similarity))
+    groups = rounds.keep(components(rounds, links).withColumnRenamed("component", "hub"))
+    whole = rounds.keep(groups.join(few(groups.groupBy("hub").count().where(F.col("count") >= HUB).select("hub")), "hub").select("node", "hub"))
+    merged = nodes.join(few(whole.withColumnRenamed("node", "_node")), F.col("node") == F.col("_node"), "left")
+    raw = rounds.keep(_bands(merged.select(F.coalesce("hub", "node").alias("node"), "segments")))
+    rest, beside = _parted(raw, rounds.keep(whole.select(F.col("hub").alias("node")).distinct()))
+    # Of two hubs that meet, the members of the smaller number go to the other.
+    other = whole.select(F.col("node").alias("_member"), F.col("hub").alias("_hub"))
+    beside = beside.join(few(other), F.col("node") == F.col("_hub"), "left").where("_hub is null or _hub < hub")
+    beside = rounds.keep(beside.select("hub", F.coalesce("_member", "node").alias("node")))
+    bands = rounds.keep(rest.join(nodes.select("node", "n", "p0", "p1"), "node"))
+    members = rounds.keep(_close(bands.where(F.col("size") <= SMALL_BAND)).unionByName(
+        bands.where(F.col("size") > SMALL_BAND).select("key", "node", "n", "low", "high")))
+    sets = sets.unionByName(gathered(members.select("node").unionByName(beside.select("node")).join(sets.select("node"), "node", "left_anti")))
+    met = _set_links(_hub_groups(whole, beside).join(sets, "node").select("key", "part", "label", "hashes"), similarity, True)
+    links = rounds.keep(links.unionByName(met).unionByName(_alike(rounds.keep(_tried(members)), sets, similarity)))
+    still = 0
     for turn in range(PIVOTS + 1):
         first = components(rounds, links).withColumnRenamed("node", "_node")
         labelled = rounds.keep(members.join(few(first), members.node == first._node, "left").select(
@@ -428,7 +519,8 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> tuple[D
             F.min("label").alias("l"), F.max("label").alias("h"),
             F.min_by(F.struct("node", "label", "n"), F.xxhash64("node", F.lit(turn))).alias("pivot")).where("l < h").select("key", "pivot"))
         members = rounds.keep(labelled.join(few(mixed), "key"))
-        if turn == PIVOTS or members.isEmpty():
+        before, still = still, members.count()
+        if turn == PIVOTS or not still or turn and 2 * still > before:
             break
         size = F.least("n", "pivot.n") >= similarity * F.greatest("n", "pivot.n") - 1e-9
         ends = members.where((F.col("label") != F.col("pivot.label")) & size).select(
