@@ -15,7 +15,7 @@ from landrecon.functions.columns import once
 from landrecon.operators import grid, skew
 from landrecon.operators.rounds import Rounds
 from landrecon.settings import CANONICAL_TYPE, DEFAULT_CANONICAL_TYPE, DEFAULTS, Settings
-from landrecon.sources import geojson
+from landrecon.sources import checksums, geojson
 
 RAW = ["ordinal", "properties", "geometry_geojson"]
 FEATURE = ["feature_id", "dataset_id", "source_type", "canonical_type", "ordinal", "properties", "geom",
@@ -306,8 +306,11 @@ def extract_document_fields(docs: DataFrame, text: str = "text", patterns: dict[
 
 
 def file_checksums(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    """Path, length and SHA-256 of each file; no task holds a whole file (see ``checksums``)."""
+    options = {"recursiveFileLookup": str(recursive).lower()}
+    files = spark.read.format("binaryFile").options(**options).load(path).select(
+        F.col("_metadata.file_path").alias("file"), "path", "length")
+    return files.join(checksums.file_digests(spark, files, path, options), "file").select("path", "length", "sha256")
 
 
 def sync_geometry_columns(df: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from landrecon import lens
 from landrecon.catalog import tables
 from landrecon.functions import geo
 from landrecon.operators import search
-from landrecon.sources import readers, sinks
+from landrecon.sources import checksums, readers, sinks
 from landrecon.streaming.ingest import incremental_ingest
 
 SQUARE = [[74.0, 16.0], [74.001, 16.0], [74.001, 16.001], [74.0, 16.001], [74.0, 16.0]]
@@ -150,6 +150,35 @@ def test_file_checksums(spark, tmp_path):
     assert readers.file_checksums(spark, str(tmp_path)).first().sha256 == hashlib.sha256(b"abc").hexdigest()
 
 
+def test_checksums_of_odd_and_long_files(spark, tmp_path, monkeypatch):
+    """Whatever bytes and names they have, and where ranges and records end, without a whole file in a row."""
+    import gzip
+    import hashlib
+    import random
+
+    rng = random.Random(4)
+    texts = {
+        "line.txt": b"a\n", "open.txt": b"a\r\nb", "break.txt": b"\n", "mark.csv": b"\xef\xbb\xbfid,name\n1,x\n",
+        "mark_open.csv": b"\xef\xbb\xbfid", "mark_only.csv": b"\xef\xbb\xbf", "late_mark.bin": b"\n\xef\xbb\xbf\n\n", "real.gz": gzip.compress(rng.randbytes(5000)), "UPPER.GZ": b"x\ny",
+        **{f"no{ending}": b"not packed" + ending.encode() for ending in checksums.CODECS}, "noise": rng.randbytes(400_000), "zero.tif": bytes(300_000),
+        "a b [1]*{c},d%20.json": b"[" + b"1," * 40_000 + b"1]", "plain.raw": b"\xff" * 20_000, "sub/deep.parquet": b"\n" * 70_000 + rng.randbytes(9)}
+    for name, data in texts.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    monkeypatch.setattr(checksums, "LONGEST", 30_000)
+    for size, longest in (("64k", "45000"), ("1g", "2147483647")):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", longest)
+        try:
+            rows = readers.file_checksums(spark, str(tmp_path)).collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+        assert {r.path.removeprefix(f"file:{tmp_path}/"): (r.length, r.sha256) for r in rows} == {
+            n: (len(d), hashlib.sha256(d).hexdigest()) for n, d in texts.items()}
+        assert len(rows) == len(texts)
+
+
 def test_documents():
     assert set(readers.DOCUMENT_PATTERNS) == {"survey_number", "khata_number", "area_text"}
 
