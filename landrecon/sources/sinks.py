@@ -151,6 +151,6 @@ def audit_log(spark: SparkSession, path: str, limit: int = 100) -> DataFrame:
 
 
 def export_report_bundle(path: str, **tables: DataFrame) -> None:
-    """One JSON folder per section of the current results."""
+    """One JSON folder per section of the current results, in gzip files, as texts repeat every name and prefix in each row."""
     for name, df in search.report_sections(**tables).items():
-        df.write.mode("overwrite").json(f"{path}/{name}")
+        df.write.mode("overwrite").option("zlib.compress.level", "BEST_SPEED").json(f"{path}/{name}", compression="gzip")

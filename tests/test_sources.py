@@ -144,6 +144,23 @@ def test_report_bundle(spark, sf, tmp_path):
     assert spark.read.json(str(tmp_path / "conflicts")).count() == tables.conflicts(spark, sf).count()
 
 
+def test_report_bundle_is_whole_and_small(spark, tmp_path):
+    rows = spark.range(20_000).selectExpr(
+        "concat('MT-', id) id", "concat('GRP-', pmod(hash(id), 900)) matched_group_id", "pmod(hash(id, 1), 1000) / 10 overall_confidence")
+    sinks.export_report_bundle(str(tmp_path / "bundle"), matches=rows, other=rows)
+    rows.write.json(str(tmp_path / "plain"))
+
+    def size(name):
+        return sum(f.stat().st_size for f in (tmp_path / name).rglob("part-*"))
+
+    for name in ("matches", "other"):
+        assert sorted(spark.read.json(str(tmp_path / "bundle" / name)).select(*rows.columns).collect()) == sorted(rows.collect())
+        assert 0 < 3 * size(f"bundle/{name}") < size("plain")
+    files = sorted((tmp_path / "bundle" / "matches").glob("part-*"))
+    surest = [r.overall_confidence for f in files for r in spark.read.json(str(f)).collect()]
+    assert surest == sorted(surest, reverse=True)
+
+
 def test_file_checksums(spark, tmp_path):
     import hashlib
     (tmp_path / "f.bin").write_bytes(b"abc")
