@@ -195,6 +195,8 @@ def radius_for(similarity: float, bits: int = 256) -> int:
 #: Segments of the stage's SimHash, bits of a segment, and the weakest bits of it over which its ball is enumerated. A pair of sets 0.8
 #: alike meets in a segment with probability 0.147 (simulated), in none of them with 0.006.
 SEGMENTS, SEGMENT_BITS, WEAK = 32, 28, 3
+#: Least hashes that make one further key of a set. Sets 0.8 alike share none of the 9 keys with probability 0.009.
+LEAST = 4
 #: Differing bits of 128 further ones up to which two sets are compared: 4 standard deviations above the mean of sets 0.8 alike (19.4).
 PRINT_RADIUS = 36
 #: Largest band whose members are compared by those bits before their sets are read; larger ones go on whole.
@@ -230,13 +232,21 @@ def segments(found: np.ndarray) -> tuple[np.ndarray, list[int]]:
 
     A segment is a long: its bits, then the places (5 bits each) of its ``WEAK`` bits with the smallest majority.
     """
+    return sketch(found)[:2]
+
+
+def sketch(found: np.ndarray) -> tuple[np.ndarray, list[int], np.ndarray]:
+    """``segments``, and keys of ``LEAST`` least hashes each; the hashes whose bits are counted are also those of which the least are taken."""
     if not len(found):
-        return np.zeros(0, np.int64), [0, 0]
+        return np.zeros(0, np.int64), [0, 0], np.zeros(0, np.int64)
     set_in = np.zeros(len(_TURNS) * 64, np.int64)
+    least = np.full((2, len(_TURNS)), (1 << 64) - 1, np.uint64)
     for k in range(0, len(found), 255):  # a byte holds the sum of 255 bits
         mixed = (found[k : k + 255, None] ^ _FLIPS) * _TURNS
         mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
         mixed ^= mixed >> np.uint64(32)
+        for half, part in zip(least, (mixed >> np.uint64(32), mixed & np.uint64(0xFFFFFFFF))):
+            np.minimum(half, part.min(0), out=half)
         set_in += np.unpackbits(mixed.astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
     margin = 2 * set_in - len(found)
     rest = np.packbits(margin[_SEGMENT_WORDS * 64 :] > 0, bitorder="little").view("<i8")
@@ -245,7 +255,12 @@ def segments(found: np.ndarray) -> tuple[np.ndarray, list[int]]:
     weak = np.argsort(np.abs(margin), axis=1, kind="stable")[:, :WEAK]
     for k in range(WEAK):
         made |= weak[:, k] << (SEGMENT_BITS + 5 * k)
-    return made, rest.tolist()
+    groups = least.reshape(-1, LEAST)
+    keys = np.arange(len(groups), dtype=np.uint64)
+    for value in groups.T:
+        keys = (keys ^ (keys >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + value
+    keys = (keys ^ (keys >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return made, rest.tolist(), keys.view(np.int64)
 
 
 def _segment_key(segment: Column, number: Column) -> Column:
@@ -263,11 +278,12 @@ def _weak_balls(segment: Column, number: Column) -> Column:
 
 
 def _entries(nodes: DataFrame, parts: int) -> DataFrame:
-    """node, key: ``SEGMENTS`` << ``WEAK`` rows of each node. Nodes are dealt to ``parts`` tasks first, so what a task holds
-    for the shuffle after it does not follow from the size of a file of nodes."""
-    return nodes.select("node", "segments").repartition(parts, "node").select(
-        "node", F.posexplode("segments").alias("number", "segment")).select(
-        "node", F.explode(_weak_balls(F.col("segment"), F.col("number"))).alias("key"))
+    """node, key: ``SEGMENTS`` << ``WEAK`` rows of each node, and one of each key of its least hashes where ``nodes`` has them.
+    Nodes are dealt to ``parts`` tasks first, so what a task holds for the shuffle after it does not follow from the size of a
+    file of nodes."""
+    balls = F.flatten(F.transform("segments", lambda segment, number: _weak_balls(segment, number)))
+    keys = F.concat(balls, "least") if "least" in nodes.columns else balls
+    return nodes.repartition(parts, "node").select("node", F.explode(keys).alias("key"))
 
 
 def _bands(nodes: DataFrame) -> DataFrame:
@@ -457,7 +473,8 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> tuple[D
     Texts link if their sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or
     more. Candidates come by multi-index hashing of a longer SimHash of the same shingles: a set is entered
     for each of ``SEGMENTS`` segments under the ball around it that its ``WEAK`` least certain bits span, and the members
-    of an entry are a band; whether an edit is scattered or in one block makes no difference. In small bands
+    of an entry are a band; whether an edit is scattered or in one block makes no difference. A set is also entered under 9 keys of
+    least hashes, for pairs that no segment brings together. In small bands
     members far from all others by 128 further bits leave. Every link is verified by the whole sets. Nodes with the same
     value of a segment are compared first, at most 2 * ``FIRM`` pairs a node; a group of ``HUB`` or more that these link, a hub, is one
     member of any band, and a node that shares a band with it is searched once among all its sets. Each other node is
@@ -473,15 +490,15 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> tuple[D
     def step(batch: pa.RecordBatch) -> dict[str, list]:
         found = [shingles(t, words) for t in texts(batch)]
         node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in found], np.uint64).view(np.int64)
-        made = list(map(segments, found))
+        made = list(map(sketch, found))
         return {c: batch.column(c) for c in ("doc_id", "_file", "_row")} | {
             "node": node, "n": list(map(len, found)), "segments": [m[0] for m in made], "p0": [m[1][0] for m in made],
-            "p1": [m[1][1] for m in made]}
+            "p1": [m[1][1] for m in made], "least": [m[2] for m in made]}
 
     rows = rounds.keep(arrow_map(here.select("doc_id", "text", "_file", "_row"), step,
-                                 "doc_id long, _file string, _row long, node long, n long, segments array<long>, p0 long, p1 long"))
+                                 "doc_id long, _file string, _row long, node long, n long, segments array<long>, p0 long, p1 long, least array<long>"))
     # A node is a set of shingles; its number is a hash of the whole set.
-    held = ["n", "segments", "p0", "p1"]
+    held = ["n", "segments", "p0", "p1", "least"]
     nodes = rounds.keep(rows.groupBy("node").agg(F.min(F.struct("_file", "_row", *held)).alias("at")).select("node", "at.*"))
 
     def gather(batch: pa.RecordBatch) -> dict[str, list]:
@@ -498,7 +515,7 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> tuple[D
     groups = rounds.keep(components(rounds, links).withColumnRenamed("component", "hub"))
     whole = rounds.keep(groups.join(few(groups.groupBy("hub").count().where(F.col("count") >= HUB).select("hub")), "hub").select("node", "hub"))
     merged = nodes.join(few(whole.withColumnRenamed("node", "_node")), F.col("node") == F.col("_node"), "left")
-    raw = rounds.keep(_bands(merged.select(F.coalesce("hub", "node").alias("node"), "segments")))
+    raw = rounds.keep(_bands(merged.select(F.coalesce("hub", "node").alias("node"), "segments", "least")))
     rest, beside = _parted(raw, rounds.keep(whole.select(F.col("hub").alias("node")).distinct()))
     # Of two hubs that meet, the members of the smaller number go to the other.
     other = whole.select(F.col("node").alias("_member"), F.col("hub").alias("_hub"))
